@@ -59,9 +59,9 @@ def period_table(df: DataFrame, period: str) -> DataFrame:
 
 def dense_panel(df: DataFrame, id_col: str, period: str) -> DataFrame:
     """Every entity in every observed period."""
-    ps = F.array(*[F.lit(p) for p in observed_periods(df, period)])
     kind = df.schema[period].dataType
-    return df.select(id_col).distinct().withColumn(period, F.explode(ps).cast(kind))
+    ps = F.array(*[F.lit(p).cast(kind) for p in observed_periods(df, period)])
+    return df.select(id_col).distinct().withColumn(period, F.explode(ps))
 
 
 def panel_presence(

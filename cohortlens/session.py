@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", app: str = "cohortlens") -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
