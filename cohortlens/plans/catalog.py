@@ -4,6 +4,7 @@ from cohortlens.plans import (  # noqa: F401
     drift_queries,
     evaluate_queries,
     feature_queries,
+    model_queries,
     panel_queries,
     profit_queries,
     sampling_queries,
