@@ -16,6 +16,9 @@ GAIN_HIT = 273000
 COST_CONTACT = 7000
 
 KEY_BITS = 52
+SPLIT_BITS = 31
+SPLIT_PRIME = (1 << SPLIT_BITS) - 1
+SPLIT_A, SPLIT_B = 1103515245, 845957863
 
 
 def _col(c: str | Column) -> Column:
@@ -76,6 +79,17 @@ def month_index(period: str | Column) -> Column:
     return (F.floor(p / 100) * 12 + p % 100 - 1).cast("int")
 
 
+def split_key(key: Column, number: Column) -> Column:
+    """A new uniform 31-bit key for every split number, from one sample key.
+
+    key -> a*key + b modulo a prime, with a and b taken from the number, orders the rows anew
+    for each number without hashing every row again.
+    """
+    a = (number * SPLIT_A + SPLIT_B) % SPLIT_PRIME + 1
+    b = (number * SPLIT_B + SPLIT_A) % SPLIT_PRIME
+    return (key % SPLIT_PRIME * a + b) % SPLIT_PRIME
+
+
 def sample_key(id_col: str | Column, seed: int | Column) -> Column:
     """52 uniform bits from the id and the seed: the first 13 hex digits of an md5 hash."""
     seed_text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))

@@ -95,13 +95,14 @@ def psi(
     edges = pin(edges.select("feature", F.array_distinct("edges").alias("edges")))
 
     binned = lower_bound(
-        rows.join(edges, "feature"), "edges", F.col("value"), "_upto", buckets + 1, inclusive=True
+        rows.join(edges, "feature"), "edges", "value", "_upto", buckets + 1, inclusive=True
     )
     size = F.size("edges")
     last = F.get(F.col("edges"), size - 1)
-    # bin 0..size-2; -1 for nulls; -2 outside the train range
+    # bin 0..size-2; -1 for nulls; -2 outside the train range, or if a constant leaves no bin
     bin_no = (
         F.when(F.col("value").isNull(), F.lit(-1))
+        .when(size < 2, F.lit(-2))
         .when(F.col("value") == last, size - 2)
         .when((F.col("_upto") == 0) | (F.col("_upto") == size), F.lit(-2))
         .otherwise(F.col("_upto") - 1)

@@ -21,7 +21,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import KEY_BITS
 from cohortlens.session import attach, pin
 
 VALUE, TIE = "_value", "_tie"
@@ -37,19 +36,19 @@ def default_bits(spark: SparkSession, grouped: bool) -> int:
 
 
 def lower_bound(
-    df: DataFrame, array: str, key: Column, out: str, size: int, inclusive: bool = False
+    df: DataFrame, array: str, key: str, out: str, size: int, inclusive: bool = False
 ) -> DataFrame:
-    """Add the number of elements of a sorted array column that come before key.
+    """Add the number of elements of a sorted array column that come before the key column.
 
     A binary search, one projection per step, so it stays generated code. `size` is an upper
     limit of the array length; `inclusive` also counts elements equal to the key.
     """
     df = df.withColumn(out, F.lit(0))
     step = 1 << max(size.bit_length() - 1, 0)
+    before = "<=" if inclusive else "<"
     while step:
-        probe = F.get(F.col(array), F.col(out) + (step - 1))
-        before = probe <= key if inclusive else probe < key
-        df = df.withColumn(out, F.col(out) + F.when(before, step).otherwise(0))
+        probe = f"get(`{array}`, `{out}` + {step - 1}) {before} `{key}`"
+        df = df.withColumn(out, F.expr(f"`{out}` + if({probe}, {step}, 0)"))
         step >>= 1
     return df
 
@@ -60,18 +59,18 @@ def bucketed(
     tie: Column,
     groups: list[str] = (),
     bits: int | None = None,
-    uniform: bool = False,
+    uniform: int = 0,
 ) -> DataFrame:
     """Add the sort key and the bucket of every row.
 
-    With `uniform` the value is a sample key, evenly spread over its range, and the buckets are
+    With `uniform` the value is a number of that many evenly spread bits, and the buckets are
     its leading bits; no quantiles are needed.
     """
     groups = list(groups)
     bits = bits or default_bits(df.sparkSession, bool(groups))
     df = df.withColumns({VALUE: value, TIE: tie})
     if uniform:
-        top = F.shiftright(F.col(VALUE), KEY_BITS - bits).cast("int")
+        top = F.shiftright(F.col(VALUE), uniform - bits).cast("int")
         return df.withColumns({B1: top, B2: F.lit(0)})
 
     count = 1 << bits
@@ -82,8 +81,8 @@ def bucketed(
         F.percentile_approx(TIE, probs, 4 * count).alias("_ties"),
     )
     df = attach(df, limits, groups)
-    df = lower_bound(df, "_values", F.col(VALUE), "_p", count - 1)
-    df = lower_bound(df, "_ties", F.col(TIE), "_q", count - 1)
+    df = lower_bound(df, "_values", VALUE, "_p", count - 1)
+    df = lower_bound(df, "_ties", TIE, "_q", count - 1)
 
     at = F.get(F.col("_values"), F.col("_p"))
     after = F.get(F.col("_values"), F.col("_p") + 1)
@@ -117,7 +116,7 @@ def running(
     groups: list[str] = (),
     sums: dict[str, Column] | None = None,
     bits: int | None = None,
-    uniform: bool = False,
+    uniform: int = 0,
     position: str = "position",
     rank: str | None = None,
     total: str | None = None,
@@ -180,7 +179,7 @@ def keys_at(
     positions: Callable[[Column], Column],
     groups: list[str] = (),
     bits: int | None = None,
-    uniform: bool = False,
+    uniform: int = 0,
 ) -> DataFrame:
     """The sort keys that stand at given positions of each group.
 

@@ -66,8 +66,8 @@ def ntile_features(
     )
     out = df.join(pin(per_period), period, "left")
     for i, c in enumerate(cols):
-        own = sort_key(F.col(c).cast("double"), F.col(id_col))
-        out = lower_bound(out, f"_cut{i}", own, f"{prefix}{c}", tiles - 1)
+        out = out.withColumn("_own", sort_key(F.col(c).cast("double"), F.col(id_col)))
+        out = lower_bound(out, f"_cut{i}", "_own", f"{prefix}{c}", tiles - 1)
     kept = [c for c in df.columns if not (replace and c in cols)]
     return out.select(*kept, *[(F.col(f"{prefix}{c}") + 1).alias(f"{prefix}{c}") for c in cols])
 

@@ -10,47 +10,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import STAYS, sample_key
+from cohortlens.functions.scalars import KEY_BITS, SPLIT_BITS, STAYS, sample_key, split_key
 from cohortlens.operators.ordering import keys_at, lower_bound, sort_key
 from cohortlens.operators.ranks import tile_ends
 from cohortlens.session import attach, pin
 
 
-def _stratum(groups: list[str]) -> Column:
-    """Group columns as one text that is never null."""
-    return F.concat_ws("|", *[F.coalesce(F.col(g).cast("string"), F.lit("\\N")) for g in groups])
+def _strata(df: DataFrame, groups: list[str]) -> dict[str, Column]:
+    """Group columns without nulls: a missing label is a group of its own."""
+    return {
+        f"_s{i}": F.coalesce(F.col(g).cast("string"), F.lit("\\N"))
+        if df.schema[g].nullable
+        else F.col(g)
+        for i, g in enumerate(groups)
+    }
 
 
-def in_exact_sample(
-    df: DataFrame,
-    id_col: str,
-    groups: list[str],
-    fraction: float,
-    seed: int | Column,
-    flag: str = "sampled",
-    bits: int | None = None,
+def _flag_smallest(
+    df: DataFrame, key: str, id_col: str, groups: list[str], fraction: float, flag: str, bits: int
 ) -> DataFrame:
-    """Flag exactly round-half-even(fraction * n) rows of every group."""
-    key = sample_key(id_col, seed)
-    rows = df.withColumns({"_stratum": _stratum(groups), "_key": key})
+    """Flag the round-half-even(fraction * n) smallest keys of every group."""
+    strata = _strata(df, groups)
+    rows = df.withColumns(strata)
     keys = keys_at(
         rows,
-        F.col("_key"),
+        F.col(key),
         F.col(id_col),
         lambda n: F.array((F.bround(n * F.lit(fraction), 0) - 1).cast("long")),
-        ["_stratum"],
-        bits or 12,
-        uniform=True,
+        list(strata),
+        12,
+        uniform=bits,
     )
-    last = keys.select("_stratum", sort_key(F.col("_value"), F.col("_tie")).alias("_last"))
-    own = sort_key(F.col("_key"), F.col(id_col))
+    last = keys.select(*strata, sort_key(F.col("_value"), F.col("_tie")).alias("_last"))
+    own = sort_key(F.col(key), F.col(id_col))
     return (
-        attach(rows, last, ["_stratum"])
+        attach(rows, last, list(strata))
         .withColumn(flag, F.coalesce(own <= F.col("_last"), F.lit(False)))
         .select(*df.columns, flag)
     )
 
 
+def in_exact_sample(
+    df: DataFrame,
+    id_col: str,
+    groups: list[str],
+    fraction: float,
+    seed: int | Column,
+    flag: str = "sampled",
+) -> DataFrame:
+    """Flag exactly round-half-even(fraction * n) rows of every group."""
+    rows = df.withColumn("_key", sample_key(id_col, seed))
+    out = _flag_smallest(rows, "_key", id_col, groups, fraction, flag, KEY_BITS)
+    return out.drop("_key")
+
+
 def undersample(
     df: DataFrame,
     id_col: str,
@@ -85,14 +98,26 @@ def stratified_split(
 
 
 def repeated_splits(
-    df: DataFrame, id_col: str, label: str, splits: int, public_share: float = 0.3
+    df: DataFrame,
+    id_col: str,
+    label: str,
+    splits: int,
+    public_share: float = 0.3,
+    seed: int = 42,
 ) -> DataFrame:
-    """Every row once per split number, with its side in that split."""
-    many = df.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    out = in_exact_sample(many, id_col, ["split", label], public_share, F.col("split"), "_public")
+    """Every row once per split number, with its side in that split.
+
+    A row is hashed once; each split derives its own order from that hash.
+    """
+    rows = df.withColumn("_hash", sample_key(id_col, seed))
+    many = rows.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
+    many = many.withColumn("_key", split_key(F.col("_hash"), F.col("split").cast("long")))
+    out = _flag_smallest(
+        many, "_key", id_col, ["split", label], public_share, "_public", SPLIT_BITS
+    )
     return out.withColumn(
         "side", F.when(F.col("_public"), F.lit("public")).otherwise(F.lit("private"))
-    ).drop("_public")
+    ).drop("_public", "_key", "_hash")
 
 
 def kfold(
@@ -104,7 +129,9 @@ def kfold(
     fold: str = "fold",
 ) -> DataFrame:
     """Stratified fold numbers: each label's rows, in sample-key order, cut into equal parts."""
-    rows = df.withColumns({"_stratum": _stratum([label]), "_key": sample_key(id_col, seed)})
+    rows = df.withColumns(
+        {"_key": sample_key(id_col, seed), "_stratum": F.coalesce(F.col(label).cast("string"), F.lit("\\N"))}
+    )
     cuts = keys_at(
         rows,
         F.col("_key"),
@@ -112,11 +139,12 @@ def kfold(
         lambda n: tile_ends(n, folds),
         ["_stratum"],
         12,
-        uniform=True,
+        uniform=KEY_BITS,
     )
     ends = cuts.groupBy("_stratum").agg(
         F.array_sort(F.collect_list(sort_key(F.col("_value"), F.col("_tie")))).alias("_ends")
     )
     rows = rows.join(pin(ends), "_stratum", "left")
-    rows = lower_bound(rows, "_ends", sort_key(F.col("_key"), F.col(id_col)), fold, folds - 1)
+    rows = rows.withColumn("_own", sort_key(F.col("_key"), F.col(id_col)))
+    rows = lower_bound(rows, "_ends", "_own", fold, folds - 1)
     return rows.select(*df.columns, fold)

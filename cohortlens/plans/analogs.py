@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import LEAVES_SECOND, row_gain, sample_key, yyyymm
 from cohortlens.operators.panel import churn_label
+from cohortlens.session import stored
 
 ID, PERIOD, LABEL = "cust", "period", "label"
 MEASURES = ["n_orders", "spend", "top_price", "n_filled", "n_urgent"]
@@ -47,6 +48,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a table, for operators that read it several times."""
+    return stored(panel(spark, sf_dir), "panel")
+
+
 PANEL = """
 panel AS (
   SELECT o_custkey AS cust,
@@ -92,9 +98,12 @@ labelled AS (
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled panel with one id per row, its gain and two deterministic scores with ties."""
+    """The labelled panel with one id per row, its gain and two deterministic scores with ties.
+
+    Stored, since curves and samples read it several times.
+    """
     rows = labelled(spark, sf_dir)
-    return rows.select(
+    rows = rows.select(
         (F.col(ID) * 1_000_000 + F.col(PERIOD)).alias("id"),
         ID,
         PERIOD,
@@ -103,6 +112,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("spend") / 5000) / 100).alias("score"),
         (F.floor(F.col("top_price") / 4000) / 100).alias("score_b"),
     )
+    return stored(rows, "scored")
 
 
 SCORED = (

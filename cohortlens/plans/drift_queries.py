@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators import drift as D
-from cohortlens.plans.analogs import ID, MEASURES, PANEL, PERIOD, panel, table, with_
+from cohortlens.plans.analogs import ID, MEASURES, PANEL, PERIOD, stored_panel, table, with_
 from cohortlens.functions.scalars import yyyymm
 from cohortlens.plans.registry import query
 
@@ -85,7 +85,7 @@ def psi_feature(spark, sf):
     ),
 )
 def psi_all(spark, sf):
-    out = D.psi(panel(spark, sf), MEASURES, ID, PERIOD, _TRAIN, _SCORE, buckets=20)
+    out = D.psi(stored_panel(spark, sf), MEASURES, ID, PERIOD, _TRAIN, _SCORE, buckets=20)
     return out.withColumn("psi", F.round("psi", 6))
 
 
@@ -107,7 +107,7 @@ def psi_all(spark, sf):
     ),
 )
 def describe_numeric(spark, sf):
-    out = D.describe_numeric(panel(spark, sf), MEASURES, ID)
+    out = D.describe_numeric(stored_panel(spark, sf), MEASURES, ID)
     quartiles = {c: F.round(c, 6) for c in ("p25", "p50", "p75")}
     return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), **quartiles})
 

@@ -19,10 +19,12 @@ from cohortlens.plans.analogs import (
     TRAIN,
     labelled,
     panel,
+    stored_panel,
     table,
     with_,
 )
 from cohortlens.plans.registry import query
+from cohortlens.session import stored
 
 # every line's key columns and amounts; the last three carry nulls
 _LINES = """
@@ -257,7 +259,7 @@ def drop_features(spark, sf):
     ),
 )
 def tenure_decile(spark, sf):
-    rows = _with_tenure(spark, sf).select(ID, PERIOD, "tenure")
+    rows = stored(_with_tenure(spark, sf).select(ID, PERIOD, "tenure"), "tenure")
     out = R.ntile_features(rows, ["tenure"], ID, PERIOD, tiles=10, prefix="d_", replace=False)
     return out.withColumnRenamed("d_tenure", "tenure_decil")
 
@@ -276,7 +278,7 @@ def tenure_decile(spark, sf):
 )
 def ntile_features(spark, sf):
     cols = ["spend", "top_price", "n_filled", "n_urgent"]
-    return R.ntile_features(panel(spark, sf), cols, ID, PERIOD, tiles=200)
+    return R.ntile_features(stored_panel(spark, sf), cols, ID, PERIOD, tiles=200)
 
 
 _FLAGS = {
@@ -309,6 +311,6 @@ def _rank_sql(member: str, c: str) -> str:
     ),
 )
 def rank_family(spark, sf):
-    return R.rank_family(panel(spark, sf), _FLAGS, ID, PERIOD)
+    return R.rank_family(stored_panel(spark, sf), _FLAGS, ID, PERIOD)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalars import SPLIT_A, SPLIT_B, SPLIT_PRIME
 from cohortlens.operators import sampling as S
 from cohortlens.plans.analogs import (
     ID,
@@ -71,7 +72,10 @@ SPLITS = (
     SCORED
     + f""",
 keyed AS (
-  SELECT id, label, split, gain, score, score_b, {key_sql("id", "split")} AS k
+  SELECT id, label, split, gain, score, score_b,
+         (CAST('0x' || {key_sql("id", 42)} AS BIGINT) % {SPLIT_PRIME}
+            * ((split * {SPLIT_A} + {SPLIT_B}) % {SPLIT_PRIME} + 1)
+          + (split * {SPLIT_B} + {SPLIT_A}) % {SPLIT_PRIME}) % {SPLIT_PRIME} AS k
   FROM scored, (SELECT unnest(range(1, {N_SPLITS + 1})) AS split)
 ),
 sided AS (

@@ -14,13 +14,18 @@ PIN_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "cohortlens") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+    """A session for tests and benchmarks on one machine.
+
+    The size limits keep all cores busy on tables of a few megabytes; a cluster keeps Spark's own.
+    """
     n = 8 if cores == "*" else int(cores)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -61,14 +66,14 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pin(df: DataFrame, max_rows: int = PIN_ROWS, max_bytes: int = PIN_BYTES) -> DataFrame:
+def pin(df: DataFrame) -> DataFrame:
     """Fix the content of a summary, so that every later pass sees the same values.
 
     A summary within the limits becomes a broadcast side. A larger one is stored in the shared
     folder and joined by a shuffle, where adaptive execution splits skewed keys.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows <= max_rows and table.nbytes <= max_bytes:
+    table = df.limit(PIN_ROWS + 1).toArrow()
+    if table.num_rows <= PIN_ROWS and table.nbytes <= PIN_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
     return stored(df, "pinned")
 
