@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import keys_at, lower_bound
+from cohortlens.operators.ordering import default_bits, keys_at, lower_bound
 from cohortlens.operators.panel import months_in
 from cohortlens.operators.ranks import long_form
 from cohortlens.session import pin
@@ -90,7 +90,7 @@ def psi(
         F.col(id_col),
         buckets,
         ["feature"],
-        bits=bits or 11,
+        bits=bits,
     )
     edges = pin(edges.select("feature", F.array_distinct("edges").alias("edges")))
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from cohortlens.functions.selectors import root_name
 from cohortlens.operators.ordering import running
+from cohortlens.session import stored
 
 
 def seed_mean_curve(
@@ -170,6 +171,7 @@ def wilcoxon(
             F.sum((F.col("_d") > 0).cast("long")).alias("_plus"),
         )
     )
+    sizes = stored(sizes, "differences")
     ranked = running(sizes, F.col("_abs"), F.lit(0), groups, {"_upto": F.col("_n")}, bits)
     mean_rank = F.col("_upto") - (F.col("_n") - 1) / 2
     n = F.col("_n").cast("double")

@@ -45,49 +45,62 @@ def observed_periods(df: DataFrame, period: str) -> list[int]:
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
-def period_table(df: DataFrame, period: str) -> DataFrame:
-    """Each observed period with its dense index and the next two observed periods."""
-    ps = observed_periods(df, period)
+def next_periods(df: DataFrame, period: str, periods: list[int]) -> DataFrame:
+    """Each observed period with the next two; as short as a calendar, so it is broadcast."""
     rows = [
-        (p, i, *(ps[i + k] if i + k < len(ps) else None for k in (1, 2)))
-        for i, p in enumerate(ps)
+        (p, *(periods[i + k] if i + k < len(periods) else None for k in (1, 2)))
+        for i, p in enumerate(periods)
     ]
     kind = df.schema[period].dataType.simpleString()
-    schema = f"{period} {kind}, ix int, next1 {kind}, next2 {kind}"
+    schema = f"{period} {kind}, next1 {kind}, next2 {kind}"
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
-def dense_panel(df: DataFrame, id_col: str, period: str) -> DataFrame:
+def dense_panel(
+    df: DataFrame, id_col: str, period: str, periods: list[int] | None = None
+) -> DataFrame:
     """Every entity in every observed period."""
     kind = df.schema[period].dataType
-    ps = F.array(*[F.lit(p).cast(kind) for p in observed_periods(df, period)])
+    periods = periods or observed_periods(df, period)
+    ps = F.array(*[F.lit(p).cast(kind) for p in periods])
     return df.select(id_col).distinct().withColumn(period, F.explode(ps))
 
 
 def panel_presence(
-    df: DataFrame, id_col: str, period: str, flag: str = "present"
+    df: DataFrame,
+    id_col: str,
+    period: str,
+    flag: str = "present",
+    periods: list[int] | None = None,
 ) -> DataFrame:
     """The dense panel with the observed columns and a 0/1 presence flag."""
     seen = df.withColumn(flag, F.lit(1))
-    dense = dense_panel(df, id_col, period)
+    dense = dense_panel(df, id_col, period, periods)
     return dense.join(seen, [id_col, period], "left").fillna(0, [flag])
 
 
 def churn_label(
-    df: DataFrame, id_col: str, period: str, label: str = "label", calendar: bool = False
+    df: DataFrame,
+    id_col: str,
+    period: str,
+    label: str = "label",
+    calendar: bool = False,
+    periods: list[int] | None = None,
 ) -> DataFrame:
     """Add the three-way churn label.
 
     Present two periods later: stays. Otherwise present one period later: leaves in the second
     period. Otherwise: leaves next. Null when the panel does not reach two periods ahead.
     "Next" is the next observed period, or the next calendar month with `calendar`.
+    `periods` are the observed periods, if known; otherwise a job looks them up.
     """
+    periods = periods or observed_periods(df, period)
     w = Window.partitionBy(id_col).orderBy(period)
     steps = df.withColumns(
         {"_lead1": F.lead(period, 1).over(w), "_lead2": F.lead(period, 2).over(w)}
     )
     if calendar:
-        last = F.lit(month_number(observed_periods(df, period)[-1]))
+        last = F.lit(month_number(periods[-1]))
         now = month_index(period)
         ahead1 = month_index("_lead1") - now
         ahead2 = month_index("_lead2") - now
@@ -95,7 +108,7 @@ def churn_label(
         next1 = ahead1 == 1
         next2 = (ahead1 == 2) | (ahead2 == 2)
     else:
-        steps = steps.join(period_table(df, period).drop("ix"), period)
+        steps = steps.join(next_periods(df, period, periods), period)
         known = F.col("next2").isNotNull()
         next1 = F.col("_lead1") == F.col("next1")
         next2 = (F.col("_lead1") == F.col("next2")) | (F.col("_lead2") == F.col("next2"))

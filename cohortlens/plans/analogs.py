@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import LEAVES_SECOND, row_gain, sample_key, yyyymm
-from cohortlens.operators.panel import churn_label
+from cohortlens.operators.panel import churn_label, observed_periods
 from cohortlens.session import stored
 
 ID, PERIOD, LABEL = "cust", "period", "label"
@@ -48,6 +48,13 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_months(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The periods of the panel, read from one column of the orders."""
+    return observed_periods(
+        table(spark, sf_dir, "orders").select(yyyymm("o_orderdate").alias(PERIOD)), PERIOD
+    )
+
+
 def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as a table, for operators that read it several times."""
     return stored(panel(spark, sf_dir), "panel")
@@ -69,7 +76,8 @@ panel AS (
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn_label(panel(spark, sf_dir), ID, PERIOD, LABEL)
+    months = order_months(spark, sf_dir)
+    return churn_label(panel(spark, sf_dir), ID, PERIOD, LABEL, periods=months)
 
 
 # the label by its definition: dense panel, presence flags and leads

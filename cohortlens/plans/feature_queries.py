@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import month_index, null_safe_sum, safe_ratio
+from cohortlens.functions.sql import register_sql_functions
 from cohortlens.operators import features as X
 from cohortlens.operators import impute as I
 from cohortlens.operators import panel as P
@@ -142,6 +144,25 @@ def ratio_features(spark, sf):
     return X.add_ratios(panel(spark, sf), _RATIOS).select(ID, PERIOD, *_RATIOS)
 
 
+@query(
+    "sql_functions",
+    with_(
+        _LINES,
+        f"""SELECT {_KEYS}, price, ifnull(kept, 0) + ifnull(price, 0) AS total,
+                   CASE WHEN ifnull(tax, 0) = 0 THEN NULL ELSE ifnull(kept, 0) / tax END AS ratio
+            FROM lines""",
+    ),
+)
+def sql_functions(spark, sf):
+    register_sql_functions(spark)
+    _lines(spark, sf).createOrReplaceTempView("cohortlens_lines")
+    return spark.sql(
+        f"""SELECT {_KEYS}, price, suma_sin_null(kept, price) AS total,
+                   division_segura(kept, tax) AS ratio
+            FROM cohortlens_lines"""
+    )
+
+
 # tenure of a customer in a month: months since the customer's first order, from 1
 _TENURE = (
     PANEL
@@ -155,10 +176,8 @@ tenure AS (
 
 
 def _with_tenure(spark, sf):
-    rows = panel(spark, sf)
-    first = rows.groupBy(ID).agg(F.min(month_index(PERIOD)).alias("_first"))
-    rows = rows.join(first, ID)
-    return rows.withColumn("tenure", month_index(PERIOD) - F.col("_first") + 1).drop("_first")
+    first = F.min(month_index(PERIOD)).over(Window.partitionBy(ID))
+    return panel(spark, sf).withColumn("tenure", month_index(PERIOD) - first + 1)
 
 
 @query(

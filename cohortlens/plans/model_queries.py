@@ -12,7 +12,7 @@ from cohortlens.operators import evaluate as E
 from cohortlens.operators import profit as G
 from cohortlens.operators.features import class_targets
 from cohortlens.operators.impute import impute_rules
-from cohortlens.operators.panel import lag_features, lag_join
+from cohortlens.operators.panel import lag_features
 from cohortlens.plans.analogs import ID, LABEL, MEASURES, PERIOD, labelled
 from cohortlens.plans.registry import query
 from cohortlens.session import scratch_path, stored
@@ -27,9 +27,8 @@ KEEP = ["id", PERIOD, LABEL, "gain", "clase_peso", "clase_binaria1", "clase_bina
 
 def training_rows(spark, sf) -> DataFrame:
     """Labelled panel with lags, sentinels for nulls, targets, weight and gain."""
-    rows = labelled(spark, sf)
-    lags = lag_features(rows, MEASURES, ID, PERIOD)
-    rows = class_targets(lag_join(rows, lags, ID, PERIOD), LABEL)
+    rows = lag_features(labelled(spark, sf), MEASURES, ID, PERIOD, keep=[*MEASURES, LABEL])
+    rows = class_targets(rows, LABEL)
     rows = rows.withColumns(
         {
             "id": F.col(ID) * 1_000_000 + F.col(PERIOD),

@@ -16,6 +16,7 @@ from cohortlens.plans.analogs import (
     SCORE,
     TRAIN,
     labelled,
+    order_months,
     panel,
     with_,
 )
@@ -65,7 +66,9 @@ def churn_label_counts(spark, sf):
 )
 def churn_label_calendar(spark, sf):
     rows = panel(spark, sf).select(ID, PERIOD)
-    return P.churn_label(rows, ID, PERIOD, LABEL, calendar=True)
+    return P.churn_label(
+        rows, ID, PERIOD, LABEL, calendar=True, periods=order_months(spark, sf)
+    )
 
 
 @query(
@@ -77,7 +80,7 @@ def churn_label_calendar(spark, sf):
     ),
 )
 def dense_panel(spark, sf):
-    return P.dense_panel(panel(spark, sf), ID, PERIOD)
+    return P.dense_panel(panel(spark, sf), ID, PERIOD, order_months(spark, sf))
 
 
 @query(
@@ -90,7 +93,7 @@ def dense_panel(spark, sf):
 )
 def panel_presence(spark, sf):
     rows = panel(spark, sf).select(ID, PERIOD, "spend")
-    return P.panel_presence(rows, ID, PERIOD)
+    return P.panel_presence(rows, ID, PERIOD, periods=order_months(spark, sf))
 
 
 @query("month_scan", with_(PANEL, f"SELECT * FROM panel WHERE period IN ({_in(TRAIN + SCORE)})"))

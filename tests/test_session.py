@@ -32,29 +32,30 @@ def test_attach_without_groups_keeps_values_exact(spark):
     assert row["b"] == 2**62 and row["c"] is None
 
 
-def test_shared_dir_follows_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert S.shared_dir(spark) == str(tmp_path)
-        assert S.stored(spark.range(2)).inputFiles()[0].startswith(f"file://{tmp_path}")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
-
-
-def test_no_local_folder_on_a_cluster(spark, monkeypatch):
-    class Context:
-        master = "yarn"
-
-        def getCheckpointDir(self):
-            return None
-
-    class Session:
-        conf = spark.conf
-        sparkContext = Context()
+class Stub:
+    """A session with given settings."""
 
+    def __init__(self, master, named=None, current=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.master = master
+        self.current = current
+
+    def getCheckpointDir(self):
+        return self.current
+
+    def setCheckpointDir(self, path):
+        self.current = path
+
+
+def test_shared_dir_is_the_one_the_session_names():
+    assert S.shared_dir(Stub("yarn", "hdfs://a/b/")) == "hdfs://a/b"
+    assert S.shared_dir(Stub("yarn", "hdfs://a/b", "hdfs://c")) == "hdfs://a/b"
+    assert S.shared_dir(Stub("yarn", None, "hdfs://c/")) == "hdfs://c"
+    assert S.scratch_path(Stub("yarn", "hdfs://a"), "x").startswith("hdfs://a/x-")
+
+
+def test_no_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
-        S.shared_dir(Session())
+        S.shared_dir(Stub("yarn"))
+    assert "cohortlens-" in S.shared_dir(Stub("local[2]"))

@@ -48,7 +48,10 @@ def test_csv_is_not_written_over(spark, tmp_path):
         T.write_csv(spark.range(1), str(tmp_path / "o"))
 
 
-CURVE = "1 as ganancia, 0.5D as y_pred_lgm, 1D as public, 0D as private, id as nro_envios, 3D as public_cum, 4D as private_cum"
+CURVE = [
+    "1 as ganancia", "0.5D as y_pred_lgm", "1D as public", "0D as private",
+    "id as nro_envios", "3D as public_cum", "4D as private_cum",
+]
 
 
 def test_cut_point_files_from_names(spark, tmp_path):
@@ -57,7 +60,7 @@ def test_cut_point_files_from_names(spark, tmp_path):
     (tmp_path / "top_n_trials.csv").write_text("a\n1\n")
     folder = str(tmp_path)
     C.write_cut_point_files(
-        spark.range(2).selectExpr(CURVE, "4 as trial", "19 as seed"), str(tmp_path / "sub"), "exp9", "trial", "seed", "mayo"
+        spark.range(2).selectExpr(*CURVE, "4 as trial", "19 as seed"), str(tmp_path / "sub"), "exp9", "trial", "seed", "mayo"
     )
     out = C.read_cut_point_files(spark, folder)
     assert [tuple(r) for r in out.select("model", "trial", "semilla", "ganancia", "private_score_acumulado").collect()] == [
@@ -71,7 +74,7 @@ def test_cut_points_by_run_and_finished(spark, tmp_path):
     path = str(tmp_path / "cp")
     schema = "study string, trial int, seed int, month int"
     assert T.finished_runs(spark, path, C.RUN, schema).count() == 0
-    run = spark.range(3).selectExpr(CURVE, "'e' as study", "1 as trial", "17 as seed", "202105 as month")
+    run = spark.range(3).selectExpr(*CURVE, "'e' as study", "1 as trial", "17 as seed", "202105 as month")
     C.write_cut_points(run, path)
     C.write_cut_points(run.withColumn("seed", F.lit(18)), path)
     assert sorted(r["seed"] for r in T.finished_runs(spark, path, C.RUN, schema).collect()) == [17, 18]
