@@ -8,6 +8,7 @@ from .scalars import (
     row_gain,
     safe_ratio,
     sample_key,
+    sample_number,
     tenure_scaled,
     variation,
     yyyymm,
@@ -23,6 +24,7 @@ __all__ = [
     "row_gain",
     "safe_ratio",
     "sample_key",
+    "sample_number",
     "select_columns",
     "tenure_scaled",
     "variation",

@@ -15,7 +15,6 @@ CLASS_WEIGHTS = {"BAJA+1": 1.00001, "BAJA+2": 1.00002}
 GAIN_HIT = 273000
 COST_CONTACT = 7000
 
-KEY_BITS = 52
 SPLIT_BITS = 31
 SPLIT_PRIME = (1 << SPLIT_BITS) - 1
 SPLIT_A, SPLIT_B = 1103515245, 845957863
@@ -80,7 +79,7 @@ def month_index(period: str | Column) -> Column:
 
 
 def split_key(key: Column, number: Column) -> Column:
-    """A new uniform 31-bit key for every split number, from one sample key.
+    """A new uniform 31-bit key for every split number, from one sample number.
 
     key -> a*key + b modulo a prime, with a and b taken from the number, orders the rows anew
     for each number without hashing every row again.
@@ -91,7 +90,15 @@ def split_key(key: Column, number: Column) -> Column:
 
 
 def sample_key(id_col: str | Column, seed: int | Column) -> Column:
-    """52 uniform bits from the id and the seed: the first 13 hex digits of an md5 hash."""
+    """The sampling order: an md5 hash of the id and the seed, as hex digits.
+
+    Never null, so joins on its digits do not hash every row again to test for nulls.
+    """
     seed_text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
     digest = F.md5(F.concat(_col(id_col).cast("string"), F.lit("-"), seed_text))
-    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+    return F.coalesce(digest, F.lit(""))
+
+
+def sample_number(id_col: str | Column, seed: int | Column) -> Column:
+    """The same hash as a number of 52 uniform bits: its first 13 digits."""
+    return F.conv(F.substring(sample_key(id_col, seed), 1, 13), 16, 10).cast("long")

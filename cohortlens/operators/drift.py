@@ -35,7 +35,9 @@ def exact_quantiles(
         low = F.transform(steps, lambda i: at(n, i))
         return F.array_distinct(F.concat(low, F.transform(low, lambda p: F.least(p + 1, n - 1))))
 
-    found = keys_at(df, value.cast("double"), tie, positions, groups, bits)
+    found = keys_at(
+        df, value.cast("double"), tie, positions, groups, bits, values_only=True
+    )
     n = F.col("_total")
     pairs = F.map_from_entries(F.collect_list(F.struct("_position", "_value")))
     values = found.groupBy(*groups, "_total").agg(pairs.alias("_at"))

@@ -29,9 +29,9 @@ BUCKET = [B1, B2]
 
 
 def default_bits(spark: SparkSession, grouped: bool) -> int:
-    """Enough buckets to keep all shuffle partitions busy; fewer per group when there are groups."""
+    """Enough buckets that shuffle partitions get even loads; fewer per group if there are groups."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = math.ceil(math.log2(4 * max(parts, 1)))
+    bits = math.ceil(math.log2(16 * max(parts, 1)))
     return max(5, min(13, bits - 2 if grouped else bits))
 
 
@@ -59,20 +59,11 @@ def bucketed(
     tie: Column,
     groups: list[str] = (),
     bits: int | None = None,
-    uniform: int = 0,
 ) -> DataFrame:
-    """Add the sort key and the bucket of every row.
-
-    With `uniform` the value is a number of that many evenly spread bits, and the buckets are
-    its leading bits; no quantiles are needed.
-    """
+    """Add the sort key and the bucket of every row."""
     groups = list(groups)
     bits = bits or default_bits(df.sparkSession, bool(groups))
     df = df.withColumns({VALUE: value, TIE: tie})
-    if uniform:
-        top = F.shiftright(F.col(VALUE), uniform - bits).cast("int")
-        return df.withColumns({B1: top, B2: F.lit(0)})
-
     count = 1 << bits
     probs = F.expr("array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")")
     # the rank error of the limits stays below a quarter of a bucket
@@ -99,14 +90,10 @@ def bucketed(
     ).drop("_values", "_ties", "_p", "_q")
 
 
-def _order() -> list[Column]:
-    return [F.col(VALUE).asc_nulls_last(), F.col(TIE)]
-
-
-def _before(groups: list[str]):
+def _before(groups: list[str], order: list[str] = BUCKET):
     """Window over the buckets of a group that come earlier; its size is the bucket count."""
     w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    return w.orderBy(*BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(
@@ -116,7 +103,6 @@ def running(
     groups: list[str] = (),
     sums: dict[str, Column] | None = None,
     bits: int | None = None,
-    uniform: int = 0,
     position: str = "position",
     rank: str | None = None,
     total: str | None = None,
@@ -129,47 +115,48 @@ def running(
     `between=(a, b)` keeps positions a <= p < b; buckets outside are never shuffled.
     """
     groups, sums = list(groups), dict(sums or {})
-    df = df.withColumns({f"_in_{n}": c for n, c in sums.items()}) if sums else df
-    df = bucketed(df, value, tie, groups, bits, uniform)
+    df = bucketed(df, value, tie, groups, bits).drop(VALUE, TIE)
 
     sizes = df.groupBy(*groups, *BUCKET).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums]
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()]
     )
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    same_value = whole.orderBy(B1).rangeBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         *groups,
         *BUCKET,
         "_n",
         F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)).alias("_start"),
-        F.coalesce(F.sum("_n").over(same_value), F.lit(0)).alias("_rank_start"),
         F.sum("_n").over(whole).alias("_total"),
         *[
             F.coalesce(F.sum(f"_sum_{n}").over(_before(groups)), F.lit(0)).alias(f"_start_{n}")
             for n in sums
         ],
     )
+    if rank:
+        # a value cut into several buckets ranks from the first of them
+        starts = starts.withColumn("_rank_start", F.min("_start").over(Window.partitionBy(*groups, B1)))
     if between is not None:
         starts = starts.where(
             (F.col("_start") < between[1]) & (F.col("_start") + F.col("_n") > between[0])
         )
     df = df.join(pin(starts.drop("_n")), [*groups, *BUCKET])
 
-    inside = Window.partitionBy(*groups, *BUCKET).orderBy(*_order())
+    order = [value.asc_nulls_last(), tie]
+    inside = Window.partitionBy(*groups, *BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {position: F.col("_start") + F.row_number().over(inside) - 1}
-    for n in sums:
-        added[n] = F.col(f"_start_{n}") + F.sum(f"_in_{n}").over(upto)
+    for n, c in sums.items():
+        added[n] = F.col(f"_start_{n}") + F.sum(c).over(upto)
     if rank:
-        ties = Window.partitionBy(*groups, *BUCKET).orderBy(F.col(VALUE).asc_nulls_last())
+        ties = Window.partitionBy(*groups, *BUCKET).orderBy(value.asc_nulls_last())
         added[rank] = F.col("_rank_start") + F.rank().over(ties)
     if total:
         added[total] = F.col("_total")
     df = df.withColumns(added)
     if between is not None:
         df = df.where((F.col(position) >= between[0]) & (F.col(position) < between[1]))
-    used = [f"_in_{n}" for n in sums] + [f"_start_{n}" for n in sums]
-    return df.drop(*used, VALUE, TIE, B1, B2, "_start", "_rank_start", "_total")
+    used = [*[f"_start_{n}" for n in sums], "_start", "_total", "_rank_start"]
+    return df.drop(*BUCKET, *used)
 
 
 def keys_at(
@@ -179,35 +166,65 @@ def keys_at(
     positions: Callable[[Column], Column],
     groups: list[str] = (),
     bits: int | None = None,
-    uniform: int = 0,
+    digits: list[Column] = (),
+    values_only: bool = False,
 ) -> DataFrame:
     """The sort keys that stand at given positions of each group.
 
     `positions` maps the group's row count to an array of 0-based positions. Only rows of
     buckets that hold a wanted position are shuffled and sorted.
+
+    A value that is evenly spread by construction, such as a hash, brings its own buckets as
+    `digits`: its leading digits, then the following ones. Each step counts the rows per digit
+    inside the buckets still wanted, so the counts stay few and the last buckets tiny.
+    With `values_only` the tie is not wanted, and a bucket of equal values needs no rows at all.
     Returns groups, `_total`, `_position`, `_value`, `_tie`.
     """
     groups = list(groups)
-    df = bucketed(df.select(*groups, value.alias("_v"), tie.alias("_t")),
-                  F.col("_v"), F.col("_t"), groups, bits, uniform)
-    sizes = df.groupBy(*groups, *BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    starts = sizes.withColumns(
-        {
-            "_start": F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)),
-            "_total": F.sum("_n").over(whole),
-        }
-    )
-    end = F.col("_start") + F.col("_n")
-    wanted = starts.withColumn(
-        "_wanted",
-        F.filter(positions(F.col("_total")), lambda p: (p >= F.col("_start")) & (p < end)),
-    ).where(F.size("_wanted") > 0)
-    df = df.join(pin(wanted.drop("_n")), [*groups, *BUCKET])
-    inside = Window.partitionBy(*groups, *BUCKET).orderBy(*_order())
-    df = df.withColumn("_position", F.col("_start") + F.row_number().over(inside) - 1)
-    df = df.where(F.array_contains("_wanted", F.col("_position")))
-    return df.select(*groups, "_total", "_position", VALUE, TIE)
+    if digits:
+        steps = [[f"_d{i}"] for i in range(len(digits))]
+        df = df.withColumns({VALUE: value, TIE: tie})
+        df = df.withColumns({f"_d{i}": d for i, d in enumerate(digits)})
+    else:
+        steps = [BUCKET]
+        df = bucketed(df, value, tie, groups, bits)
+    df = df.select(*groups, VALUE, TIE, *[c for step in steps for c in step])
+    limits = [F.min(VALUE).alias("_low"), F.max(VALUE).alias("_high")] if values_only else []
+
+    wanted, parents = None, groups
+    for step in steps:
+        inside = df if wanted is None else df.join(wanted.select(*parents), parents)
+        sizes = inside.groupBy(*parents, *step).agg(F.count(F.lit(1)).alias("_n"), *limits)
+        start = F.coalesce(F.sum("_n").over(_before(parents, step)), F.lit(0))
+        if wanted is None:
+            whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+            sizes = sizes.withColumns({"_start": start, "_total": F.sum("_n").over(whole)})
+            sizes = sizes.withColumn("_wanted", positions(F.col("_total")))
+        else:
+            sizes = sizes.withColumn("_offset", start).join(wanted, parents)
+            sizes = sizes.withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")
+        end = F.col("_start") + F.col("_n")
+        here = F.filter("_wanted", lambda p: (p >= F.col("_start")) & (p < end))
+        sizes = sizes.withColumn("_wanted", here).where(F.size("_wanted") > 0)
+        wanted, parents = pin(sizes.drop("_n")), [*parents, *step]
+
+    known = None
+    if values_only:
+        same = F.col("_low").eqNullSafe(F.col("_high"))
+        known = wanted.where(same).select(
+            *groups,
+            "_total",
+            F.explode("_wanted").alias("_position"),
+            F.col("_low").alias(VALUE),
+            F.lit(None).cast(df.schema[TIE].dataType).alias(TIE),
+        )
+        wanted = wanted.where(~same).drop("_low", "_high")
+    rows = df.join(wanted, parents)
+    sorted_ = Window.partitionBy(*parents).orderBy(F.col(VALUE).asc_nulls_last(), F.col(TIE))
+    rows = rows.withColumn("_position", F.col("_start") + F.row_number().over(sorted_) - 1)
+    rows = rows.where(F.array_contains("_wanted", F.col("_position")))
+    rows = rows.select(*groups, "_total", "_position", VALUE, TIE)
+    return rows.unionByName(known) if known is not None else rows
 
 
 def sort_key(value: Column, tie: Column) -> Column:

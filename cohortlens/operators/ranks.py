@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import keys_at, lower_bound, running, sort_key
+from cohortlens.operators.ordering import default_bits, keys_at, lower_bound, running, sort_key
 from cohortlens.session import pin
 
 # The four members of the rank family and their tile counts.
@@ -54,6 +54,8 @@ def ntile_features(
     sorted. With `replace` the ranked columns themselves are dropped.
     """
     keys = long_form(df, cols, [id_col, period])
+    # several buckets per tile: rows of buckets without a tile end need no sorting
+    bits = bits or max(default_bits(df.sparkSession, True), (2 * tiles).bit_length())
     cuts = keys_at(
         keys, F.col("value"), F.col(id_col), lambda n: tile_ends(n, tiles), [period, "feature"], bits
     )

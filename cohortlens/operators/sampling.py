@@ -9,25 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.functions.scalars import KEY_BITS, SPLIT_BITS, STAYS, sample_key, split_key
+from cohortlens.functions.scalars import SPLIT_BITS, STAYS, sample_key, sample_number, split_key
 from cohortlens.operators.ordering import keys_at, lower_bound, sort_key
 from cohortlens.operators.ranks import tile_ends
 from cohortlens.session import attach, pin
 
 
 def _strata(df: DataFrame, groups: list[str]) -> dict[str, Column]:
-    """Group columns without nulls: a missing label is a group of its own."""
-    return {
-        f"_s{i}": F.coalesce(F.col(g).cast("string"), F.lit("\\N"))
-        if df.schema[g].nullable
-        else F.col(g)
-        for i, g in enumerate(groups)
-    }
+    """Group columns without nulls; rows without a label are a group of their own."""
+    out = {}
+    for i, g in enumerate(groups):
+        field, c = df.schema[g], F.col(g)
+        if field.nullable:
+            plain = isinstance(field.dataType, T.NumericType)
+            kind = field.dataType if plain else T.StringType()
+            out[f"_none{i}"] = c.isNull()
+            c = F.coalesce(c.cast(kind), F.lit(0).cast(kind))
+        out[f"_group{i}"] = c
+    return out
+
+
+def _hex_digits(key: str) -> list[Column]:
+    """256 buckets by the leading digits of a hash, then 4096 inside the wanted ones."""
+    return [F.substring(key, 1, 2), F.substring(key, 3, 3)]
 
 
 def _flag_smallest(
-    df: DataFrame, key: str, id_col: str, groups: list[str], fraction: float, flag: str, bits: int
+    df: DataFrame,
+    key: str,
+    digits: list[Column],
+    id_col: str,
+    groups: list[str],
+    fraction: float,
+    flag: str,
 ) -> DataFrame:
     """Flag the round-half-even(fraction * n) smallest keys of every group."""
     strata = _strata(df, groups)
@@ -38,8 +54,7 @@ def _flag_smallest(
         F.col(id_col),
         lambda n: F.array((F.bround(n * F.lit(fraction), 0) - 1).cast("long")),
         list(strata),
-        12,
-        uniform=bits,
+        digits=digits,
     )
     last = keys.select(*strata, sort_key(F.col("_value"), F.col("_tie")).alias("_last"))
     own = sort_key(F.col(key), F.col(id_col))
@@ -60,7 +75,7 @@ def in_exact_sample(
 ) -> DataFrame:
     """Flag exactly round-half-even(fraction * n) rows of every group."""
     rows = df.withColumn("_key", sample_key(id_col, seed))
-    out = _flag_smallest(rows, "_key", id_col, groups, fraction, flag, KEY_BITS)
+    out = _flag_smallest(rows, "_key", _hex_digits("_key"), id_col, groups, fraction, flag)
     return out.drop("_key")
 
 
@@ -109,12 +124,12 @@ def repeated_splits(
 
     A row is hashed once; each split derives its own order from that hash.
     """
-    rows = df.withColumn("_hash", sample_key(id_col, seed))
+    rows = df.withColumn("_hash", sample_number(id_col, seed))
     many = rows.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
     many = many.withColumn("_key", split_key(F.col("_hash"), F.col("split").cast("long")))
-    out = _flag_smallest(
-        many, "_key", id_col, ["split", label], public_share, "_public", SPLIT_BITS
-    )
+    low = SPLIT_BITS - 8
+    digits = [F.shiftright("_key", low), F.shiftright("_key", low - 12) % 4096]
+    out = _flag_smallest(many, "_key", digits, id_col, ["split", label], public_share, "_public")
     return out.withColumn(
         "side", F.when(F.col("_public"), F.lit("public")).otherwise(F.lit("private"))
     ).drop("_public", "_key", "_hash")
@@ -130,21 +145,21 @@ def kfold(
 ) -> DataFrame:
     """Stratified fold numbers: each label's rows, in sample-key order, cut into equal parts."""
     rows = df.withColumns(
-        {"_key": sample_key(id_col, seed), "_stratum": F.coalesce(F.col(label).cast("string"), F.lit("\\N"))}
+        {"_key": sample_key(id_col, seed), **_strata(df, [label])}
     )
+    strata = list(_strata(df, [label]))
     cuts = keys_at(
         rows,
         F.col("_key"),
         F.col(id_col),
         lambda n: tile_ends(n, folds),
-        ["_stratum"],
-        12,
-        uniform=KEY_BITS,
+        strata,
+        digits=_hex_digits("_key"),
     )
-    ends = cuts.groupBy("_stratum").agg(
+    ends = cuts.groupBy(*strata).agg(
         F.array_sort(F.collect_list(sort_key(F.col("_value"), F.col("_tie")))).alias("_ends")
     )
-    rows = rows.join(pin(ends), "_stratum", "left")
+    rows = rows.join(pin(ends), strata, "left")
     rows = rows.withColumn("_own", sort_key(F.col("_key"), F.col(id_col)))
     rows = lower_bound(rows, "_ends", "_own", fold, folds - 1)
     return rows.select(*df.columns, fold)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import LEAVES_SECOND, row_gain, sample_key, yyyymm
+from cohortlens.functions.scalars import LEAVES_SECOND, row_gain, sample_number, yyyymm
 from cohortlens.operators.panel import churn_label, observed_periods
 from cohortlens.session import stored
 
@@ -145,7 +145,7 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("seed", runs)
     rows = rows.withColumn("trial", F.explode(F.array(F.lit(1), F.lit(2))))
     base = F.when(F.col("trial") == 1, F.col("score")).otherwise(F.col("score_b"))
-    shift = sample_key("id", F.col("seed")) % 7
+    shift = sample_number("id", F.col("seed")) % 7
     return rows.select(
         "id",
         "trial",
@@ -157,8 +157,13 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_sql(id_expr: str, seed_expr: str) -> str:
-    """The sampling order in SQL: the leading hash digits sort like the number they spell."""
-    return f"substr(md5(CAST({id_expr} AS VARCHAR) || '-' || CAST({seed_expr} AS VARCHAR)), 1, 13)"
+    """The sampling order in SQL."""
+    return f"md5(CAST({id_expr} AS VARCHAR) || '-' || CAST({seed_expr} AS VARCHAR))"
+
+
+def number_sql(id_expr: str, seed_expr: str) -> str:
+    """The leading hash digits as a number."""
+    return f"CAST('0x' || substr({key_sql(id_expr, seed_expr)}, 1, 13) AS BIGINT)"
 
 
 SEEDED = (
@@ -167,7 +172,7 @@ SEEDED = (
 seeded AS (
   SELECT id, trial, seed, label, gain,
          CAST(CAST(round(CASE WHEN trial = 1 THEN score ELSE score_b END * 100) AS BIGINT)
-              + CAST(('0x' || {key_sql("id", "seed")}) AS BIGINT) % 7 AS DOUBLE) / 100 AS pred
+              + {number_sql("id", "seed")} % 7 AS DOUBLE) / 100 AS pred
   FROM scored, (SELECT unnest([17, 19]) AS seed), (SELECT unnest([1, 2]) AS trial)
 )"""
 )

@@ -12,6 +12,7 @@ from cohortlens.plans.analogs import (
     PERIOD,
     SCORED,
     key_sql,
+    number_sql,
     scored,
     with_,
 )
@@ -73,7 +74,7 @@ SPLITS = (
     + f""",
 keyed AS (
   SELECT id, label, split, gain, score, score_b,
-         (CAST('0x' || {key_sql("id", 42)} AS BIGINT) % {SPLIT_PRIME}
+         ({number_sql("id", 42)} % {SPLIT_PRIME}
             * ((split * {SPLIT_A} + {SPLIT_B}) % {SPLIT_PRIME} + 1)
           + (split * {SPLIT_B} + {SPLIT_A}) % {SPLIT_PRIME}) % {SPLIT_PRIME} AS k
   FROM scored, (SELECT unnest(range(1, {N_SPLITS + 1})) AS split)

@@ -84,13 +84,18 @@ def test_only_buckets_with_wanted_positions_are_joined(spark):
     assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
-def test_uniform_buckets_follow_the_key(spark):
+def test_digits_of_a_hash_narrow_down_to_the_same_keys(spark):
     from cohortlens.functions import sample_key
 
-    df = spark.range(3000).withColumn("k", sample_key("id", 5))
-    out = O.running(df, F.col("k"), F.col("id"), uniform=52, bits=8)
-    got = [r["id"] for r in out.orderBy("position").collect()]
-    assert got == [r["id"] for r in df.orderBy("k", "id").collect()]
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("g"), sample_key("id", 5).alias("k"))
+    at = lambda n: F.array(F.lit(0).cast("long"), F.floor(n / 3), n - 1)
+    digits = [F.substring("k", 1, 1), F.substring("k", 2, 1)]
+    out = O.keys_at(df, F.col("k"), F.col("id"), at, ["g"], digits=digits)
+    want = []
+    for g in range(3):
+        ids = [r["id"] for r in df.where(F.col("g") == g).orderBy("k", "id").collect()]
+        want += [(g, p, ids[p]) for p in (0, 333, 999)]
+    assert sorted((r["g"], r["_position"], r["_tie"]) for r in out.collect()) == sorted(want)
 
 
 def test_lower_bound(spark):
