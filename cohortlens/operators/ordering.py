@@ -26,6 +26,8 @@ from cohortlens.session import attach, pin
 VALUE, TIE = "_value", "_tie"
 B1, B2 = "_b1", "_b2"
 BUCKET = [B1, B2]
+# fewer rows than this are not worth a bucket of their own
+BUCKET_ROWS = 64
 
 
 def default_bits(spark: SparkSession, grouped: bool) -> int:
@@ -70,6 +72,17 @@ def bucketed(
     limits = df.groupBy(*groups).agg(
         F.percentile_approx(VALUE, probs, 4 * count).alias("_values"),
         F.percentile_approx(TIE, probs, 4 * count).alias("_ties"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    # a small group needs fewer buckets: keep every limit, every second, every fourth ...
+    spare = F.ceil(F.log2(F.lit(float(count * BUCKET_ROWS)) / F.col("_rows")))
+    limits = limits.withColumn("_step", F.pow(F.lit(2), F.greatest(spare, F.lit(0))).cast("int"))
+    limits = limits.select(
+        *groups,
+        *[
+            F.filter(c, lambda _, i: (i + 1) % F.col("_step") == 0).alias(c)
+            for c in ("_values", "_ties")
+        ],
     )
     df = attach(df, limits, groups)
     df = lower_bound(df, "_values", VALUE, "_p", count - 1)

@@ -21,6 +21,7 @@ from cohortlens.plans.analogs import (
     with_,
 )
 from cohortlens.plans.registry import query
+from cohortlens.session import stored
 
 CURVE = (
     SCORED
@@ -121,7 +122,7 @@ def cut_points(spark, sf, between=None):
     rows = in_exact_sample(rows, "id", ["trial", "seed", LABEL], 0.3, F.col("seed"), "_public")
     rows = rows.withColumn("side", F.when(F.col("_public"), F.lit("public")).otherwise("private"))
     out = G.public_private_curve(
-        rows.drop("_public", LABEL), "pred", "id", "gain", "side", ["trial", "seed"], between
+        stored(rows.drop("_public", LABEL), "sided"), "pred", "id", "gain", "side", ["trial", "seed"], between
     )
     return out.withColumns({c: F.round(c, 4) for c in ("public_cum", "private_cum")})
 

@@ -66,6 +66,22 @@ def test_descending_nulls_last_and_ties_by_id(spark):
     assert [r["id"] for r in out.orderBy("position").collect()] == [3, 1, 4, 2]
 
 
+@pytest.fixture(autouse=True)
+def fine_buckets(monkeypatch):
+    """Many buckets on small tables."""
+    monkeypatch.setattr(O, "BUCKET_ROWS", 1)
+
+
+def test_small_groups_get_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(O, "BUCKET_ROWS", 64)
+    df = skewed(spark, 4000)
+    check_running(df, ["g"], bits=9)
+    sizes = O.bucketed(df, F.col("v"), F.col("id"), ["g"], bits=9).groupBy("g").agg(
+        F.countDistinct("_b1", "_b2").alias("n"), F.count("*").alias("rows")
+    )
+    assert all(r["n"] < r["rows"] / 10 for r in sizes.where("rows > 300").collect())
+
+
 def test_no_bucket_is_much_larger_than_its_share(spark):
     df = skewed(spark, 20000)
     sizes = O.bucketed(df, F.col("v"), F.col("id"), bits=6).groupBy("_b1", "_b2").count()
