@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.models.trees import assemble, fit_boosted, predict, scores_per_round
 from cohortlens.operators.evaluate import pending_runs
-from cohortlens.operators.profit import gain_max, public_private_curve
+from cohortlens.operators.profit import cutoff_submissions, gain_max, public_private_curve
 from cohortlens.operators.sampling import kfold, stratified_split
 from cohortlens.session import stored
-from cohortlens.sources.curves import RUN, write_cut_points
+from cohortlens.sources.curves import RUN, write_cut_points, write_submissions
 from cohortlens.sources.tables import finished_runs
 
 # Ranges of the parameter search, given as (low, high) and type.
@@ -218,3 +218,33 @@ def backtest(
             *[F.lit(run[k]).alias(k) for k in RUN],
         )
         write_cut_points(rows, path)
+
+
+def submissions(
+    train: DataFrame,
+    test: DataFrame,
+    id_col: str,
+    target: str,
+    weight: str | None,
+    trials: dict[int, dict],
+    seeds: list[int],
+    cutoffs: list[int],
+    path: str,
+    learning_rate: float = 0.1,
+) -> None:
+    """Train every trial with every seed, score the test rows and write all cut-offs.
+
+    The scores of all models are written once; every cut-off of every model then comes from one
+    job. Submission files are partitioned by trial, seed and cut-off.
+    """
+    parts = []
+    for number, chosen in trials.items():
+        for seed in seeds:
+            model = fit_boosted(
+                train, target, weight, chosen["best_iter"], learning_rate, chosen["params"], seed
+            )
+            scores = predict(model, test, [id_col], "Prob")
+            parts.append(scores.select("*", F.lit(number).alias("trial"), F.lit(seed).alias("seed")))
+    scores = stored(reduce(DataFrame.unionByName, parts), "scores")
+    rows = cutoff_submissions(scores, "Prob", id_col, cutoffs, ["trial", "seed"])
+    write_submissions(rows, path, ["trial", "seed"])

@@ -15,6 +15,7 @@ from cohortlens.functions.scalars import (
     safe_ratio,
     tenure_scaled,
 )
+from cohortlens.operators.ranks import ntile_features
 
 # Derived column = null-safe sum of columns.
 TOTALS = {
@@ -203,6 +204,14 @@ def class_targets(df: DataFrame, label: str) -> DataFrame:
     )
 
 
+def add_deciles(df: DataFrame, deciles: dict[str, str], id_col: str, period: str) -> DataFrame:
+    """Deciles of columns inside each period; ties by id, nulls last."""
+    out = ntile_features(
+        df, list(deciles.values()), id_col, period, tiles=10, prefix="_tile_", replace=False
+    )
+    return out.withColumnsRenamed({f"_tile_{c}": name for name, c in deciles.items()})
+
+
 def bank_features(df: DataFrame) -> DataFrame:
     """All row-wise derived columns of the bank snapshot."""
     df = scale_new_customers(df, "ctrx_quarter", "cliente_antiguedad")

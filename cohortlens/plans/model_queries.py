@@ -138,3 +138,16 @@ def backtest_cutpoints(spark, sf):
         spark, train, test, "id", "clase_binaria2", "clase_peso", LABEL, "gain", plan, trials, path, 0.3
     )
     return read_cut_points(spark, path)
+
+
+@query("model_submissions")
+def model_submissions(spark, sf):
+    train, test = assembled(spark, sf)
+    path = scratch_path(spark, "submissions")
+    trials = {0: {"params": PARAMS, "best_iter": 2}}
+    M.submissions(
+        train, test, "id", "clase_binaria2", "clase_peso", trials, [17, 18], [500, 1000, 2000], path, 0.3
+    )
+    return spark.read.csv(
+        path, header=True, schema="id bigint, Predicted int, trial int, seed int, n_envios bigint"
+    )

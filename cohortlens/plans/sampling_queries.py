@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import SPLIT_A, SPLIT_B, SPLIT_PRIME
 from cohortlens.operators import sampling as S
+from cohortlens.operators.training import training_sets as make_sets
 from cohortlens.plans.analogs import (
     ID,
     LABEL,
@@ -13,6 +14,7 @@ from cohortlens.plans.analogs import (
     SCORED,
     key_sql,
     number_sql,
+    order_months,
     scored,
     with_,
 )
@@ -67,6 +69,44 @@ def kfold_assign(spark, sf):
     return S.kfold(scored(spark, sf).select("id", LABEL), "id", LABEL, 5, seed=42)
 
 
+@query(
+    "training_sets",
+    with_(
+        SCORED,
+        f"""SELECT * FROM (
+              SELECT id, period, label, score, score_b,
+                     CASE label WHEN 'BAJA+2' THEN CAST(1.00002 AS DOUBLE)
+                                WHEN 'BAJA+1' THEN CAST(1.00001 AS DOUBLE)
+                                ELSE CAST(1 AS DOUBLE) END AS clase_peso,
+                     CASE WHEN label = 'BAJA+2' THEN 1 ELSE 0 END AS clase_binaria1,
+                     CASE WHEN label = 'CONTINUA' THEN 0 ELSE 1 END AS clase_binaria2,
+                     unnest(CASE WHEN period = 200010 THEN ['train', 'test']
+                                 WHEN period < 200010 THEN ['train'] ELSE ['test'] END) AS part
+              FROM (SELECT *, row_number() OVER (PARTITION BY period, label {_ORDER_42}) AS rn,
+                           count(*) OVER (PARTITION BY period, label) AS n
+                    FROM scored)
+              WHERE label IS NULL OR label <> 'CONTINUA' OR rn <= round_even(n * 0.4, 0))
+            WHERE part = 'test' OR label IS NOT NULL""",
+    ),
+)
+def training_sets(spark, sf):
+    rows = scored(spark, sf).drop("gain", ID)
+    months = order_months(spark, sf)
+    sets = make_sets(
+        rows,
+        "id",
+        PERIOD,
+        LABEL,
+        [m for m in months if m <= 200010],
+        [m for m in months if m >= 200010],
+        fraction=0.4,
+        drop_unlabelled=True,
+    )
+    return sets.train.withColumn("part", F.lit("train")).unionByName(
+        sets.test.withColumn("part", F.lit("test"))
+    )
+
+
 N_SPLITS = 50
 
 SPLITS = (

@@ -6,6 +6,7 @@ from cohortlens.functions import null_safe_sum, root_name, safe_ratio
 from cohortlens.operators import features as X
 from cohortlens.operators import impute as I
 from cohortlens.operators import ranks as R
+from cohortlens.operators.training import training_sets
 
 
 def test_safe_ratio_and_sum(spark):
@@ -120,3 +121,22 @@ def test_rank_family(spark):
 def test_root_name(spark):
     df = spark.createDataFrame([("lag1_a",), ("lag2_a",), ("a_lag1_",)], "n string")
     assert [r[0] for r in df.select(root_name("n")).collect()] == ["a", "a", "a_lag1_"]
+
+
+def test_deciles(spark):
+    df = spark.range(40).selectExpr("id", "cast(id % 2 as int) as foto_mes", "cast(id as int) as cliente_antiguedad", "cast(null as int) as tc_fechaalta_mayor")
+    out = X.add_deciles(df, X.DECILES, "id", "foto_mes").where("foto_mes = 0").orderBy("id")
+    got = [(r["cliente_antiguedad_decil"], r["antiguedad_tarjetas"]) for r in out.collect()]
+    assert got == [(i // 2 + 1, i // 2 + 1) for i in range(20)]
+
+
+def test_training_sets(spark):
+    rows = [(i, m, "CONTINUA" if i % 2 else "BAJA+2", 1.0, 2.0) for m in (1, 2) for i in range(20)]
+    rows += [(i, 3, None, 1.0, 2.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, foto_mes int, label string, a double, b double")
+    sets = training_sets(df, "id", "foto_mes", "label", [1, 2], [3], fraction=0.5, drop=["b"])
+    assert sets.features == ["a"] and sets.test.count() == 5
+    got = {r[0]: r[1] for r in sets.train.groupBy("label").count().collect()}
+    assert got == {"CONTINUA": 10, "BAJA+2": 20}
+    also = training_sets(df, "id", "foto_mes", "label", [1, 3], [3], drop_unlabelled=True)
+    assert also.train.count() == 20 and also.test.count() == 5

@@ -135,3 +135,12 @@ def test_backtest_resumes(spark, rows, tmp_path):
     assert curve.count() == 1200
     sides = curve.where("seed = 17").agg(F.sum((F.col("public") != 0).cast("int")), F.max("nro_envios")).first()
     assert sides[1] == 599 and sides[0] == 180
+
+
+def test_submissions_of_all_models_and_cutoffs(spark, rows, tmp_path):
+    path = str(tmp_path / "sub")
+    trials = {3: {"params": {"num_leaves": 4}, "best_iter": 2}}
+    M.submissions(ready(rows), ready(rows), "id", "y", "w", trials, [17, 19], [50, 100], path)
+    out = spark.read.csv(path, header=True, schema="id bigint, Predicted int, trial int, seed int, n_envios int")
+    got = {tuple(r) for r in out.groupBy("trial", "seed", "n_envios").agg(F.count("*"), F.sum("Predicted")).collect()}
+    assert got == {(3, s, n, 600, n) for s in (17, 19) for n in (50, 100)}
