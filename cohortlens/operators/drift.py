@@ -94,7 +94,8 @@ def psi(
         ["feature"],
         bits=bits,
     )
-    edges = pin(edges.select("feature", F.array_distinct("edges").alias("edges")))
+    edges = edges.select("feature", F.array_distinct("edges").alias("edges"))
+    edges = pin(edges, row_bytes=8 * (buckets + 1))
 
     binned = lower_bound(
         rows.join(edges, "feature"), "edges", "value", "_upto", buckets + 1, inclusive=True

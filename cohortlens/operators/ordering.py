@@ -75,7 +75,7 @@ def bucketed(
         F.count(F.lit(1)).alias("_rows"),
     )
     # a small group needs fewer buckets: keep every limit, every second, every fourth ...
-    spare = F.ceil(F.log2(F.lit(float(count * BUCKET_ROWS)) / F.col("_rows")))
+    spare = F.ceil(F.log2(F.lit(float(count * BUCKET_ROWS)) / F.greatest("_rows", F.lit(1))))
     limits = limits.withColumn("_step", F.pow(F.lit(2), F.greatest(spare, F.lit(0))).cast("int"))
     limits = limits.select(
         *groups,
@@ -84,7 +84,7 @@ def bucketed(
             for c in ("_values", "_ties")
         ],
     )
-    df = attach(df, limits, groups)
+    df = attach(df, limits, groups, row_bytes=16 * count)
     df = lower_bound(df, "_values", VALUE, "_p", count - 1)
     df = lower_bound(df, "_ties", TIE, "_q", count - 1)
 

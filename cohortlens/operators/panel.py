@@ -100,7 +100,7 @@ def churn_label(
         {"_lead1": F.lead(period, 1).over(w), "_lead2": F.lead(period, 2).over(w)}
     )
     if calendar:
-        last = F.lit(month_number(periods[-1]))
+        last = F.lit(month_number(max(periods, default=0)))
         now = month_index(period)
         ahead1 = month_index("_lead1") - now
         ahead2 = month_index("_lead2") - now

@@ -66,7 +66,7 @@ def ntile_features(
             for i, c in enumerate(cols)
         ]
     )
-    out = df.join(pin(per_period), period, "left")
+    out = df.join(pin(per_period, row_bytes=32 * tiles * len(cols)), period, "left")
     for i, c in enumerate(cols):
         out = out.withColumn("_own", sort_key(F.col(c).cast("double"), F.col(id_col)))
         out = lower_bound(out, f"_cut{i}", "_own", f"{prefix}{c}", tiles - 1)

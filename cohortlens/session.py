@@ -66,26 +66,30 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     """Fix the content of a summary, so that every later pass sees the same values.
 
     A summary within the limits becomes a broadcast side. A larger one is stored in the shared
-    folder and joined by a shuffle, where adaptive execution splits skewed keys.
+    folder and joined by a shuffle, where adaptive execution splits skewed keys. `row_bytes`
+    is the expected row width, so that rows with long arrays are not fetched in large numbers.
     """
-    table = df.limit(PIN_ROWS + 1).toArrow()
-    if table.num_rows <= PIN_ROWS and table.nbytes <= PIN_BYTES:
+    most = max(1, min(PIN_ROWS, PIN_BYTES // row_bytes))
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows <= most and table.nbytes <= PIN_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
     return stored(df, "pinned")
 
 
-def attach(df: DataFrame, small: DataFrame, groups: list[str]) -> DataFrame:
+def attach(
+    df: DataFrame, small: DataFrame, groups: list[str], row_bytes: int = 100
+) -> DataFrame:
     """Add the columns of a small per-group summary to every row of its group.
 
     Without groups the summary is one row, and its values become constants of the plan.
     Rows whose group is missing from the summary get nulls.
     """
     if groups:
-        return df.join(pin(small), groups, "left")
+        return df.join(pin(small, row_bytes), groups, "left")
     text = small.select(F.to_json(F.struct("*"))).first()[0]
     row = F.from_json(F.lit(text), small.schema)
     return df.withColumns({c: row[c] for c in small.columns})

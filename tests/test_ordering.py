@@ -125,7 +125,7 @@ def test_lower_bound(spark):
     assert got == [(0, 0), (0, 1), (1, 1), (1, 3), (3, 3), (3, 4), (4, 4)]
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(
         st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-3, 3))),

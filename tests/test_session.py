@@ -21,6 +21,12 @@ def test_pin_checks_bytes_too(spark, monkeypatch):
     assert S.pin(wide).inputFiles()
 
 
+def test_pin_fetches_few_wide_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "PIN_BYTES", 10_000)
+    assert not S.pin(spark.range(9), row_bytes=1000).inputFiles()
+    assert S.pin(spark.range(11), row_bytes=1000).inputFiles()
+
+
 def test_attach_without_groups_keeps_values_exact(spark):
     one = spark.createDataFrame(
         [([0.1, 1 / 3, float("inf"), -1e-300, float("nan")], 2**62, None)],
