@@ -1,7 +1,8 @@
 """Ordering a whole table, or huge groups of it, without sending a group to one task.
 
 A window without partitions, or partitioned by a month, runs in as many tasks as there are
-months. Here each group is cut into buckets whose order follows the sort key:
+months. That is fine while the largest group, which is counted first, fits one task. Beyond that
+each group is cut into buckets whose order follows the sort key:
 
 1. approximate quantiles of the key give the bucket limits (one partial aggregate);
 2. row counts and sums per bucket give every bucket its starting position (partial aggregate);
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import attach, pin
+from cohortlens.session import attach, pin, window_rows
 
 VALUE, TIE = "_value", "_tie"
 B1, B2 = "_b1", "_b2"
@@ -103,10 +104,20 @@ def bucketed(
     ).drop("_values", "_ties", "_p", "_q")
 
 
+def group_sizes(df: DataFrame, groups: list[str]) -> tuple[DataFrame, bool]:
+    """Row count `_total` of every group, and whether one task can sort the largest."""
+    sizes = pin(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total")))
+    largest = sizes.agg(F.max("_total")).first()[0] or 0
+    return sizes, largest <= window_rows(df.sparkSession)
+
+
+def _window(groups: list[str]):
+    return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+
+
 def _before(groups: list[str], order: list[str] = BUCKET):
     """Window over the buckets of a group that come earlier; its size is the bucket count."""
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    return w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return _window(groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(
@@ -128,12 +139,28 @@ def running(
     `between=(a, b)` keeps positions a <= p < b; buckets outside are never shuffled.
     """
     groups, sums = list(groups), dict(sums or {})
+    order = [value.asc_nulls_last(), tie]
+    if group_sizes(df, groups)[1]:
+        rows = _window(groups).orderBy(*order)
+        upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        added = {position: (F.row_number().over(rows) - 1).cast("long")}
+        added.update({n: F.sum(c).over(upto) for n, c in sums.items()})
+        if rank:
+            ranked = F.rank().over(_window(groups).orderBy(value.asc_nulls_last()))
+            added[rank] = ranked.cast("long")
+        if total:
+            added[total] = F.count(F.lit(1)).over(_window(groups))
+        df = df.withColumns(added)
+        if between is not None:
+            df = df.where((F.col(position) >= between[0]) & (F.col(position) < between[1]))
+        return df
+
     df = bucketed(df, value, tie, groups, bits).drop(VALUE, TIE)
 
     sizes = df.groupBy(*groups, *BUCKET).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()]
     )
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    whole = _window(groups)
     starts = sizes.select(
         *groups,
         *BUCKET,
@@ -154,7 +181,6 @@ def running(
         )
     df = df.join(pin(starts.drop("_n")), [*groups, *BUCKET])
 
-    order = [value.asc_nulls_last(), tie]
     inside = Window.partitionBy(*groups, *BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {position: F.col("_start") + F.row_number().over(inside) - 1}
@@ -194,6 +220,15 @@ def keys_at(
     Returns groups, `_total`, `_position`, `_value`, `_tie`.
     """
     groups = list(groups)
+    totals, fits = group_sizes(df, groups)
+    if fits:
+        rows = df.select(*groups, value.alias(VALUE), tie.alias(TIE))
+        sorted_ = _window(groups).orderBy(F.col(VALUE).asc_nulls_last(), F.col(TIE))
+        rows = rows.withColumn("_position", (F.row_number().over(sorted_) - 1).cast("long"))
+        asked = F.explode(F.array_distinct(positions(F.col("_total"))))
+        wanted = pin(totals.select("*", asked.alias("_position")))
+        rows = rows.join(wanted, [*groups, "_position"])
+        return rows.select(*groups, "_total", "_position", VALUE, TIE)
     if digits:
         steps = [[f"_d{i}"] for i in range(len(digits))]
         df = df.withColumns({VALUE: value, TIE: tie})
@@ -210,8 +245,8 @@ def keys_at(
         sizes = inside.groupBy(*parents, *step).agg(F.count(F.lit(1)).alias("_n"), *limits)
         start = F.coalesce(F.sum("_n").over(_before(parents, step)), F.lit(0))
         if wanted is None:
-            whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-            sizes = sizes.withColumns({"_start": start, "_total": F.sum("_n").over(whole)})
+            whole = F.sum("_n").over(_window(groups))
+            sizes = sizes.withColumns({"_start": start, "_total": whole})
             sizes = sizes.withColumn("_wanted", positions(F.col("_total")))
         else:
             sizes = sizes.withColumn("_offset", start).join(wanted, parents)

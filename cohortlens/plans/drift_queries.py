@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cohortlens.operators import drift as D
 from cohortlens.plans.analogs import ID, MEASURES, PANEL, PERIOD, stored_panel, table, with_
 from cohortlens.functions.scalars import yyyymm
-from cohortlens.plans.registry import query
+from cohortlens.plans.registry import ORACLES, query
+from cohortlens.session import always_buckets
 
 _TRAIN = [199500 + m for m in range(1, 13)] + [199600 + m for m in range(1, 13)]
 _SCORE = [199700 + m for m in range(1, 13)] + [199800 + m for m in range(1, 13)]
@@ -130,3 +131,21 @@ def column_profile(spark, sf):
         "paid", F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice"))
     )
     return D.column_profile(lines, _PROFILED)
+
+
+@query("psi_feature_buckets", ORACLES["psi_feature"])
+def psi_feature_buckets(spark, sf):
+    with always_buckets(spark):
+        return psi_feature(spark, sf)
+
+
+@query("psi_all_buckets", ORACLES["psi_all"])
+def psi_all_buckets(spark, sf):
+    with always_buckets(spark):
+        return psi_all(spark, sf)
+
+
+@query("describe_numeric_buckets", ORACLES["describe_numeric"])
+def describe_numeric_buckets(spark, sf):
+    with always_buckets(spark):
+        return describe_numeric(spark, sf)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cohortlens.operators import evaluate as E
 from cohortlens.plans.analogs import LABEL, SCORED, SEEDS, scored, table, with_
 from cohortlens.plans.profit_queries import CUT_POINTS, cut_points
-from cohortlens.plans.registry import query
+from cohortlens.plans.registry import ORACLES, query
+from cohortlens.session import always_buckets
 from cohortlens.plans.sampling_queries import BOARD, board
 
 
@@ -302,3 +303,7 @@ def wilcoxon_stat(spark, sf):
     return out.withColumn("z", F.round("z", 6))
 
 
+@query("wilcoxon_stat_buckets", ORACLES["wilcoxon_stat"])
+def wilcoxon_stat_buckets(spark, sf):
+    with always_buckets(spark):
+        return wilcoxon_stat(spark, sf)

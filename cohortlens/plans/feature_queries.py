@@ -25,8 +25,8 @@ from cohortlens.plans.analogs import (
     table,
     with_,
 )
-from cohortlens.plans.registry import query
-from cohortlens.session import stored
+from cohortlens.plans.registry import ORACLES, query
+from cohortlens.session import always_buckets, stored
 
 # every line's key columns and amounts; the last three carry nulls
 _LINES = """
@@ -333,3 +333,19 @@ def rank_family(spark, sf):
     return R.rank_family(stored_panel(spark, sf), _FLAGS, ID, PERIOD)
 
 
+@query("ntile_features_buckets", ORACLES["ntile_features"])
+def ntile_features_buckets(spark, sf):
+    with always_buckets(spark):
+        return ntile_features(spark, sf)
+
+
+@query("rank_family_buckets", ORACLES["rank_family"])
+def rank_family_buckets(spark, sf):
+    with always_buckets(spark):
+        return rank_family(spark, sf)
+
+
+@query("tenure_decile_buckets", ORACLES["tenure_decile"])
+def tenure_decile_buckets(spark, sf):
+    with always_buckets(spark):
+        return tenure_decile(spark, sf)

@@ -20,8 +20,8 @@ from cohortlens.plans.analogs import (
     seeded,
     with_,
 )
-from cohortlens.plans.registry import query
-from cohortlens.session import stored
+from cohortlens.plans.registry import ORACLES, query
+from cohortlens.session import always_buckets, stored
 
 CURVE = (
     SCORED
@@ -189,3 +189,33 @@ CUTOFFS = list(range(8000, 14000, 250))
 def cutoff_submissions(spark, sf):
     rows = scored(spark, sf).select("id", "score")
     return G.cutoff_submissions(rows, "score", "id", CUTOFFS)
+
+
+@query("gain_curve_buckets", ORACLES["gain_curve"])
+def gain_curve_buckets(spark, sf):
+    with always_buckets(spark):
+        return gain_curve(spark, sf)
+
+
+@query("public_private_curve_buckets", ORACLES["public_private_curve"])
+def public_private_curve_buckets(spark, sf):
+    with always_buckets(spark):
+        return public_private_curve(spark, sf)
+
+
+@query("curve_window_buckets", ORACLES["curve_window"])
+def curve_window_buckets(spark, sf):
+    with always_buckets(spark):
+        return curve_window(spark, sf)
+
+
+@query("cutoff_submissions_buckets", ORACLES["cutoff_submissions"])
+def cutoff_submissions_buckets(spark, sf):
+    with always_buckets(spark):
+        return cutoff_submissions(spark, sf)
+
+
+@query("best_cutoff_grid_buckets", ORACLES["best_cutoff_grid"])
+def best_cutoff_grid_buckets(spark, sf):
+    with always_buckets(spark):
+        return best_cutoff_grid(spark, sf)

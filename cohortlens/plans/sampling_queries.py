@@ -18,7 +18,8 @@ from cohortlens.plans.analogs import (
     scored,
     with_,
 )
-from cohortlens.plans.registry import query
+from cohortlens.plans.registry import ORACLES, query
+from cohortlens.session import always_buckets
 
 _ORDER_42 = f"ORDER BY {key_sql('id', 42)}, id"
 
@@ -161,3 +162,27 @@ board AS (
 @query("repeated_splits", with_(BOARD, "SELECT CAST(split AS INTEGER) AS split, * EXCLUDE (split) FROM board"))
 def repeated_splits(spark, sf):
     return board(spark, sf)
+
+
+@query("undersample_buckets", ORACLES["undersample"])
+def undersample_buckets(spark, sf):
+    with always_buckets(spark):
+        return undersample(spark, sf)
+
+
+@query("stratified_split_buckets", ORACLES["stratified_split"])
+def stratified_split_buckets(spark, sf):
+    with always_buckets(spark):
+        return stratified_split(spark, sf)
+
+
+@query("kfold_assign_buckets", ORACLES["kfold_assign"])
+def kfold_assign_buckets(spark, sf):
+    with always_buckets(spark):
+        return kfold_assign(spark, sf)
+
+
+@query("repeated_splits_buckets", ORACLES["repeated_splits"])
+def repeated_splits_buckets(spark, sf):
+    with always_buckets(spark):
+        return repeated_splits(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,26 @@ PIN_ROWS = 500_000
 PIN_BYTES = 64 << 20
 
 
+# Largest group that one task may sort; a session can set its own value under this name.
+WINDOW_ROWS_CONF = "cohortlens.windowRows"
+WINDOW_ROWS = 1_000_000
+
+
+def window_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(WINDOW_ROWS_CONF, str(WINDOW_ROWS)))
+
+
+@contextmanager
+def always_buckets(spark: SparkSession):
+    """Plans made inside treat every group as too large for one task."""
+    before = spark.conf.get(WINDOW_ROWS_CONF, str(WINDOW_ROWS))
+    spark.conf.set(WINDOW_ROWS_CONF, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(WINDOW_ROWS_CONF, before)
+
+
 def local_session(cores: int | str = "*", app: str = "cohortlens") -> SparkSession:
     """A session for tests and benchmarks on one machine.
 

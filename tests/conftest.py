@@ -22,3 +22,15 @@ def tiny_pins(monkeypatch):
     from cohortlens import session
 
     monkeypatch.setattr(session, "PIN_ROWS", 1)
+
+
+@pytest.fixture(autouse=True)
+def order_path(request, spark):
+    """Unit tests take the path for large groups; the registered queries choose by size."""
+    from cohortlens.session import always_buckets
+
+    if request.module.__name__.endswith("test_queries"):
+        yield
+    else:
+        with always_buckets(spark):
+            yield

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import ordering as O
+from cohortlens.session import WINDOW_ROWS_CONF, always_buckets
 
 
 def skewed(spark, n=4000):
@@ -50,6 +51,29 @@ def test_running_without_broadcast_sides(spark, tiny_pins):
     check_running(skewed(spark, 1500), ["g"], bits=5)
 
 
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_small_groups_use_plain_windows(spark, groups):
+    spark.conf.set(WINDOW_ROWS_CONF, "4000")
+    df = skewed(spark)
+    check_running(df, groups)
+    at = lambda n: F.array(F.lit(0).cast("long"), n - 1, n - 1)
+    few = O.keys_at(df, F.col("v"), F.col("id"), at, groups)
+    with always_buckets(spark):
+        same = O.keys_at(df, F.col("v"), F.col("id"), at, groups)
+    assert few.columns == same.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, same.collect()))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "_b1" not in plan
+
+
+def test_the_largest_group_decides(spark):
+    df = skewed(spark, 900)
+    spark.conf.set(WINDOW_ROWS_CONF, "359")
+    assert not O.group_sizes(df, ["g"])[1]
+    spark.conf.set(WINDOW_ROWS_CONF, "360")
+    assert O.group_sizes(df, ["g"])[1]
+
+
 def test_running_keeps_only_wanted_positions(spark):
     df = skewed(spark)
     out = O.running(df, -F.col("v"), F.col("id"), between=(100, 250))
