@@ -104,11 +104,11 @@ def bucketed(
     ).drop("_values", "_ties", "_p", "_q")
 
 
-def group_sizes(df: DataFrame, groups: list[str]) -> tuple[DataFrame, bool]:
-    """Row count `_total` of every group, and whether one task can sort the largest."""
+def group_sizes(df: DataFrame, groups: list[str]) -> tuple[DataFrame, int, int]:
+    """Row count `_total` of every group; the largest count, and the count of all rows."""
     sizes = pin(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total")))
-    largest = sizes.agg(F.max("_total")).first()[0] or 0
-    return sizes, largest <= window_rows(df.sparkSession)
+    largest, rows = sizes.agg(F.max("_total"), F.sum("_total")).first()
+    return sizes, largest or 0, rows or 0
 
 
 def _window(groups: list[str]):
@@ -140,7 +140,8 @@ def running(
     """
     groups, sums = list(groups), dict(sums or {})
     order = [value.asc_nulls_last(), tie]
-    if group_sizes(df, groups)[1]:
+    # all rows are shuffled either way, so only the largest group matters
+    if group_sizes(df, groups)[1] <= window_rows(df.sparkSession):
         rows = _window(groups).orderBy(*order)
         upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         added = {position: (F.row_number().over(rows) - 1).cast("long")}
@@ -220,8 +221,9 @@ def keys_at(
     Returns groups, `_total`, `_position`, `_value`, `_tie`.
     """
     groups = list(groups)
-    totals, fits = group_sizes(df, groups)
-    if fits:
+    totals, _, count = group_sizes(df, groups)
+    # buckets shuffle only the rows around the wanted positions, so all rows must be few
+    if count <= window_rows(df.sparkSession):
         rows = df.select(*groups, value.alias(VALUE), tie.alias(TIE))
         sorted_ = _window(groups).orderBy(F.col(VALUE).asc_nulls_last(), F.col(TIE))
         rows = rows.withColumn("_position", (F.row_number().over(sorted_) - 1).cast("long"))

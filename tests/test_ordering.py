@@ -66,12 +66,11 @@ def test_small_groups_use_plain_windows(spark, groups):
     assert "_b1" not in plan
 
 
-def test_the_largest_group_decides(spark):
-    df = skewed(spark, 900)
-    spark.conf.set(WINDOW_ROWS_CONF, "359")
-    assert not O.group_sizes(df, ["g"])[1]
-    spark.conf.set(WINDOW_ROWS_CONF, "360")
-    assert O.group_sizes(df, ["g"])[1]
+def test_group_sizes(spark):
+    sizes, largest, count = O.group_sizes(skewed(spark, 900), ["g"])
+    assert (largest, count) == (360, 900)
+    assert {r["g"]: r["_total"] for r in sizes.collect()}["big"] == 360
+    assert O.group_sizes(skewed(spark, 900), [])[1:] == (900, 900)
 
 
 def test_running_keeps_only_wanted_positions(spark):
