@@ -31,8 +31,7 @@ def null_safe_sum(*cols: str | Column) -> Column:
 
 def safe_ratio(num: str | Column, den: str | Column) -> Column:
     """num / den; null when the denominator is null or zero, zero when only num is null."""
-    n, d = F.coalesce(_col(num), F.lit(0)), _col(den)
-    return F.when(F.coalesce(d, F.lit(0)) != 0, n / d)
+    return F.coalesce(_col(num), F.lit(0)) / F.nullif(_col(den), F.lit(0))
 
 
 def variation(now: str | Column, before: str | Column) -> Column:

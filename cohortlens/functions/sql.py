@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 # Names under which queries call the helpers.
 SQL_FUNCTIONS = {
     "suma_sin_null": "coalesce(a, 0) + coalesce(b, 0)",
-    "division_segura": "if(coalesce(b, 0) = 0, NULL, coalesce(a, 0) / b)",
+    "division_segura": "coalesce(a, 0) / nullif(b, 0)",
 }
 
 

@@ -80,27 +80,23 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn_label(panel(spark, sf_dir), ID, PERIOD, LABEL, periods=months)
 
 
-# the label by its definition: dense panel, presence flags and leads
+# the label by its definition: is the customer there in the next two observed months?
 LABELLED = (
     PANEL
     + """,
-dense AS (
-  SELECT cust, period FROM (SELECT DISTINCT cust FROM panel), (SELECT DISTINCT period FROM panel)
-),
-flags AS (
-  SELECT d.cust, d.period, CASE WHEN p.cust IS NULL THEN 0 ELSE 1 END AS m0
-  FROM dense d LEFT JOIN panel p ON p.cust = d.cust AND p.period = d.period
-),
-ahead AS (
-  SELECT cust, period, m0,
-         lead(m0, 1) OVER w AS m1, lead(m0, 2) OVER w AS m2
-  FROM flags WINDOW w AS (PARTITION BY cust ORDER BY period)
+months AS (
+  SELECT period, lead(period, 1) OVER (ORDER BY period) AS next1,
+         lead(period, 2) OVER (ORDER BY period) AS next2
+  FROM (SELECT DISTINCT period FROM panel)
 ),
 labelled AS (
-  SELECT p.*, CASE WHEN m2 = 1 THEN 'CONTINUA'
-                   WHEN m2 = 0 AND m1 = 1 THEN 'BAJA+2'
-                   WHEN m2 = 0 AND m1 = 0 THEN 'BAJA+1' END AS label
-  FROM panel p JOIN ahead a ON a.cust = p.cust AND a.period = p.period AND m0 = 1
+  SELECT p.*, CASE WHEN next2 IS NULL THEN NULL
+                   WHEN second.cust IS NOT NULL THEN 'CONTINUA'
+                   WHEN first.cust IS NOT NULL THEN 'BAJA+2'
+                   ELSE 'BAJA+1' END AS label
+  FROM panel p JOIN months m ON m.period = p.period
+  LEFT JOIN panel first ON first.cust = p.cust AND first.period = next1
+  LEFT JOIN panel second ON second.cust = p.cust AND second.period = next2
 )"""
 )
 

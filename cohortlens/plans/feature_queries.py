@@ -56,7 +56,7 @@ _KEYS = "l_orderkey, l_linenumber, l_partkey"
 
 @query(
     "null_safe_sum",
-    with_(_LINES, f"SELECT {_KEYS}, price, ifnull(kept, 0) + ifnull(price, 0) AS total FROM lines"),
+    with_(_LINES, f"SELECT {_KEYS}, price, coalesce(kept, 0) + coalesce(price, 0) AS total FROM lines"),
 )
 def null_safe_sum_query(spark, sf):
     rows = _lines(spark, sf)
@@ -68,9 +68,8 @@ def null_safe_sum_query(spark, sf):
     with_(
         _LINES,
         f"""SELECT {_KEYS}, price,
-                   CASE WHEN ifnull(tax, 0) = 0 THEN NULL ELSE ifnull(kept, 0) / tax END AS ratio,
-                   CASE WHEN ifnull(l_linenumber - 1, 0) = 0 THEN NULL
-                        ELSE ifnull(qty, 0) / (l_linenumber - 1) END AS per_line
+                   coalesce(kept, 0) / nullif(tax, 0) AS ratio,
+                   coalesce(qty, 0) / nullif(l_linenumber - 1, 0) AS per_line
             FROM lines""",
     ),
 )
@@ -89,10 +88,10 @@ def safe_ratio_query(spark, sf):
     with_(
         _LINES,
         f"""SELECT {_KEYS}, price,
-                   ifnull(kept, 0) + ifnull(price, 0) AS m_total,
-                   ifnull(discount, 0) + ifnull(tax, 0) + ifnull(qty, 0) AS rates_total,
-                   (ifnull(kept, 0) + ifnull(price, 0))
-                     + (ifnull(discount, 0) + ifnull(tax, 0) + ifnull(qty, 0)) AS grand_total
+                   coalesce(kept, 0) + coalesce(price, 0) AS m_total,
+                   coalesce(discount, 0) + coalesce(tax, 0) + coalesce(qty, 0) AS rates_total,
+                   (coalesce(kept, 0) + coalesce(price, 0))
+                     + (coalesce(discount, 0) + coalesce(tax, 0) + coalesce(qty, 0)) AS grand_total
             FROM lines""",
     ),
 )
@@ -134,7 +133,7 @@ _RATIOS = {
         PANEL,
         "SELECT cust, period, "
         + ", ".join(
-            f"CASE WHEN ifnull({d}, 0) = 0 THEN NULL ELSE CAST(ifnull({n}, 0) AS DOUBLE) / {d} END AS {o}"
+            f"CAST(coalesce({n}, 0) AS DOUBLE) / nullif({d}, 0) AS {o}"
             for o, (n, d) in _RATIOS.items()
         )
         + " FROM panel",
@@ -148,8 +147,8 @@ def ratio_features(spark, sf):
     "sql_functions",
     with_(
         _LINES,
-        f"""SELECT {_KEYS}, price, ifnull(kept, 0) + ifnull(price, 0) AS total,
-                   CASE WHEN ifnull(tax, 0) = 0 THEN NULL ELSE ifnull(kept, 0) / tax END AS ratio
+        f"""SELECT {_KEYS}, price, coalesce(kept, 0) + coalesce(price, 0) AS total,
+                   coalesce(kept, 0) / nullif(tax, 0) AS ratio
             FROM lines""",
     ),
 )

@@ -86,9 +86,10 @@ def dense_panel(spark, sf):
 @query(
     "panel_presence",
     with_(
-        LABELLED,
-        """SELECT f.cust, f.period, f.m0 AS present, p.spend
-           FROM flags f LEFT JOIN panel p ON p.cust = f.cust AND p.period = f.period""",
+        PANEL,
+        """SELECT c.cust, m.period, CASE WHEN p.cust IS NULL THEN 0 ELSE 1 END AS present, p.spend
+           FROM (SELECT DISTINCT cust FROM panel) c, (SELECT DISTINCT period FROM panel) m
+           LEFT JOIN panel p ON p.cust = c.cust AND p.period = m.period""",
     ),
 )
 def panel_presence(spark, sf):

@@ -60,9 +60,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session on one machine may fall back to a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if named:
+        if not current:
+            spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
