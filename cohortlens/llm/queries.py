@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import near_dup, quality
+from cohortlens.llm import decontaminate, near_dup, pii, quality
 from cohortlens.llm.common import held_out, table
 
 QUERIES = {}
@@ -65,3 +65,61 @@ def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rows(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", "quality")
     return docs.select("doc_id", "text").where(~held_out("doc_id", 3, 1)).join(labels, "doc_id").select("text", "quality")
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "leaks.*")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op6_benchmark_decontamination"] = r"""
+WITH dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+    FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+          FROM iw WHERE len(w) > 0)
+), occ AS (
+    SELECT doc_id, i, d.n, item_id
+    FROM (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)) d
+    JOIN win ON win.n = d.n AND win.s = d.s
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id
+), its AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+@query
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: pattern spans, and the terms that disclose it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs.select("doc_id", "text")).select("doc_id", "personal.*")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
