@@ -85,22 +85,21 @@ def _valid(kind: str):
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, rank, end, kind, value>> of the pattern matches, by start, then kind as listed."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def named(rank: int, kind: str):
+        value = F.lower if kind in ("email", "ip") else digits
+        return lambda s: F.struct(
+            s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
+            F.lit(kind).alias("kind"), value(s["value"]).alias("value"),
+        )
+
     found = []
     for rank, kind in enumerate(KINDS):
-        spans = matches(text, PATTERNS[kind], _valid(kind))
         # Texts without the sign that a kind needs are not split at all.
         needed = text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        value = (lambda v: F.lower(v)) if kind in ("email", "ip") else digits
-        found.append(
-            F.transform(
-                F.when(needed, spans).otherwise(none),
-                lambda s, rank=rank, kind=kind, value=value: F.struct(
-                    s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
-                    F.lit(kind).alias("kind"), value(s["value"]).alias("value"),
-                ),
-            )
-        )
+        spans = F.when(needed, matches(text, PATTERNS[kind], _valid(kind))).otherwise(none)
+        found.append(F.transform(spans, named(rank, kind)))
     return F.array_sort(F.concat(*found))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, near_dup, pii, quality
+from cohortlens.llm import decontaminate, near_dup, packing, pii, quality
 from cohortlens.llm.common import held_out, table
 
 QUERIES = {}
@@ -123,3 +123,17 @@ def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces, packed best-fit decreasing into sequences of 2048."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, tokenizer_file(), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
