@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import near_dup, quality
+from cohortlens.llm import decontaminate, near_dup, packing, pii, quality
 from cohortlens.llm.common import fresh, table
-from cohortlens.llm.queries import quality_rows
+from cohortlens.llm.queries import quality_rows, tokenizer_file
 from cohortlens.session import stored
 
 
@@ -24,9 +24,35 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dup.keep_one(docs)
 
 
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the passages of benchmark items cut out of their texts."""
+    return recount(docs, decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it masked in their texts."""
+    return recount(docs, pii.sanitise(docs))
+
+
+def recount(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The number of characters follows the changed text, where the table has it."""
+    if "n_chars" not in before.columns:
+        return after
+    kind = before.schema["n_chars"].dataType
+    return after.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces (with their ids) and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_file())
+
+
 STAGES = [
     ("quality", keep_quality),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", cut_benchmark),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
 ]
 
 ORACLE_SQL = None
