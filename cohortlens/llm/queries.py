@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, near_dup, packing, pii, quality
+from cohortlens.llm import decontaminate, near_dup, ngram_lm, packing, pii, quality
 from cohortlens.llm.common import held_out, table
 
 QUERIES = {}
@@ -137,3 +137,11 @@ def tokenizer_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the n-gram model of those with crc32 mod 7 other than 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.train(docs.where(~held_out("doc_id", 7, 2)))
+    return ngram_lm.score(docs, model).select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "lm.*")
