@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import GOLDEN, U64, arrow_map, fresh, hashes, mix, shingles, text_steps, words_of
+from cohortlens.llm.common import GOLDEN, U64, arrow_map, fresh, hashes, mix, shingles, ship, text_steps, words_of
 from cohortlens.llm.components import components
 from cohortlens.session import stored
 
@@ -27,8 +27,12 @@ COORDINATES, BAND = 96, 4
 SHINGLE, SIMILAR = 5, 0.8
 # Pairs whose signatures agree in a smaller share are not similar: 0.6 is 4.9 deviations below 0.8.
 AGREE = 0.6
-# Buckets with more members are split by a second band before pairs are listed.
-LARGE_BUCKET = 48
+# Members of larger buckets get finer signatures, of which 0.74 is 3.4 deviations below 0.8.
+LARGE_BUCKET, FINE, FINE_AGREE = 48, 512, 0.74
+# Members of a large bucket that one task compares with as many others.
+BLOCK = 1024
+# Size of the filter by which tasks skip texts that are in no pair: 16 MB, however many there are.
+FILTER_BITS = 27
 TO_UNIT = 2.0**-53
 
 
@@ -112,26 +116,60 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bands, signature) of each text; texts without words have no signature and no row."""
+def _signed(texts: DataFrame) -> DataFrame:
+    """(key, bands, signature) of each text (key, text); texts without words have no row."""
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0)
-            for start, texts in text_steps(batch.column(1)):
-                sets = [text_shingles(t) for t in texts]
-                some = [i for i, s in enumerate(sets) if len(s)]
-                signed = signatures([(sets[i], np.ones(len(sets[i]))) for i in some])
+            for start, some in text_steps(batch.column(1)):
+                sets = [text_shingles(t) for t in some]
+                at = [i for i, s in enumerate(sets) if len(s)]
+                signed = signatures([(sets[i], np.ones(len(sets[i]))) for i in at])
                 bands = band_keys(signed).astype(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "key": keys.take(pa.array([start + i for i in some], pa.int64())),
+                        "key": keys.take(pa.array([start + i for i in at], pa.int64())),
                         "bands": pa.array(list(bands), pa.list_(pa.int64())),
                         "signature": pa.array([r.tobytes() for r in signed], pa.binary()),
                     }
                 )
 
-    return arrow_map(docs.select(key, text), run, "key binary, bands array<bigint>, signature binary")
+    return arrow_map(texts.select("key", "text"), run, "key binary, bands array<bigint>, signature binary")
+
+
+def _wanted(texts: DataFrame, pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, text) of the texts in `pairs`, once each, without a shuffle of all texts.
+
+    A bit for each wanted key, in a filter of fixed size, keeps nearly all others in their tasks.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    keys = stored(signed.select("key", "node").join(nodes, "node"), "wanted")
+    place = F.shiftrightunsigned(F.xxhash64("key"), 64 - FILTER_BITS)
+    part_bits = min(19, FILTER_BITS)
+
+    def unite(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << part_bits, np.uint8)
+        bits[table.column("place").to_numpy() & ((1 << part_bits) - 1)] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    ship(texts.sparkSession)
+    marks = keys.select(place.alias("place")).distinct().withColumn("part", F.shiftright("place", part_bits))
+    made = marks.groupBy("part").applyInArrow(unite, "part bigint, bits binary")
+    bits = np.zeros((1 << (FILTER_BITS - part_bits), 1 << (part_bits - 3)), np.uint8)
+    for part, data in made.toLocalIterator():
+        bits[part] = np.frombuffer(data, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def keep(batches):
+        held = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            on = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield batch.select([0, 1]).filter(pa.array(on))
+
+    near = arrow_map(texts.select("key", "text", place), keep, "key binary, text string")
+    return stored(near.dropDuplicates(["key"]).join(keys, "key").select("node", "text"), "texts")
 
 
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -144,83 +182,114 @@ def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             )
             yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= AGREE))
 
-    one = signed.select(F.col("key").alias("a"), F.col("signature").alias("sa"))
-    two = signed.select(F.col("key").alias("b"), F.col("signature").alias("sb"))
-    return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), run, "a binary, b binary")
+    one = signed.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
+    two = signed.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
+    return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts are similar by the exact Jaccard index."""
 
     def run(batches):
         kept = {}
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py()
-                if key not in kept:  # pairs of one text mostly follow each other
-                    kept = {key: text_shingles(batch.column(2)[i].as_py().encode())}
-                other = text_shingles(batch.column(3)[i].as_py().encode())
-                keep.append(similarity(kept[key], other) >= SIMILAR)
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a not in kept:  # pairs of one text mostly follow each other
+                    kept = {a: text_shingles(ta.as_py().encode())}
+                keep.append(similarity(kept[a], text_shingles(tb.as_py().encode())) >= SIMILAR)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    some = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = stored(texts.join(some, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    one = wanted.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    two = wanted.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    return arrow_map(pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb"), run, "a binary, b binary")
+    one = wanted.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    two = wanted.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    return arrow_map(pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb"), run, "a bigint, b bigint")
 
 
-def _mixed_pairs(bucketed: DataFrame, root: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components so far.
+def _finely_agreeing(members: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of large buckets (h, node, root, n) in different components whose finer signatures agree.
 
-    A pair of the same component needs no further link. A large bucket is split by every later
-    band of its members before pairs are listed: similar texts share several bands.
+    A bucket is cut into blocks of about BLOCK members, and any two blocks meet in one task. Only
+    agreeing pairs leave it, each from the first band that both texts share.
     """
-    placed = bucketed.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "root", F.coalesce("root", "key")
-    )
+    nodes = members.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        size = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        return rows.join(size.where("lo <> hi").select("h", "n"), "h")
-
-    def listed(rows: DataFrame) -> DataFrame:
-        a = rows.select("h", F.col("key").alias("a"), F.col("root").alias("ra"))
-        b = rows.select("h", F.col("key").alias("b"), F.col("root").alias("rb"))
-        return a.join(b, "h").where("a < b and ra <> rb").select("a", "b")
+    def sign(batches):
+        for batch in batches:
+            for start, some in text_steps(batch.column(1)):
+                sets = [text_shingles(t) for t in some]
+                fine = signatures([(s, np.ones(len(s))) for s in sets], FINE).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(some)), pa.array([r.tobytes() for r in fine], pa.binary())],
+                    names=["node", "fine"],
+                )
 
-    first = stored(mixed(placed), "mixed")
-    large = first.where(F.col("n") > LARGE_BUCKET).join(signed.select("key", "bands"), "key")
-    split = large.select("key", "root", F.col("h").alias("h1"), F.posexplode("bands").alias("p", "h2"), "bands").where(
-        F.col("p") >= F.array_position("bands", F.col("h1"))
-    ).select("key", "root", F.xxhash64("h1", "h2").alias("h"))
-    pairs = listed(first.where(F.col("n") <= LARGE_BUCKET)).unionByName(listed(mixed(split)))
-    return pairs.distinct()
+    fine = stored(arrow_map(_wanted(texts, nodes, signed), sign, "node bigint, fine binary"), "fine")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    )
+    dealt = dealt.select(
+        "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root"
+    )
+    rows = dealt.join(fine, "node").join(signed.select("node", "bands"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        h, i, j = (table.column(c)[0].as_py() for c in ("h", "i", "j"))
+        own, node, root = (table.column(c).to_numpy() for c in ("own", "node", "root"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
+        signs = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint16).reshape(len(node), -1)
+        a, b = [], []
+        second = np.flatnonzero(own == j)
+        for x in np.flatnonzero(own == i):
+            y = second[(root[second] != root[x]) & ((node[second] > node[x]) if i == j else True)]
+            y = y[(signs[y] == signs[x]).mean(axis=1) >= FINE_AGREE]
+            shared = bands[y] == bands[x]
+            y = y[bands[x][shared.argmax(axis=1)] == h] if len(y) else y
+            a.append(np.minimum(node[x], node[y]))
+            b.append(np.maximum(node[x], node[y]))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
+
+    return rows.groupBy("h", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def text_classes(texts: DataFrame) -> DataFrame:
-    """(key, root) of texts (key, text) that are near duplicates of texts with other keys; root is a key.
+    """(key, root) of texts (key, text) that are near duplicates of texts with other keys; root names the class.
 
-    1. Within each bucket of a band all members are compared with the bucket's smallest key.
-    2. Buckets whose members are still in several components get all their pairs between
-       components compared, so no link between different texts is lost to the choice in step 1.
+    1. In each bucket of a band all members are compared with the most central one, the member whose
+       buckets are largest. Copies of one original mostly link to it.
+    2. Buckets whose members are then in several components get their pairs between components
+       compared: all of them in buckets of up to LARGE_BUCKET members, by finer signatures in
+       larger ones. Members of one component need no further link.
     """
-    signed = stored(_signed(texts, "key", "text").dropDuplicates(["key"]), "signed")
-    rows = signed.select("key", F.explode("bands").alias("h"))
-    buckets = rows.groupBy("h").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "a")
-    bucketed = stored(rows.join(buckets, "h"), "bucketed")
-    stars = bucketed.where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
+    signed = _signed(texts).dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id())
+    signed = stored(signed, "signed")  # numbered once, in the written table
+    rows = signed.select("node", F.explode("bands").alias("h"))
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucketed = stored(rows.join(sizes, "h"), "bucketed")
+    weight = bucketed.groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = bucketed.join(weight, "node").groupBy("h").agg(F.max(F.struct("weight", "node"))["node"].alias("c"))
+    stars = bucketed.join(centre, "h").where("node <> c").select(
+        F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")
+    ).distinct()
     checked = stored(_agreeing(stars, signed), "stars")
-    links = stored(_similar(checked, texts), "links")
+    links = stored(_similar(checked, _wanted(texts, checked, signed)), "links")
     root = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    rest = _mixed_pairs(bucketed.select("h", "key"), root, signed).join(checked, ["a", "b"], "left_anti")
-    more = stored(_similar(stored(_agreeing(rest, signed), "pairs"), texts), "links")
+
+    placed = bucketed.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    mixed = stored(placed.join(mixed, "h"), "mixed")
+    small = mixed.where(F.col("n") <= LARGE_BUCKET)
+    one = small.select("h", F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = small.select("h", F.col("node").alias("b"), F.col("root").alias("rb"))
+    rest = _agreeing(one.join(two, "h").where("a < b and ra <> rb").select("a", "b").distinct(), signed)
+    large = _finely_agreeing(mixed.where(F.col("n") > LARGE_BUCKET), texts, signed)
+    rest = stored(rest.unionByName(large).distinct().join(checked, ["a", "b"], "left_anti"), "rest")
+    more = stored(_similar(rest, _wanted(texts, rest, signed)), "links")
     # Roots of the first round are joined by the links of the second.
     first = root.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return components(first.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))).select(
-        F.col("node").alias("key"), "root"
-    )
+    found = components(first.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    return signed.select("key", "node").join(found, "node").select("key", "root")
 
 
 def _classed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, DataFrame]:
@@ -234,7 +303,9 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, D
     # Ids are counted first, so that a class holds one row for each id.
     ids = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
     roots = text_classes(rows.select("key", "text"))
-    placed = stored(ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    # A text outside all classes is a class by its own key.
+    named = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("root").cast("string").cast("binary"))
+    placed = stored(ids.join(roots, "key", "left").withColumn("root", named), "placed")
     least = placed.groupBy("root").agg(lowest.alias("class_id"))
     return keyed, key, placed.join(least, "root").select("key", "root", "class_id", "id", "n")
 
