@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, near_dup, ngram_lm, packing, pii, quality
+from cohortlens.llm import decontaminate, language_id, near_dup, ngram_lm, packing, pii, quality
 from cohortlens.llm.common import held_out, table
 
 QUERIES = {}
@@ -145,3 +145,13 @@ def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ngram_lm.train(docs.where(~held_out("doc_id", 7, 2)))
     return ngram_lm.score(docs, model).select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "lm.*")
+
+
+@query
+def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those with crc32 mod 3 other than 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~held_out("doc_id", 3, 1)))
+    return language_id.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "language.*"
+    )
