@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, language_id, near_dup, ngram_lm, packing, pii, quality
+from cohortlens.llm import decontaminate, language_id, near_dup, ngram_lm, packing, pii, quality, toxicity
 from cohortlens.llm.common import held_out, table
 
 QUERIES = {}
@@ -155,3 +155,17 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "language.*"
     )
+
+
+@query
+def op9_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels of ids with crc32 mod 5 other than 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~held_out("doc_id", 5, 0)).join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
