@@ -26,7 +26,8 @@ WINDOW = 10
 # Characters of benchmark text in one block.
 BLOCK_CHARS = 16 << 20
 SHARD_BYTES = 8 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Words before they are put in lower case.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 REPORT = "n_words bigint, n_hit bigint, items array<string>, word_spans array<struct<start:bigint,end:bigint>>"
 
 

@@ -125,7 +125,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     sample = hashed.join(edge, "lang").where("at <= edge").dropDuplicates(["lang", "at"])
     model = Model(idf, np.zeros((0, DIM)), [], np.zeros(0))
     rows_of: dict[str, list] = {}
-    for name, terms, values in arrow_map(sample.select("lang", "text"), _sparse, "lang string, terms binary, counts binary").toLocalIterator():
+    vectors = arrow_map(sample.select("lang", "text"), _sparse, "lang string, terms binary, counts binary")
+    for name, terms, values in vectors.coalesce(4).toLocalIterator():
         rows_of.setdefault(name, []).append((terms, values))
     centroids, limits = [], []
     for name in sorted(rows_of):

@@ -157,8 +157,8 @@ def _wanted(texts: DataFrame, pairs: DataFrame, signed: DataFrame) -> DataFrame:
     marks = keys.select(place.alias("place")).distinct().withColumn("part", F.shiftright("place", part_bits))
     made = marks.groupBy("part").applyInArrow(unite, "part bigint, bits binary")
     bits = np.zeros((1 << (FILTER_BITS - part_bits), 1 << (part_bits - 3)), np.uint8)
-    for part, data in made.toLocalIterator():
-        bits[part] = np.frombuffer(data, np.uint8)
+    for row in made.toArrow().to_pylist():  # 16 MB at most
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def keep(batches):
@@ -286,6 +286,8 @@ def text_classes(texts: DataFrame) -> DataFrame:
     large = _finely_agreeing(mixed.where(F.col("n") > LARGE_BUCKET), texts, signed)
     rest = stored(rest.unionByName(large).distinct().join(checked, ["a", "b"], "left_anti"), "rest")
     more = stored(_similar(rest, _wanted(texts, rest, signed)), "links")
+    if more.isEmpty():
+        return signed.select("key", "node").join(root, "node").select("key", "root")
     # Roots of the first round are joined by the links of the second.
     first = root.select(F.col("node").alias("u"), F.col("root").alias("v"))
     found = components(first.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
