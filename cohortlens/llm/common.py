@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import stored
+
 # Bytes of text that one step of a task handles at once; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
@@ -44,6 +46,24 @@ def held_out(doc_id: str | Column, n: int, r: int) -> Column:
     return F.coalesce(remainder(doc_id, n) == r, F.lit(True))
 
 
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, label: str, most: int, by_class: bool = False, doc_id: str = "doc_id"
+) -> DataFrame:
+    """The rows of `docs` with a label, at most `most` labels (of each class): those of the smallest id hashes.
+
+    The chosen labels are few by their bound, so they are broadcast and the texts are not shuffled. The
+    result is a written table, read several times by a fit. Null ids and null labels are left out.
+    """
+    named = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, label)
+    order = F.xxhash64(F.col(doc_id), F.lit(label))
+    if by_class:
+        parts = [named.where(F.col(label) > 0), named.where(F.col(label) <= 0)]
+        chosen = parts[0].orderBy(order).limit(most).unionByName(parts[1].orderBy(order).limit(most))
+    else:
+        chosen = named.orderBy(order).limit(most)
+    return stored(docs.join(F.broadcast(chosen), doc_id).select(*docs.columns, label), "labelled")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import ann, decontaminate, language_id, near_dup, ngram_lm, packing, pii, quality, toxicity, wrappers
-from cohortlens.llm.common import held_out, table
+from cohortlens.llm.common import held_out, labelled_rows, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -63,8 +63,9 @@ def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rows(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", "quality")
-    return docs.select("doc_id", "text").where(~held_out("doc_id", 3, 1)).join(labels, "doc_id").select("text", "quality")
+    some = docs.select("doc_id", "text").where(~held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    return labelled_rows(some, labels, "quality", quality.FIT_ROWS, by_class=True).select("text", "quality")
 
 
 @query
@@ -161,8 +162,9 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from labels of ids with crc32 mod 5 other than 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(~held_out("doc_id", 5, 0)).join(labels, "doc_id").select("text", "toxic"))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    some = docs.where(~held_out("doc_id", 5, 0))
+    model = toxicity.fit(labelled_rows(some, labels, "toxic", toxicity.FIT_ROWS).select("text", "toxic"))
     return toxicity.score(docs, model).select(
         "doc_id",
         held_out("doc_id", 5, 0).alias("held_out"),
