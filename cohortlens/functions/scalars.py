@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,7 +18,6 @@ COST_CONTACT = 7000
 
 SPLIT_BITS = 31
 SPLIT_PRIME = (1 << SPLIT_BITS) - 1
-SPLIT_A, SPLIT_B = 1103515245, 845957863
 
 
 def _col(c: str | Column) -> Column:
@@ -77,14 +77,17 @@ def month_index(period: str | Column) -> Column:
     return (F.floor(p / 100) * 12 + p % 100 - 1).cast("int")
 
 
-def split_key(key: Column, number: Column) -> Column:
-    """A new uniform 31-bit key for every split number, from one sample number.
+def split_numbers(split: int, seed: int) -> tuple[int, int]:
+    """Multiplier and offset of a split: from an md5 hash, so that no split follows from others."""
+    digest = hashlib.md5(f"split-{split}-{seed}".encode()).hexdigest()
+    return int(digest[:13], 16) % (SPLIT_PRIME - 1) + 1, int(digest[13:26], 16) % SPLIT_PRIME
 
-    key -> a*key + b modulo a prime, with a and b taken from the number, orders the rows anew
-    for each number without hashing every row again.
+
+def split_key(key: Column, a: Column, b: Column) -> Column:
+    """A new uniform 31-bit key for every split, from one sample number: a * key + b modulo a prime.
+
+    The two numbers of a split order the rows anew without hashing every row again.
     """
-    a = (number * SPLIT_A + SPLIT_B) % SPLIT_PRIME + 1
-    b = (number * SPLIT_B + SPLIT_A) % SPLIT_PRIME
     return (key % SPLIT_PRIME * a + b) % SPLIT_PRIME
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.operators.ordering import default_bits, keys_at, lower_bound
+from cohortlens.operators.ordering import keys_at, lower_bound
 from cohortlens.operators.panel import months_in
 from cohortlens.operators.ranks import long_form
 from cohortlens.session import pin
@@ -173,23 +174,35 @@ def describe_numeric(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
 
 
 def column_profile(df: DataFrame, cols: list[str], approx: float | None = None) -> DataFrame:
-    """Minimum, maximum, distinct count and null count of every column.
+    """Minimum, maximum, distinct count and null count of every column, of any type that has an order.
 
-    Exact distinct counts first reduce every (column, value) to one row, so a frequent value
-    never gathers in one task; `approx` counts with that relative error in a single pass.
+    Extremes are doubles if all columns are numbers, else texts. Values are counted as they are,
+    not as doubles. Exact distinct counts first reduce every (column, value) to one row, so a
+    frequent value never gathers in one task; `approx` counts with that relative error.
     """
-    rows = long_form(df, cols, [])
+    numbers = all(isinstance(df.schema[c].dataType, T.NumericType) for c in cols)
+    kind = "double" if numbers else "string"
+    one = df.agg(
+        *[
+            F.struct(F.min(c).cast(kind).alias("min"), F.max(c).cast(kind).alias("max")).alias(c)
+            for c in cols
+        ]
+    )
+    extremes = one.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["min"].alias("min"),
+                                     F.col(c)["max"].alias("max")) for c in cols])).alias("e")
+    ).select("e.*")
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
+    nulls = F.sum(F.col("value").isNull().cast("long"))
     if approx is not None:
-        return rows.groupBy("feature").agg(
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.approx_count_distinct("value", approx).alias("nunique"),
-            F.sum(F.col("value").isNull().cast("long")).alias("nulls"),
+        counts = rows.groupBy("feature").agg(
+            F.approx_count_distinct("value", approx).alias("nunique"), nulls.alias("nulls")
         )
-    values = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("feature").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count("value").alias("nunique"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-    )
+    else:
+        values = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = values.groupBy("feature").agg(
+            F.count("value").alias("nunique"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        )
+    # One row for each column on either side; a table without rows has no columns to report.
+    return counts.join(extremes, "feature").select("feature", "min", "max", "nunique", "nulls")

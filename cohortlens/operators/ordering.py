@@ -1,41 +1,50 @@
 """Ordering a whole table, or huge groups of it, without sending a group to one task.
 
 A window without partitions, or partitioned by a month, runs in as many tasks as there are
-months. That is fine while the largest group, which is counted first, fits one task. Beyond that
-each group is cut into buckets whose order follows the sort key:
+months. Here each group is cut into buckets whose order follows the sort key, at every size:
 
-1. approximate quantiles of the key give the bucket limits (one partial aggregate);
+1. approximate quantiles of the value give the bucket limits (one partial aggregate);
 2. row counts and sums per bucket give every bucket its starting position (partial aggregate);
-3. only rows of the same bucket are sorted together.
+3. buckets with too many rows are cut again in the same way: by value, or by the tie-break where
+   one value fills the bucket, until all are small enough;
+4. only rows of the same bucket are sorted together.
 
-The limits decide how even the buckets are, never the result. A value that fills several
-quantiles is cut further by the tie-break, so that one value may hold most of a table.
-The sort key is (value ascending with nulls last, tie); tie must be unique inside a value.
-Group columns must not be null.
+The limits decide how even the buckets are, never the result; their number follows the rows that
+were counted. The sort key is (value ascending with nulls last, tie); tie must be unique
+inside a value and may have any type that can be ordered. Null groups are groups like others.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.session import attach, pin, window_rows
+from cohortlens.session import attach, join_on, pin
 
 VALUE, TIE = "_value", "_tie"
-B1, B2 = "_b1", "_b2"
-BUCKET = [B1, B2]
-# fewer rows than this are not worth a bucket of their own
-BUCKET_ROWS = 64
+# Limits of one cut, as a power of two: of a whole table, and of each group.
+BITS, GROUP_BITS = 10, 7
+# Fewer rows than this are not worth a bucket of their own; more than this are cut again.
+BUCKET_ROWS, SPLIT_ROWS = 64, 4_000_000
+# A bucket of rows that are equal in value and tie cannot be cut; cuts end after so many.
+MAX_CUTS = 8
 
+_SIZES: ContextVar[tuple[int, int] | None] = ContextVar("sizes", default=None)
 
-def default_bits(spark: SparkSession, grouped: bool) -> int:
-    """Enough buckets that shuffle partitions get even loads; fewer per group if there are groups."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = math.ceil(math.log2(16 * max(parts, 1)))
-    return max(5, min(13, bits - 2 if grouped else bits))
+
+@contextmanager
+def small_buckets(bits: int = 3, split_rows: int = 100):
+    """Plans made inside cut coarsely and then again and again, as those of very large tables do."""
+    token = _SIZES.set((bits, split_rows))
+    try:
+        yield
+    finally:
+        _SIZES.reset(token)
 
 
 def lower_bound(
@@ -56,66 +65,106 @@ def lower_bound(
     return df
 
 
+def place_in(array: Column, key: Column, size: int) -> Column:
+    """The number of elements of a sorted array before a key, as one expression.
+
+    `size` is an upper limit of the array length. For many columns in one projection: the plan grows with
+    the columns only, not with the steps of the search.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length()))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: at + F.when(F.get(array, at + step - 1) < key, step).otherwise(0),
+    )
+
+
+def _limits(df: DataFrame, column: str, groups: list[str], count: int) -> DataFrame:
+    """Up to count - 1 limits of a column by group, in order, as `_limits`.
+
+    Numbers and times have approximate quantiles, with a rank error below a quarter of a bucket; other types those of
+    a sample by hash, eight values for a limit. A small group keeps only every second limit, every fourth ...
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        probs = F.expr("array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")")
+        found = df.groupBy(*groups).agg(
+            F.percentile_approx(column, probs, 4 * count).alias("_limits"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
+        spare = F.ceil(F.log2(F.lit(float(count * BUCKET_ROWS)) / F.greatest("_rows", F.lit(1))))
+        step = F.pow(F.lit(2), F.greatest(spare, F.lit(0))).cast("int")
+        kept = F.filter("_limits", lambda _, i: (i + 1) % step == 0)
+        return found.select(*groups, kept.alias("_limits"))
+    # The window keeps its first rows in each task before they are shuffled.
+    by_hash = _window(groups).orderBy(F.xxhash64(column))
+    some = df.where(F.col(column).isNotNull()).select(*groups, column)
+    some = some.withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= 8 * count)
+    sample = some.groupBy(*groups).agg(F.array_sort(F.collect_list(column)).alias("_sample"))
+    n = F.least(F.floor(F.size("_sample") / 8), F.lit(count)).cast("int") - 1
+    pick = lambda i: F.get("_sample", F.floor(i * F.size("_sample") / (n + 1)).cast("int"))
+    picked = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), pick))
+    none = F.array().cast(T.ArrayType(kind))
+    return sample.select(*groups, F.coalesce(picked, none).alias("_limits"))
+
+
+def _cut(df: DataFrame, limits: DataFrame, column: str, groups: list[str], count: int, out: str) -> DataFrame:
+    """Add the bucket of a column between its group's limits; 0 for groups without limits.
+
+    Rows on a limit have a bucket of their own, nulls the last one.
+    """
+    df = attach(df, limits, groups, row_bytes=16 * count)
+    df = lower_bound(df, "_limits", column, "_p", count - 1)
+    on_limit = F.coalesce(F.get(F.col("_limits"), F.col("_p")) == F.col(column), F.lit(False))
+    bucket = F.when(F.col("_limits").isNull(), 0).when(F.col(column).isNull(), 2 * count)
+    return df.withColumn(out, bucket.otherwise(F.col("_p") * 2 + on_limit.cast("int"))).drop("_limits", "_p")
+
+
 def bucketed(
     df: DataFrame,
     value: Column,
     tie: Column,
     groups: list[str] = (),
     bits: int | None = None,
-) -> DataFrame:
-    """Add the sort key and the bucket of every row."""
+    sums: dict[str, Column] | None = None,
+) -> tuple[DataFrame, list[str], DataFrame]:
+    """The sort key and the bucket of every row; the bucket columns; the size of each bucket.
+
+    Sizes are groups, bucket columns, `_n`, the extremes `_low` and `_high` of the value, and a
+    `_sum_<name>` for each of `sums`.
+    """
     groups = list(groups)
-    bits = bits or default_bits(df.sparkSession, bool(groups))
+    forced = _SIZES.get()
+    split_rows = forced[1] if forced else SPLIT_ROWS
+    count = 1 << (forced[0] if forced else bits or (GROUP_BITS if groups else BITS))
     df = df.withColumns({VALUE: value, TIE: tie})
-    count = 1 << bits
-    probs = F.expr("array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")")
-    # the rank error of the limits stays below a quarter of a bucket
-    limits = df.groupBy(*groups).agg(
-        F.percentile_approx(VALUE, probs, 4 * count).alias("_values"),
-        F.percentile_approx(TIE, probs, 4 * count).alias("_ties"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    # a small group needs fewer buckets: keep every limit, every second, every fourth ...
-    spare = F.ceil(F.log2(F.lit(float(count * BUCKET_ROWS)) / F.greatest("_rows", F.lit(1))))
-    limits = limits.withColumn("_step", F.pow(F.lit(2), F.greatest(spare, F.lit(0))).cast("int"))
-    limits = limits.select(
-        *groups,
-        *[
-            F.filter(c, lambda _, i: (i + 1) % F.col("_step") == 0).alias(c)
-            for c in ("_values", "_ties")
-        ],
-    )
-    df = attach(df, limits, groups, row_bytes=16 * count)
-    df = lower_bound(df, "_values", VALUE, "_p", count - 1)
-    df = lower_bound(df, "_ties", TIE, "_q", count - 1)
-
-    at = F.get(F.col("_values"), F.col("_p"))
-    after = F.get(F.col("_values"), F.col("_p") + 1)
-    on_limit = F.coalesce(at == F.col(VALUE), F.lit(False))
-    heavy = on_limit & F.coalesce(at == after, F.lit(False))
-    missing = F.col(VALUE).isNull()
-    return df.withColumns(
-        {
-            B1: F.when(missing, F.lit(2 * count)).otherwise(
-                F.col("_p") * 2 + on_limit.cast("int")
-            ),
-            B2: F.when(missing | heavy, F.col("_q")).otherwise(F.lit(0)),
-        }
-    ).drop("_values", "_ties", "_p", "_q")
-
-
-def group_sizes(df: DataFrame, groups: list[str]) -> tuple[DataFrame, int, int]:
-    """Row count `_total` of every group; the largest count, and the count of all rows."""
-    sizes = pin(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total")))
-    largest, rows = sizes.agg(F.max("_total"), F.sum("_total")).first()
-    return sizes, largest or 0, rows or 0
+    df = _cut(df, _limits(df, VALUE, groups, count), VALUE, groups, count, "_b0")
+    buckets = ["_b0"]
+    totals = [F.sum(c).alias(f"_sum_{n}") for n, c in (sums or {}).items()]
+    while True:
+        sizes = pin(
+            df.groupBy(*groups, *buckets).agg(
+                F.count(F.lit(1)).alias("_n"), F.min(VALUE).alias("_low"), F.max(VALUE).alias("_high"), *totals
+            )
+        )
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= split_rows or len(buckets) > 2 * MAX_CUTS:
+            return df, buckets, sizes
+        keys = [*groups, *buckets]
+        large = sizes.where(F.col("_n") > split_rows)
+        one = F.col("_low").eqNullSafe(F.col("_high"))
+        for column, which in ((VALUE, ~one), (TIE, one)):
+            # Rows of other buckets have no limits and get bucket 0 of this cut.
+            inside = join_on(df, pin(large.where(which).select(*keys)), keys, "left_semi")
+            name = f"_b{len(buckets)}"
+            df = _cut(df, _limits(inside, column, keys, count), column, keys, count, name)
+            buckets.append(name)
 
 
 def _window(groups: list[str]):
     return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
 
 
-def _before(groups: list[str], order: list[str] = BUCKET):
+def _before(groups: list[str], order: list[str]):
     """Window over the buckets of a group that come earlier; its size is the bucket count."""
     return _window(groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -139,64 +188,44 @@ def running(
     `between=(a, b)` keeps positions a <= p < b; buckets outside are never shuffled.
     """
     groups, sums = list(groups), dict(sums or {})
-    order = [value.asc_nulls_last(), tie]
-    # all rows are shuffled either way, so only the largest group matters
-    if group_sizes(df, groups)[1] <= window_rows(df.sparkSession):
-        rows = _window(groups).orderBy(*order)
-        upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        added = {position: (F.row_number().over(rows) - 1).cast("long")}
-        added.update({n: F.sum(c).over(upto) for n, c in sums.items()})
-        if rank:
-            ranked = F.rank().over(_window(groups).orderBy(value.asc_nulls_last()))
-            added[rank] = ranked.cast("long")
-        if total:
-            added[total] = F.count(F.lit(1)).over(_window(groups))
-        df = df.withColumns(added)
-        if between is not None:
-            df = df.where((F.col(position) >= between[0]) & (F.col(position) < between[1]))
-        return df
-
-    df = bucketed(df, value, tie, groups, bits).drop(VALUE, TIE)
-
-    sizes = df.groupBy(*groups, *BUCKET).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()]
-    )
-    whole = _window(groups)
+    columns = df.columns
+    df, buckets, sizes = bucketed(df, value, tie, groups, bits, sums)
+    before = _before(groups, buckets)
     starts = sizes.select(
         *groups,
-        *BUCKET,
+        *buckets,
         "_n",
-        F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)).alias("_start"),
-        F.sum("_n").over(whole).alias("_total"),
-        *[
-            F.coalesce(F.sum(f"_sum_{n}").over(_before(groups)), F.lit(0)).alias(f"_start_{n}")
-            for n in sums
-        ],
+        "_low",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(_window(groups)).alias("_total"),
+        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums],
     )
     if rank:
-        # a value cut into several buckets ranks from the first of them
-        starts = starts.withColumn("_rank_start", F.min("_start").over(Window.partitionBy(*groups, B1)))
+        # A value cut into several buckets ranks from the first of them: they hold that value alone.
+        first = F.min("_start").over(Window.partitionBy(*groups, "_low"))
+        starts = starts.withColumn("_rank_start", first)
     if between is not None:
         starts = starts.where(
             (F.col("_start") < between[1]) & (F.col("_start") + F.col("_n") > between[0])
         )
-    df = df.join(pin(starts.drop("_n")), [*groups, *BUCKET])
+    df = join_on(df, pin(starts.drop("_n", "_low")), [*groups, *buckets])
 
-    inside = Window.partitionBy(*groups, *BUCKET).orderBy(*order)
+    own = Window.partitionBy(*groups, *buckets)
+    inside = own.orderBy(F.col(VALUE).asc_nulls_last(), TIE)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {position: F.col("_start") + F.row_number().over(inside) - 1}
     for n, c in sums.items():
         added[n] = F.col(f"_start_{n}") + F.sum(c).over(upto)
     if rank:
-        ties = Window.partitionBy(*groups, *BUCKET).orderBy(value.asc_nulls_last())
-        added[rank] = F.col("_rank_start") + F.rank().over(ties)
+        # In a bucket of one value all rank alike; in others a value lies in its bucket whole.
+        alike = F.rank().over(own.orderBy(F.col(VALUE).asc_nulls_last()))
+        added[rank] = F.when(alike == 1, F.col("_rank_start")).otherwise(F.col("_start")) + alike
     if total:
         added[total] = F.col("_total")
     df = df.withColumns(added)
     if between is not None:
         df = df.where((F.col(position) >= between[0]) & (F.col(position) < between[1]))
-    used = [*[f"_start_{n}" for n in sums], "_start", "_total", "_rank_start"]
-    return df.drop(*BUCKET, *used)
+    return df.select(*[c for c in columns if c not in added], *added)
 
 
 def keys_at(
@@ -221,37 +250,31 @@ def keys_at(
     Returns groups, `_total`, `_position`, `_value`, `_tie`.
     """
     groups = list(groups)
-    totals, _, count = group_sizes(df, groups)
-    # buckets shuffle only the rows around the wanted positions, so all rows must be few
-    if count <= window_rows(df.sparkSession):
-        rows = df.select(*groups, value.alias(VALUE), tie.alias(TIE))
-        sorted_ = _window(groups).orderBy(F.col(VALUE).asc_nulls_last(), F.col(TIE))
-        rows = rows.withColumn("_position", (F.row_number().over(sorted_) - 1).cast("long"))
-        asked = F.explode(F.array_distinct(positions(F.col("_total"))))
-        wanted = pin(totals.select("*", asked.alias("_position")))
-        rows = rows.join(wanted, [*groups, "_position"])
-        return rows.select(*groups, "_total", "_position", VALUE, TIE)
+    first = None
     if digits:
         steps = [[f"_d{i}"] for i in range(len(digits))]
         df = df.withColumns({VALUE: value, TIE: tie})
         df = df.withColumns({f"_d{i}": d for i, d in enumerate(digits)})
     else:
-        steps = [BUCKET]
-        df = bucketed(df, value, tie, groups, bits)
+        df, buckets, first = bucketed(df, value, tie, groups, bits)
+        steps = [buckets]
+        first = first if values_only else first.drop("_low", "_high")
     df = df.select(*groups, VALUE, TIE, *[c for step in steps for c in step])
-    limits = [F.min(VALUE).alias("_low"), F.max(VALUE).alias("_high")] if values_only else []
 
     wanted, parents = None, groups
     for step in steps:
-        inside = df if wanted is None else df.join(wanted.select(*parents), parents)
-        sizes = inside.groupBy(*parents, *step).agg(F.count(F.lit(1)).alias("_n"), *limits)
+        if first is None:
+            inside = df if wanted is None else join_on(df, wanted.select(*parents), parents)
+            sizes = inside.groupBy(*parents, *step).agg(F.count(F.lit(1)).alias("_n"))
+        else:
+            sizes = first
         start = F.coalesce(F.sum("_n").over(_before(parents, step)), F.lit(0))
         if wanted is None:
             whole = F.sum("_n").over(_window(groups))
             sizes = sizes.withColumns({"_start": start, "_total": whole})
             sizes = sizes.withColumn("_wanted", positions(F.col("_total")))
         else:
-            sizes = sizes.withColumn("_offset", start).join(wanted, parents)
+            sizes = join_on(sizes.withColumn("_offset", start), wanted, parents)
             sizes = sizes.withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")
         end = F.col("_start") + F.col("_n")
         here = F.filter("_wanted", lambda p: (p >= F.col("_start")) & (p < end))
@@ -269,7 +292,7 @@ def keys_at(
             F.lit(None).cast(df.schema[TIE].dataType).alias(TIE),
         )
         wanted = wanted.where(~same).drop("_low", "_high")
-    rows = df.join(wanted, parents)
+    rows = join_on(df, wanted, parents)
     sorted_ = Window.partitionBy(*parents).orderBy(F.col(VALUE).asc_nulls_last(), F.col(TIE))
     rows = rows.withColumn("_position", F.col("_start") + F.row_number().over(sorted_) - 1)
     rows = rows.where(F.array_contains("_wanted", F.col("_position")))

@@ -45,15 +45,20 @@ def observed_periods(df: DataFrame, period: str) -> list[int]:
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
-def next_periods(df: DataFrame, period: str, periods: list[int]) -> DataFrame:
-    """Each observed period with the next two; as short as a calendar, so it is broadcast."""
-    rows = [
-        (p, *(periods[i + k] if i + k < len(periods) else None for k in (1, 2)))
-        for i, p in enumerate(periods)
-    ]
-    kind = df.schema[period].dataType.simpleString()
-    schema = f"{period} {kind}, next1 {kind}, next2 {kind}"
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+def one_row_per_key(
+    df: DataFrame, id_col: str, period: str, newest: list[Column] = ()
+) -> DataFrame:
+    """One row of every key: the first by `newest`, or by all columns, the largest first."""
+    order = list(newest) or [F.col(c).desc_nulls_last() for c in df.columns if c not in (id_col, period)]
+    w = Window.partitionBy(id_col, period).orderBy(*(order or [F.lit(0)]))
+    return df.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+
+
+def period_number(df: DataFrame, period: str, periods: list[int]) -> Column:
+    """The place of a period in the list of periods, as short as a calendar; null for others."""
+    kind = df.schema[period].dataType
+    known = F.array(*[F.lit(p).cast(kind) for p in sorted(set(periods))])
+    return F.when(F.array_contains(known, F.col(period)), F.array_position(known, F.col(period)))
 
 
 def dense_panel(
@@ -92,30 +97,24 @@ def churn_label(
     Present two periods later: stays. Otherwise present one period later: leaves in the second
     period. Otherwise: leaves next. Null when the panel does not reach two periods ahead.
     "Next" is the next observed period, or the next calendar month with `calendar`.
-    `periods` are the observed periods, if known; otherwise a job looks them up.
+    `periods` are the observed periods, if known; otherwise a job looks them up. A row of no
+    listed period has no label. Repeated keys do no harm: presence is looked up by the period's
+    number, not by row.
     """
     periods = periods or observed_periods(df, period)
-    w = Window.partitionBy(id_col).orderBy(period)
-    steps = df.withColumns(
-        {"_lead1": F.lead(period, 1).over(w), "_lead2": F.lead(period, 2).over(w)}
-    )
+    if not periods:
+        return df.withColumn(label, F.lit(None).cast("string"))
     if calendar:
-        last = F.lit(month_number(max(periods, default=0)))
-        now = month_index(period)
-        ahead1 = month_index("_lead1") - now
-        ahead2 = month_index("_lead2") - now
-        known = now + 2 <= last
-        next1 = ahead1 == 1
-        next2 = (ahead1 == 2) | (ahead2 == 2)
+        number, last = month_index(period), month_number(max(periods))
     else:
-        steps = steps.join(next_periods(df, period, periods), period)
-        known = F.col("next2").isNotNull()
-        next1 = F.col("_lead1") == F.col("next1")
-        next2 = (F.col("_lead1") == F.col("next2")) | (F.col("_lead2") == F.col("next2"))
+        number, last = period_number(df, period, periods), len(set(periods))
+    w = Window.partitionBy(id_col).orderBy("_number")
+    steps = df.withColumn("_number", number.cast("long"))
+    ahead = [F.max(F.lit(1)).over(w.rangeBetween(k, k)).isNotNull() for k in (1, 2)]
     value = (
-        F.when(~known, F.lit(None))
-        .when(next2, F.lit(STAYS))
-        .when(next1, F.lit(LEAVES_SECOND))
+        F.when(F.col("_number").isNull() | (F.col("_number") + 2 > last), F.lit(None))
+        .when(ahead[1], F.lit(STAYS))
+        .when(ahead[0], F.lit(LEAVES_SECOND))
         .otherwise(F.lit(LEAVES_NEXT))
     )
     return steps.withColumn(label, value).select(*df.columns, label)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators.ordering import keys_at, running, sort_key
 from cohortlens.session import attach
@@ -147,25 +148,25 @@ def cutoff_submissions(
         groups,
         bits,
     )
+    # Every row gets every cut-off, whatever its group has.
     ends = F.map_from_entries(
         F.collect_list(F.struct("_position", sort_key(F.col("_value"), F.col("_tie"))))
     )
-    per_group = keys.groupBy(*groups).agg(ends.alias("_map"), F.max("_total").alias("_rows"))
-    cuts = per_group.select(
-        *groups,
-        F.transform(
-            F.array(*[F.lit(int(n)).cast("long") for n in sorted(set(cutoffs))]),
-            lambda k: F.struct(
-                k.alias("n"),
-                F.element_at("_map", F.least(k, F.col("_rows")) - 1).alias("end"),
-            ),
-        ).alias("_cuts"),
-    )
-    out = attach(df, cuts, list(groups)).withColumn("_cut", F.explode("_cuts"))
+    per_group = keys.groupBy(*groups).agg(ends.alias("_ends"), F.max("_total").alias("_rows"))
+    numbers = F.array(*[F.lit(int(n)).cast("long") for n in sorted(set(cutoffs))])
+    if groups:
+        out = attach(df, per_group, list(groups), row_bytes=50 * max(1, len(set(cutoffs))))
+    else:
+        as_list = per_group.select(F.map_entries("_ends").alias("_list"), "_rows")
+        out = attach(df, as_list, []).withColumn("_ends", F.map_from_entries("_list"))
+    out = out.withColumn("_cut", F.explode(numbers))
     own = sort_key(-F.col(score), F.col(id_col))
+    end = F.try_element_at("_ends", F.least(F.col("_cut"), F.col("_rows")) - 1)
+    kind = df.schema[id_col].dataType
+    ident = F.col(id_col).cast("long") if isinstance(kind, T.NumericType) else F.col(id_col)
     return out.select(
         *groups,
-        F.col("_cut.n").alias("n_envios"),
-        F.col(id_col).cast("long").alias(id_col),
-        F.coalesce(own <= F.col("_cut.end"), F.lit(False)).cast("int").alias("Predicted"),
+        F.col("_cut").alias("n_envios"),
+        ident.alias(id_col),
+        F.coalesce(own <= end, F.lit(False)).cast("int").alias("Predicted"),
     )

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import default_bits, keys_at, lower_bound, running, sort_key
-from cohortlens.session import pin
+from cohortlens.operators.ordering import GROUP_BITS, keys_at, place_in, running, sort_key
+from cohortlens.session import join_on, pin, stored
 
 # The four members of the rank family and their tile counts.
 RANKS = ("ordinal", "percentil", "decil", "cuartil")
 TILES = {"decil": 10, "cuartil": 4}
+# Columns whose tile ends are sent to the tasks together.
+TILE_COLUMNS = 25
 
 
 def tile_of(position: Column, total: Column, tiles: int) -> Column:
@@ -55,23 +57,31 @@ def ntile_features(
     """
     keys = long_form(df, cols, [id_col, period])
     # several buckets per tile: rows of buckets without a tile end need no sorting
-    bits = bits or max(default_bits(df.sparkSession, True), (2 * tiles).bit_length())
+    bits = bits or max(GROUP_BITS, (2 * tiles).bit_length())
     cuts = keys_at(
         keys, F.col("value"), F.col(id_col), lambda n: tile_ends(n, tiles), [period, "feature"], bits
     )
     key = sort_key(F.col("_value"), F.col("_tie"))
-    per_period = cuts.groupBy(period).agg(
+    cuts = stored(cuts, "tile_ends")
+    out = df
+    for start in range(0, len(cols), TILE_COLUMNS):
+        some = cols[start : start + TILE_COLUMNS]
+        per_period = cuts.where(F.col("feature").isin(some)).groupBy(period).agg(
+            *[
+                F.array_sort(F.collect_list(F.when(F.col("feature") == c, key))).alias(f"_cut{start + i}")
+                for i, c in enumerate(some)
+            ]
+        )
+        out = join_on(out, pin(per_period, row_bytes=32 * tiles * len(some)), [period], "left")
+    kept = [c for c in df.columns if not (replace and c in cols)]
+    own = {c: sort_key(F.col(c).cast("double"), F.col(id_col)) for c in cols}
+    return out.select(
+        *kept,
         *[
-            F.array_sort(F.collect_list(F.when(F.col("feature") == c, key))).alias(f"_cut{i}")
+            (place_in(F.col(f"_cut{i}"), own[c], tiles - 1) + 1).alias(f"{prefix}{c}")
             for i, c in enumerate(cols)
-        ]
+        ],
     )
-    out = df.join(pin(per_period, row_bytes=32 * tiles * len(cols)), period, "left")
-    for i, c in enumerate(cols):
-        out = out.withColumn("_own", sort_key(F.col(c).cast("double"), F.col(id_col)))
-        out = lower_bound(out, f"_cut{i}", "_own", f"{prefix}{c}", tiles - 1)
-    kept = [c for c in df.columns if not (replace and c in cols)]
-    return out.select(*kept, *[(F.col(f"{prefix}{c}") + 1).alias(f"{prefix}{c}") for c in cols])
 
 
 def rank_family(

@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.scalars import SPLIT_BITS, STAYS, sample_key, sample_number, split_key
+from cohortlens.functions.scalars import (
+    SPLIT_BITS,
+    STAYS,
+    sample_key,
+    sample_number,
+    split_key,
+    split_numbers,
+)
 from cohortlens.operators.ordering import keys_at, lower_bound, sort_key
 from cohortlens.operators.ranks import tile_ends
-from cohortlens.session import attach, pin
+from cohortlens.session import attach, join_on, pin
 
 
 def _strata(df: DataFrame, groups: list[str]) -> dict[str, Column]:
@@ -122,11 +129,16 @@ def repeated_splits(
 ) -> DataFrame:
     """Every row once per split number, with its side in that split.
 
-    A row is hashed once; each split derives its own order from that hash.
+    A row is hashed once; each split orders that hash anew, by two numbers hashed from the split.
     """
     rows = df.withColumn("_hash", sample_number(id_col, seed))
-    many = rows.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    many = many.withColumn("_key", split_key(F.col("_hash"), F.col("split").cast("long")))
+    orders = [
+        F.struct(F.lit(i).alias("split"), *[F.lit(x).alias(n) for n, x in zip("ab", split_numbers(i, seed))])
+        for i in range(1, splits + 1)
+    ]
+    many = rows.withColumn("_order", F.explode(F.array(*orders))).withColumn("split", F.col("_order.split"))
+    many = many.withColumn("_key", split_key(F.col("_hash"), F.col("_order.a"), F.col("_order.b")))
+    many = many.drop("_order")
     low = SPLIT_BITS - 8
     digits = [F.shiftright("_key", low), F.shiftright("_key", low - 12) % 4096]
     out = _flag_smallest(many, "_key", digits, id_col, ["split", label], public_share, "_public")
@@ -159,7 +171,7 @@ def kfold(
     ends = cuts.groupBy(*strata).agg(
         F.array_sort(F.collect_list(sort_key(F.col("_value"), F.col("_tie")))).alias("_ends")
     )
-    rows = rows.join(pin(ends), strata, "left")
+    rows = join_on(rows, pin(ends), strata, "left")
     rows = rows.withColumn("_own", sort_key(F.col("_key"), F.col(id_col)))
     rows = lower_bound(rows, "_ends", "_own", fold, folds - 1)
     return rows.select(*df.columns, fold)

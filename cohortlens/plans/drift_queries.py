@@ -8,7 +8,7 @@ from cohortlens.operators import drift as D
 from cohortlens.plans.analogs import ID, MEASURES, PANEL, PERIOD, stored_panel, table, with_
 from cohortlens.functions.scalars import yyyymm
 from cohortlens.plans.registry import ORACLES, query
-from cohortlens.session import always_buckets
+from cohortlens.operators.ordering import small_buckets
 
 _TRAIN = [199500 + m for m in range(1, 13)] + [199600 + m for m in range(1, 13)]
 _SCORE = [199700 + m for m in range(1, 13)] + [199800 + m for m in range(1, 13)]
@@ -135,17 +135,17 @@ def column_profile(spark, sf):
 
 @query("psi_feature_buckets", ORACLES["psi_feature"])
 def psi_feature_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return psi_feature(spark, sf)
 
 
 @query("psi_all_buckets", ORACLES["psi_all"])
 def psi_all_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return psi_all(spark, sf)
 
 
 @query("describe_numeric_buckets", ORACLES["describe_numeric"])
 def describe_numeric_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return describe_numeric(spark, sf)

@@ -8,7 +8,7 @@ from cohortlens.operators import evaluate as E
 from cohortlens.plans.analogs import LABEL, SCORED, SEEDS, scored, table, with_
 from cohortlens.plans.profit_queries import CUT_POINTS, cut_points
 from cohortlens.plans.registry import ORACLES, query
-from cohortlens.session import always_buckets
+from cohortlens.operators.ordering import small_buckets
 from cohortlens.plans.sampling_queries import BOARD, board
 
 
@@ -305,5 +305,5 @@ def wilcoxon_stat(spark, sf):
 
 @query("wilcoxon_stat_buckets", ORACLES["wilcoxon_stat"])
 def wilcoxon_stat_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return wilcoxon_stat(spark, sf)

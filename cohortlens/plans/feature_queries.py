@@ -26,7 +26,8 @@ from cohortlens.plans.analogs import (
     with_,
 )
 from cohortlens.plans.registry import ORACLES, query
-from cohortlens.session import always_buckets, stored
+from cohortlens.operators.ordering import small_buckets
+from cohortlens.session import stored
 
 # every line's key columns and amounts; the last three carry nulls
 _LINES = """
@@ -334,17 +335,17 @@ def rank_family(spark, sf):
 
 @query("ntile_features_buckets", ORACLES["ntile_features"])
 def ntile_features_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return ntile_features(spark, sf)
 
 
 @query("rank_family_buckets", ORACLES["rank_family"])
 def rank_family_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return rank_family(spark, sf)
 
 
 @query("tenure_decile_buckets", ORACLES["tenure_decile"])
 def tenure_decile_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return tenure_decile(spark, sf)

@@ -21,7 +21,8 @@ from cohortlens.plans.analogs import (
     with_,
 )
 from cohortlens.plans.registry import ORACLES, query
-from cohortlens.session import always_buckets, stored
+from cohortlens.operators.ordering import small_buckets
+from cohortlens.session import stored
 
 CURVE = (
     SCORED
@@ -193,29 +194,29 @@ def cutoff_submissions(spark, sf):
 
 @query("gain_curve_buckets", ORACLES["gain_curve"])
 def gain_curve_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return gain_curve(spark, sf)
 
 
 @query("public_private_curve_buckets", ORACLES["public_private_curve"])
 def public_private_curve_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return public_private_curve(spark, sf)
 
 
 @query("curve_window_buckets", ORACLES["curve_window"])
 def curve_window_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return curve_window(spark, sf)
 
 
 @query("cutoff_submissions_buckets", ORACLES["cutoff_submissions"])
 def cutoff_submissions_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return cutoff_submissions(spark, sf)
 
 
 @query("best_cutoff_grid_buckets", ORACLES["best_cutoff_grid"])
 def best_cutoff_grid_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return best_cutoff_grid(spark, sf)

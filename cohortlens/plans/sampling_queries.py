@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import SPLIT_A, SPLIT_B, SPLIT_PRIME
+from cohortlens.functions.scalars import SPLIT_PRIME
 from cohortlens.operators import sampling as S
 from cohortlens.operators.training import training_sets as make_sets
 from cohortlens.plans.analogs import (
@@ -19,7 +19,7 @@ from cohortlens.plans.analogs import (
     with_,
 )
 from cohortlens.plans.registry import ORACLES, query
-from cohortlens.session import always_buckets
+from cohortlens.operators.ordering import small_buckets
 
 _ORDER_42 = f"ORDER BY {key_sql('id', 42)}, id"
 
@@ -113,12 +113,16 @@ N_SPLITS = 50
 SPLITS = (
     SCORED
     + f""",
+orders_of_splits AS (
+  SELECT split, CAST('0x' || substr(digest, 1, 13) AS BIGINT) % {SPLIT_PRIME - 1} + 1 AS a,
+         CAST('0x' || substr(digest, 14, 13) AS BIGINT) % {SPLIT_PRIME} AS b
+  FROM (SELECT split, md5('split-' || split || '-42') AS digest
+        FROM (SELECT unnest(range(1, {N_SPLITS + 1})) AS split))
+),
 keyed AS (
   SELECT id, label, split, gain, score, score_b,
-         ({number_sql("id", 42)} % {SPLIT_PRIME}
-            * ((split * {SPLIT_A} + {SPLIT_B}) % {SPLIT_PRIME} + 1)
-          + (split * {SPLIT_B} + {SPLIT_A}) % {SPLIT_PRIME}) % {SPLIT_PRIME} AS k
-  FROM scored, (SELECT unnest(range(1, {N_SPLITS + 1})) AS split)
+         ({number_sql("id", 42)} % {SPLIT_PRIME} * a + b) % {SPLIT_PRIME} AS k
+  FROM scored, orders_of_splits
 ),
 sided AS (
   SELECT *, CASE WHEN row_number() OVER (PARTITION BY split, label ORDER BY k, id)
@@ -166,23 +170,23 @@ def repeated_splits(spark, sf):
 
 @query("undersample_buckets", ORACLES["undersample"])
 def undersample_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return undersample(spark, sf)
 
 
 @query("stratified_split_buckets", ORACLES["stratified_split"])
 def stratified_split_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return stratified_split(spark, sf)
 
 
 @query("kfold_assign_buckets", ORACLES["kfold_assign"])
 def kfold_assign_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return kfold_assign(spark, sf)
 
 
 @query("repeated_splits_buckets", ORACLES["repeated_splits"])
 def repeated_splits_buckets(spark, sf):
-    with always_buckets(spark):
+    with small_buckets():
         return repeated_splits(spark, sf)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,26 +14,6 @@ PIN_ROWS = 500_000
 PIN_BYTES = 64 << 20
 
 
-# Largest group that one task may sort; a session can set its own value under this name.
-WINDOW_ROWS_CONF = "cohortlens.windowRows"
-WINDOW_ROWS = 1_000_000
-
-
-def window_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(WINDOW_ROWS_CONF, str(WINDOW_ROWS)))
-
-
-@contextmanager
-def always_buckets(spark: SparkSession):
-    """Plans made inside treat every group as too large for one task."""
-    before = spark.conf.get(WINDOW_ROWS_CONF, str(WINDOW_ROWS))
-    spark.conf.set(WINDOW_ROWS_CONF, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(WINDOW_ROWS_CONF, before)
-
-
 def local_session(cores: int | str = "*", app: str = "cohortlens") -> SparkSession:
     """A session for tests and benchmarks on one machine.
 
@@ -103,16 +83,27 @@ def pin(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     return stored(df, "pinned")
 
 
+def join_on(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls equal nulls; the keys are kept once."""
+    names = {k: f"_other_{k}" for k in keys}
+    other = other.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return df.join(other, same, how).drop(*names.values())
+
+
 def attach(
     df: DataFrame, small: DataFrame, groups: list[str], row_bytes: int = 100
 ) -> DataFrame:
     """Add the columns of a small per-group summary to every row of its group.
 
-    Without groups the summary is one row, and its values become constants of the plan.
-    Rows whose group is missing from the summary get nulls.
+    Without groups the summary is one row, and its values become constants of the plan; a row
+    beyond the byte limit is joined instead. Null groups meet null groups; rows whose group is
+    missing from the summary get nulls.
     """
     if groups:
-        return df.join(pin(small, row_bytes), groups, "left")
+        return join_on(df, pin(small, row_bytes), groups, "left")
     text = small.select(F.to_json(F.struct("*"))).first()[0]
+    if len(text) > PIN_BYTES:
+        return df.crossJoin(stored(small, "attached"))
     row = F.from_json(F.lit(text), small.schema)
     return df.withColumns({c: row[c] for c in small.columns})

@@ -25,12 +25,12 @@ def tiny_pins(monkeypatch):
 
 
 @pytest.fixture(autouse=True)
-def order_path(request, spark):
-    """Unit tests take the path for large groups; the registered queries choose by size."""
-    from cohortlens.session import always_buckets
+def order_path(request):
+    """Unit tests cut small tables again and again, as large ones are; the registered queries do not."""
+    from cohortlens.operators.ordering import small_buckets
 
-    if request.module.__name__.endswith("test_queries"):
+    if request.module.__name__.endswith("test_queries") or ".llm." in request.module.__name__:
         yield
     else:
-        with always_buckets(spark):
+        with small_buckets(5, 500):
             yield

@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import ordering as O
-from cohortlens.session import WINDOW_ROWS_CONF, always_buckets
 
 
 def skewed(spark, n=4000):
@@ -48,29 +47,39 @@ def test_running_equals_window(spark, groups):
 
 
 def test_running_without_broadcast_sides(spark, tiny_pins):
-    check_running(skewed(spark, 1500), ["g"], bits=5)
+    check_running(skewed(spark, 1500), ["g"])
 
 
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_small_groups_use_plain_windows(spark, groups):
-    spark.conf.set(WINDOW_ROWS_CONF, "4000")
-    df = skewed(spark)
+def test_one_cut_of_default_size_gives_the_same(spark, groups):
+    O._SIZES.set(None)
+    check_running(skewed(spark), groups)
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+@pytest.mark.parametrize("tie", ["text", "binary", "date"])
+def test_any_orderable_tie_and_null_groups(spark, groups, tie):
+    made = {
+        "text": F.concat(F.lit("customer-"), F.lpad(F.col("id"), 8, "0")),
+        "binary": F.encode(F.lpad(F.col("id"), 8, "0"), "utf-8"),
+        "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")),
+    }[tie]
+    df = skewed(spark, 2500).withColumn("g", F.when(F.col("g") != "g3", F.col("g"))).withColumn("id", made)
     check_running(df, groups)
-    at = lambda n: F.array(F.lit(0).cast("long"), n - 1, n - 1)
-    few = O.keys_at(df, F.col("v"), F.col("id"), at, groups)
-    with always_buckets(spark):
-        same = O.keys_at(df, F.col("v"), F.col("id"), at, groups)
-    assert few.columns == same.columns
-    assert sorted(map(str, few.collect())) == sorted(map(str, same.collect()))
-    plan = few._jdf.queryExecution().executedPlan().toString()
-    assert "_b1" not in plan
+    at = lambda n: F.array(F.lit(0).cast("long"), F.floor(n / 2), n - 1)
+    got = O.keys_at(df, F.col("v"), F.col("id"), at, groups)
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    rows = df.withColumn("p", F.row_number().over(part.orderBy(F.col("v").asc_nulls_last(), "id")) - 1)
+    rows = rows.withColumn("n", F.count("*").over(part))
+    want = rows.where("p = 0 or p = floor(n / 2) or p = n - 1").select(*groups, "n", "p", "v", "id")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
-def test_group_sizes(spark):
-    sizes, largest, count = O.group_sizes(skewed(spark, 900), ["g"])
-    assert (largest, count) == (360, 900)
-    assert {r["g"]: r["_total"] for r in sizes.collect()}["big"] == 360
-    assert O.group_sizes(skewed(spark, 900), [])[1:] == (900, 900)
+def test_one_value_in_all_rows_is_cut_by_the_tie(spark):
+    df = spark.range(3000).select("id", F.lit(1.0).alias("v"), F.lit("a").alias("g"), F.lit(1).alias("amount"))
+    check_running(df, ["g"])
+    _, buckets, sizes = O.bucketed(df, F.col("v"), F.col("id"))
+    assert sizes.agg(F.max("_n")).first()[0] <= 500 and len(buckets) > 1
 
 
 def test_running_keeps_only_wanted_positions(spark):
@@ -97,18 +106,20 @@ def fine_buckets(monkeypatch):
 
 def test_small_groups_get_few_buckets(spark, monkeypatch):
     monkeypatch.setattr(O, "BUCKET_ROWS", 64)
+    O._SIZES.set((9, 4000))
     df = skewed(spark, 4000)
-    check_running(df, ["g"], bits=9)
-    sizes = O.bucketed(df, F.col("v"), F.col("id"), ["g"], bits=9).groupBy("g").agg(
-        F.countDistinct("_b1", "_b2").alias("n"), F.count("*").alias("rows")
+    check_running(df, ["g"])
+    sizes = O.bucketed(df, F.col("v"), F.col("id"), ["g"])[2].groupBy("g").agg(
+        F.count("*").alias("n"), F.sum("_n").alias("rows")
     )
     assert all(r["n"] < r["rows"] / 10 for r in sizes.where("rows > 300").collect())
 
 
-def test_no_bucket_is_much_larger_than_its_share(spark):
+def test_no_bucket_is_larger_than_asked(spark):
     df = skewed(spark, 20000)
-    sizes = O.bucketed(df, F.col("v"), F.col("id"), bits=6).groupBy("_b1", "_b2").count()
-    assert sizes.agg(F.max("count")).first()[0] < 3 * 20000 / 64
+    with O.small_buckets(6, 700):
+        sizes = O.bucketed(df, F.col("v"), F.col("id"))[2]
+    assert sizes.agg(F.max("_n")).first()[0] <= 700
 
 
 def test_only_buckets_with_wanted_positions_are_joined(spark):
@@ -137,6 +148,12 @@ def test_digits_of_a_hash_narrow_down_to_the_same_keys(spark):
     assert sorted((r["g"], r["_position"], r["_tie"]) for r in out.collect()) == sorted(want)
 
 
+def test_place_in_equals_lower_bound(spark):
+    df = spark.createDataFrame([(x, [1.0, 2.0, 2.0, 5.0]) for x in (0.0, 1.0, 1.5, 2.0, 4.9, 5.0, 6.0)], "x double, a array<double>")
+    out = O.lower_bound(df, "a", "x", "lo", 4).select("lo", O.place_in(F.col("a"), F.col("x"), 4).alias("p"))
+    assert all(r["lo"] == r["p"] for r in out.collect())
+
+
 def test_lower_bound(spark):
     df = spark.createDataFrame(
         [(x, [1.0, 2.0, 2.0, 5.0]) for x in (0.0, 1.0, 1.5, 2.0, 4.9, 5.0, 6.0)],
@@ -159,4 +176,4 @@ def test_lower_bound(spark):
 def test_running_on_any_rows(spark, rows):
     data = [(i, g, None if v is None else float(v), i) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, g string, v double, amount long")
-    check_running(df, ["g"], bits=5)
+    check_running(df, ["g"])

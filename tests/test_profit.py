@@ -79,4 +79,4 @@ def test_curves_per_group(spark):
 def test_curve_sorts_in_buckets_not_in_one_task(spark):
     df = spark.range(5000).selectExpr("id", "cast(id % 97 as double) as score", "cast(1 as bigint) as gain")
     plan = G.gain_curve(df, "score", "id", "gain")._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and "hashpartitioning(_b1" in plan
+    assert "SinglePartition" not in plan and "hashpartitioning(_b0" in plan
