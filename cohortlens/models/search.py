@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,19 +56,25 @@ def cv_curve(
     learning_rate: float = 0.1,
     params: dict | None = None,
     seed: int = 42,
+    every: int = 1,
+    parallelism: int = 1,
 ) -> DataFrame:
-    """Mean and deviation over the folds of the highest gain after every boosting round.
+    """Mean and deviation over the folds of the highest gain after every `every` boosting rounds.
 
-    `rows` are assembled and carry a `fold` column. The held-out scores of all folds are written
-    once; the gain curves of all (fold, round) pairs are then evaluated together.
+    `rows` are assembled and carry a `fold` column. `parallelism` folds are fitted at a time. The
+    held-out scores of all folds are written once; the gain curves of all (fold, round) pairs
+    are then evaluated together.
     """
-    held_out = []
-    for k in range(folds):
+
+    def one(k: int) -> DataFrame:
         model = fit_boosted(
             rows.where(F.col("fold") != k), target, weight, rounds, learning_rate, params, seed
         )
         test = rows.where(F.col("fold") == k)
-        held_out.append(scores_per_round(model, test, [id_col, gain, "fold"]))
+        return scores_per_round(model, test, [id_col, gain, "fold"], every=every)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        held_out = list(pool.map(one, range(folds)))
     scores = stored(reduce(DataFrame.unionByName, held_out), "cv-scores")
     gains = gain_max(scores, "margin", id_col, gain, ["fold", "iteration"])
     return gains.groupBy("iteration").agg(
@@ -105,6 +112,8 @@ def search(
     space: dict | None = None,
     seed: int = 42,
     mask: bool = False,
+    every: int = 1,
+    parallelism: int = 1,
 ) -> DataFrame:
     """Random search; returns the trials table.
 
@@ -122,8 +131,9 @@ def search(
             df, used, keep, id_col, target, folds, seed
         )
         curve = cv_curve(
-            rows, id_col, target, weight, gain, rounds, folds, learning_rate, params, seed + number
-        )
+            rows, id_col, target, weight, gain, rounds, folds, learning_rate, params, seed + number,
+            every, parallelism,
+        )
         iteration, mean = best_round(curve)
         out.append(
             (
@@ -183,16 +193,18 @@ def backtest(
     trials: dict[int, dict],
     path: str,
     learning_rate: float = 0.1,
+    parallelism: int = 1,
 ) -> None:
     """Train every pending (trial, seed) of the plan and append its cut-point rows.
 
     `train` and `test` are assembled; `trials` maps a trial number to its parameters and
     `best_iter`. Runs whose output exists are skipped, so a broken backtest goes on where it
-    stopped. The plan has one row per model to train.
+    stopped. The plan has one row per model to train; `parallelism` of them run at a time.
     """
     done = finished_runs(spark, path, RUN, "study string, trial int, seed int, month int")
     todo = pending_runs(plan, done, RUN).orderBy(*RUN)
-    for run in todo.collect():
+
+    def one(run) -> None:
         chosen = trials[run["trial"]]
         model = fit_boosted(
             train,
@@ -219,6 +231,9 @@ def backtest(
         )
         write_cut_points(rows, path)
 
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(one, todo.collect()))
+
 
 def submissions(
     train: DataFrame,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -14,8 +16,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.session import shared_dir
+from cohortlens.session import scratch_path, shared_dir
 
 MAX_DEPTH = 30
 
@@ -27,7 +30,10 @@ def tree_params(params: dict) -> dict:
     """
     out = {}
     if "num_leaves" in params:
-        out["maxDepth"] = min(MAX_DEPTH, max(1, math.ceil(math.log2(params["num_leaves"]))))
+        depth = max(1, math.ceil(math.log2(params["num_leaves"])))
+        if depth > MAX_DEPTH:
+            raise ValueError(f"num_leaves needs depth {depth}; trees have {MAX_DEPTH} levels at most")
+        out["maxDepth"] = depth
     if "min_data_in_leaf" in params:
         out["minInstancesPerNode"] = int(params["min_data_in_leaf"])
     if "feature_fraction" in params:
@@ -56,8 +62,14 @@ def fit_boosted(
     learning_rate: float = 0.1,
     params: dict | None = None,
     seed: int = 42,
+    validation: str | None = None,
+    tolerance: float = 0.01,
 ) -> GBTClassificationModel:
-    """Boosted trees on assembled rows; the lineage of the rounds is cut in the shared folder."""
+    """Boosted trees on assembled rows; the lineage of the rounds is cut in the shared folder.
+
+    With `validation`, a boolean column, its rows are not learned from, and rounds end when they
+    no longer improve the error on those rows by `tolerance`.
+    """
     shared_dir(train.sparkSession)
     gbt = GBTClassifier(
         featuresCol="features",
@@ -71,6 +83,9 @@ def fit_boosted(
     )
     if weight:
         gbt = gbt.setWeightCol(weight)
+    if validation:
+        gbt = gbt.setValidationIndicatorCol(validation)
+        gbt = gbt.copy({gbt.validationTol: tolerance})
     return gbt.fit(train.withColumn(target, F.col(target).cast("double")))
 
 
@@ -113,16 +128,73 @@ def importances(
     )
 
 
+def tree_tables(model: GBTClassificationModel, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:
+    """(feature, threshold, left, right, prediction) of the nodes of every tree, weighted.
+
+    Read from the saved model, which is as large as the model. Leaves have feature -1. Splits are on numbers.
+    """
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    node = F.col("nodeData")
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        node["split"]["numCategories"].alias("categories"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["prediction"].alias("prediction"),
+    ).toPandas().sort_values(["treeID", "id"])
+    if (rows.categories > 0).any():
+        raise ValueError("scores per round need trees over numbers, not categories")
+    out = []
+    for number, tree in rows.groupby("treeID"):
+        leaf = tree.left.to_numpy() < 0
+        out.append(
+            (
+                np.where(leaf, -1, tree.feature.to_numpy()),
+                tree.threshold.fillna(0.0).to_numpy(),
+                tree.left.to_numpy(),
+                tree.right.to_numpy(),
+                tree.prediction.to_numpy() * model.treeWeights[number],
+            )
+        )
+    return out
+
+
 def scores_per_round(
-    model: GBTClassificationModel, rows: DataFrame, keep: list[str], out: str = "margin"
+    model: GBTClassificationModel, rows: DataFrame, keep: list[str], out: str = "margin", every: int = 1
 ) -> DataFrame:
-    """Every row once per boosting round, with the margin of the trees up to that round."""
-    margins = []
-    total = F.lit(0.0)
-    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
-        rows = tree.setFeaturesCol("features").setPredictionCol(f"_tree{i}").transform(rows)
-        total = total + F.col(f"_tree{i}") * F.lit(float(weight))
-        margins.append(total)
-    return rows.select(*keep, F.posexplode(F.array(*margins)).alias("_round", out)).select(
-        *keep, (F.col("_round") + 1).alias("iteration"), out
+    """Every row once per `every` boosting rounds and for the last, with the margin up to that round.
+
+    The trees are sent to the tasks as arrays and walked for whole batches, so the plan does not
+    grow with the rounds.
+    """
+    trees = tree_tables(model, rows.sparkSession)
+    wanted = sorted({*range(every, len(trees) + 1, every), len(trees)})
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+    numbers = rows.select(*keep, vector_to_array("features").alias("_x"))
+    kinds = T.StructType([*rows.select(*keep).schema.fields, T.StructField("_margins", T.ArrayType(T.DoubleType()))])
+
+    def walk(batches):
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            margin, found = np.zeros(batch.num_rows), []
+            for i, (feature, threshold, left, right, prediction) in enumerate(shared.value, 1):
+                at = np.zeros(batch.num_rows, np.int64)
+                while batch.num_rows:
+                    inner = np.flatnonzero(feature[at] >= 0)
+                    if not len(inner):
+                        break
+                    node = at[inner]
+                    below = x[inner, feature[node]] <= threshold[node]
+                    at[inner] = np.where(below, left[node], right[node])
+                margin = margin + prediction[at]
+                if i in wanted:
+                    found.append(margin)
+            margins = pa.array(list(np.column_stack(found)) if batch.num_rows else [], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], margins], names=[*keep, "_margins"])
+
+    scored = numbers.mapInArrow(walk, kinds)
+    rounds = F.array(*[F.lit(i) for i in wanted])
+    return scored.select(*keep, F.posexplode("_margins").alias("_place", out)).select(
+        *keep, F.get(rounds, F.col("_place")).alias("iteration"), out
     )

@@ -15,6 +15,7 @@ from cohortlens.functions.scalars import (
     STAYS,
     month_index,
     variation,
+    yyyymm,
 )
 
 MAX_PERIODS = 10_000
@@ -25,6 +26,22 @@ def months_in(df: DataFrame, period: str, months: list[int]) -> DataFrame:
     return df.where(F.col(period).isin([int(m) for m in months]))
 
 
+def in_months(df: DataFrame, date: str, months: list[int]) -> DataFrame:
+    """Rows whose date or time lies in some yyyymm months.
+
+    The range from the first to the last month is a plain comparison of the column, so the
+    scan skips files and row groups by it.
+    """
+    wanted = sorted({int(m) for m in months})
+    if not wanted:
+        return df.where(F.lit(False))
+    kind = df.schema[date].dataType
+    after = month_number(wanted[-1]) + 1
+    start = F.lit(f"{wanted[0] // 100:04d}-{wanted[0] % 100:02d}-01").cast(kind)
+    end = F.lit(f"{after // 12:04d}-{after % 12 + 1:02d}-01").cast(kind)
+    return df.where((F.col(date) >= start) & (F.col(date) < end) & yyyymm(date).isin(wanted))
+
+
 def month_split(
     df: DataFrame, period: str, train: list[int], test: list[int]
 ) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import LEAVES_SECOND, row_gain, sample_number, yyyymm
-from cohortlens.operators.panel import churn_label, observed_periods
+from cohortlens.operators.panel import churn_label, in_months, observed_periods
 from cohortlens.session import stored
 
 ID, PERIOD, LABEL = "cust", "period", "label"
@@ -27,9 +27,14 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("long")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer x month, with nulls where a count is zero, as card columns have them."""
+def panel(spark: SparkSession, sf_dir: str, months: list[int] | None = None) -> DataFrame:
+    """Customer x month, with nulls where a count is zero, as card columns have them.
+
+    With `months` only their orders are read: a range of the raw date reaches the scan.
+    """
     orders = table(spark, sf_dir, "orders")
+    if months:
+        orders = in_months(orders, "o_orderdate", months)
     sums = orders.groupBy(F.col("o_custkey").alias(ID), yyyymm("o_orderdate").alias(PERIOD)).agg(
         F.count(F.lit(1)).cast("int").alias("n_orders"),
         F.sum(cents("o_totalprice")).alias("cents"),
@@ -55,9 +60,9 @@ def order_months(spark: SparkSession, sf_dir: str) -> list[int]:
     )
 
 
-def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_panel(spark: SparkSession, sf_dir: str, months: list[int] | None = None) -> DataFrame:
     """The panel as a table, for operators that read it several times."""
-    return stored(panel(spark, sf_dir), "panel")
+    return stored(panel(spark, sf_dir, months), "panel")
 
 
 PANEL = """

@@ -86,7 +86,7 @@ def psi_feature(spark, sf):
     ),
 )
 def psi_all(spark, sf):
-    out = D.psi(stored_panel(spark, sf), MEASURES, ID, PERIOD, _TRAIN, _SCORE, buckets=20)
+    out = D.psi(stored_panel(spark, sf, _TRAIN + _SCORE), MEASURES, ID, PERIOD, _TRAIN, _SCORE, buckets=20)
     return out.withColumn("psi", F.round("psi", 6))
 
 
@@ -149,3 +149,29 @@ def psi_all_buckets(spark, sf):
 def describe_numeric_buckets(spark, sf):
     with small_buckets():
         return describe_numeric(spark, sf)
+
+
+_ALL_PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                 "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "paid"]
+
+
+@query(
+    "column_profile_all_types",
+    "WITH lines AS (SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS DATE) AS l_shipdate,"
+    " CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_shipmark END AS paid"
+    " FROM (SELECT *, 9007199254740992 + l_orderkey AS l_shipmark FROM lineitem)) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max,"
+        f" count(DISTINCT {c}) AS nunique, count(*) - count({c}) AS nulls FROM lines"
+        for c in _ALL_PROFILED
+    ),
+)
+def column_profile_all_types(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    lines = lines.withColumn("paid", F.when(F.col("l_returnflag") != "R", F.lit(2**53) + F.col("l_orderkey")))
+    return D.column_profile(lines, _ALL_PROFILED)
+
+
+@query("psi_report", ORACLES["psi_all"])
+def psi_report(spark, sf):
+    return D.psi_report(psi_all(spark, sf))

@@ -10,6 +10,7 @@ from cohortlens.plans.profit_queries import CUT_POINTS, cut_points
 from cohortlens.plans.registry import ORACLES, query
 from cohortlens.operators.ordering import small_buckets
 from cohortlens.plans.sampling_queries import BOARD, board
+from cohortlens.session import stored
 
 
 @query(
@@ -274,6 +275,15 @@ def gain_histogram(spark, sf):
     return E.gain_histogram(long, "ganancia", ["modelo", "tipo"], -2e9, 2e9, 40)
 
 
+def _p_sql(z: str) -> str:
+    """The two-sided tail of the normal distribution, by the same fit of the error function."""
+    t = f"(1 / (1 + abs({z}) / sqrt(2) / 2))"
+    power = f"CAST({E.ERFC[-1]} AS DOUBLE)"
+    for c in reversed(E.ERFC[:-1]):
+        power = f"({c} + {t} * {power})"
+    return f"{t} * exp(-({z}) * ({z}) / 2 + {power})"
+
+
 @query(
     "wilcoxon_stat",
     with_(
@@ -292,18 +302,60 @@ tests AS (
   FROM ranked GROUP BY label
 )""",
         """SELECT label, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic,
-                  round((least(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / 4)
-                    / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - ties / 2) / 24), 6) AS z
-           FROM tests""",
+                  round(z, 6) AS z, round(""" + _p_sql("z") + """, 6) AS p_value
+           FROM (SELECT *, (least(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / 4)
+                   / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM tests)""",
     ),
 )
 def wilcoxon_stat(spark, sf):
     rows = scored(spark, sf).withColumn(LABEL, F.coalesce(LABEL, F.lit("none")))
     out = E.wilcoxon(rows, "score", "score_b", [LABEL])
-    return out.withColumn("z", F.round("z", 6))
+    return out.withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
 
 
 @query("wilcoxon_stat_buckets", ORACLES["wilcoxon_stat"])
 def wilcoxon_stat_buckets(spark, sf):
     with small_buckets():
         return wilcoxon_stat(spark, sf)
+
+
+# two experiments: the second one has the other trial's scores; curves meet position by position
+_PAIRS = (
+    CUT_POINTS
+    + """,
+pairs AS (
+  SELECT a.trial, a.seed, round(a.private_cum - b.private_cum, 6) AS d
+  FROM cut_points a JOIN cut_points b
+    ON b.trial = 3 - a.trial AND b.seed = a.seed AND b.nro_envios = a.nro_envios
+  WHERE a.nro_envios BETWEEN 200 AND 1199
+),
+ranked AS (
+  SELECT trial, seed, d, rank() OVER (PARTITION BY trial, seed ORDER BY abs(d))
+           + (count(*) OVER (PARTITION BY trial, seed, abs(d)) - 1) / 2 AS r,
+         CAST(count(*) OVER (PARTITION BY trial, seed, abs(d)) AS DOUBLE) AS t
+  FROM pairs WHERE d <> 0
+),
+tests AS (
+  SELECT trial, seed, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus,
+         coalesce(sum(r) FILTER (d < 0), 0) AS w_minus, sum(t * t - 1) AS ties
+  FROM ranked GROUP BY trial, seed
+)"""
+)
+
+
+@query(
+    "wilcoxon_experiments",
+    with_(
+        _PAIRS,
+        """SELECT trial, seed, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(z, 6) AS z,
+                  round(""" + _p_sql("z") + """, 6) AS p_value
+           FROM (SELECT *, (least(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / 4)
+                   / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM tests)""",
+    ),
+)
+def wilcoxon_experiments(spark, sf):
+    first = stored(cut_points(spark, sf, between=(200, 1200)), "curves")
+    second = first.withColumn("trial", 3 - F.col("trial"))
+    pairs = E.paired_runs(first, second, ["trial", "seed", "nro_envios"], "private_cum")
+    out = E.wilcoxon(pairs, "first", "second", ["trial", "seed"])
+    return out.withColumns({c: F.round(c, 6) for c in ("z", "p_value")})

@@ -27,7 +27,10 @@ from cohortlens.plans.analogs import (
 )
 from cohortlens.plans.registry import ORACLES, query
 from cohortlens.operators.ordering import small_buckets
-from cohortlens.session import stored
+from cohortlens.operators.drift import column_profile
+from cohortlens.session import scratch_path, stored
+from cohortlens.sources import tables as T
+from cohortlens.sources.rules import read_imputation, read_rank_flags, sentinel_rules
 
 # every line's key columns and amounts; the last three carry nulls
 _LINES = """
@@ -349,3 +352,134 @@ def rank_family_buckets(spark, sf):
 def tenure_decile_buckets(spark, sf):
     with small_buckets():
         return tenure_decile(spark, sf)
+
+
+_PANEL_TEXT = PANEL + """,
+text_panel AS (SELECT printf('customer-%012d', cust) AS cust, period, spend, n_orders, n_urgent, top_price FROM panel)"""
+
+
+@query(
+    "rank_family_text_id",
+    with_(
+        _PANEL_TEXT,
+        "SELECT cust, period, "
+        + ", ".join(_rank_sql(m, c) for c in _FLAGS for m in R.RANKS if m in _FLAGS[c])
+        + " FROM text_panel",
+    ),
+)
+def rank_family_text_id(spark, sf):
+    rows = stored_panel(spark, sf).withColumn(ID, F.format_string("customer-%012d", ID))
+    return R.rank_family(rows, _FLAGS, ID, PERIOD)
+
+
+# a hundred amount columns: bands of the two amounts, shifted and scaled
+_WIDE = [(f"m{i}", "spend" if i % 2 else "top_price", 97 * (i + 1)) for i in range(100)]
+
+
+@query(
+    "ntile_features_wide",
+    with_(
+        PANEL
+        + ", wide AS (SELECT cust, period, "
+        + ", ".join(f"CAST(CAST(floor({c}) AS BIGINT) % {k} AS DOUBLE) AS {n}" for n, c, k in _WIDE)
+        + " FROM panel)",
+        "SELECT cust, period, "
+        + ", ".join(
+            f"ntile(200) OVER (PARTITION BY period ORDER BY {n} ASC NULLS LAST, cust) AS ntile_{n}" for n, _, _ in _WIDE
+        )
+        + " FROM wide",
+    ),
+)
+def ntile_features_wide(spark, sf):
+    made = [(F.floor(c).cast("long") % k).cast("double").alias(n) for n, c, k in _WIDE]
+    rows = stored(panel(spark, sf).select(ID, PERIOD, *made), "wide")
+    return R.ntile_features(rows, [n for n, _, _ in _WIDE], ID, PERIOD, tiles=200)
+
+
+@query(
+    "impute_rules_whole_numbers",
+    with_(
+        PANEL,
+        """SELECT cust, period, coalesce(CAST(n_filled AS BIGINT), -9999999999) AS n_filled,
+                  coalesce(CAST(n_urgent AS DOUBLE), -0.5) AS n_urgent, n_orders FROM panel""",
+    ),
+)
+def impute_rules_whole_numbers(spark, sf):
+    rows = panel(spark, sf).select(ID, PERIOD, "n_filled", "n_urgent", "n_orders")
+    return I.impute_rules(rows, {"n_filled": -9999999999.0, "n_urgent": -0.5, "n_orders": -1.0})
+
+
+# rules for the columns of the panel, written as the three rule files and read back
+_RULE_SQL = PANEL + """,
+facts AS (
+  SELECT """ + ", ".join(f"max({c}) AS {c}" for c in ("n_filled", "n_urgent")) + """ FROM panel
+)"""
+
+
+@query(
+    "rule_files",
+    with_(
+        _RULE_SQL,
+        """SELECT cust, period, coalesce(n_filled, -(SELECT n_filled FROM facts)) AS n_filled,
+                  coalesce(n_urgent, -(SELECT n_urgent FROM facts)) AS n_urgent,
+                  CAST(rank() OVER (PARTITION BY period ORDER BY spend ASC NULLS LAST) AS DOUBLE) AS ordinal_spend
+           FROM panel""",
+    ),
+)
+def rule_files(spark, sf):
+    rows = stored_panel(spark, sf)
+    counts = ["n_filled", "n_urgent"]
+    highest = rows.agg(*[F.max(c).alias(c) for c in counts]).unpivot([], counts, "var", "top")
+    sentinels = highest.select(
+        F.col("var").alias("varname"), F.col("var").alias("varcname"), (-F.col("top")).cast("string").alias("CASO_NULL")
+    )
+    path = scratch_path(spark, "imputation")
+    T.write_csv(sentinels.coalesce(1), path)
+    profile = column_profile(rows, ["spend", *counts])
+    flags = profile.select(
+        F.col("feature").alias("var"), "min", "max", "nunique", "nulls", F.lit("a, b").alias("DESCRIPCION"),
+        F.when(F.col("feature") == "spend", "T").otherwise("F").alias("ordinal"),
+        *[F.lit("F").alias(m) for m in ("percentil", "decil", "cuartil")],
+    )
+    flag_path = scratch_path(spark, "flags")
+    T.write_csv(flags.coalesce(1), flag_path)
+    filled = I.impute_rules(rows.select(ID, PERIOD, *counts), sentinel_rules(read_imputation(spark, path)))
+    return filled.join(R.rank_family(rows, read_rank_flags(spark, flag_path), ID, PERIOD), [ID, PERIOD])
+
+
+# a bank snapshot: every column that the name tables use is one of four measures of the panel
+_MADE = [*X.TOTALS, *[n for pair in X.EXTREMES for n in pair], *X.RATIOS]
+_USED = [p for parts in [*X.TOTALS.values(), *X.EXTREMES.values(), *X.RATIOS.values()] for p in parts]
+_GIVEN = sorted(set(_USED) - set(_MADE) - {"ctrx_quarter", "cliente_antiguedad"})
+_SOURCE = ["spend", "top_price", "n_filled", "n_urgent"]
+
+
+def _bank_sql() -> str:
+    """The name tables as SQL; later columns use earlier ones by their names."""
+    made = [f"{' + '.join(f'coalesce({p}, 0)' for p in parts)} AS {n}" for n, parts in X.TOTALS.items()]
+    for (high, low), parts in X.EXTREMES.items():
+        made += [f"greatest({', '.join(parts)}) AS {high}", f"least({', '.join(parts)}) AS {low}"]
+    made += [f"coalesce({n}, 0) / nullif({d}, 0) AS {name}" for name, (n, d) in X.RATIOS.items()]
+    given = ", ".join(f"CAST({_SOURCE[i % 4]} AS DOUBLE) + {i} AS {n}" for i, n in enumerate(_GIVEN))
+    return (
+        PANEL
+        + f""", given AS (
+  SELECT cust, period, n_filled AS cliente_antiguedad,
+         CASE WHEN n_filled = 1 THEN CAST(n_orders AS DOUBLE) * 3
+              WHEN n_filled = 2 THEN CAST(n_orders AS DOUBLE) * 3 / 2
+              ELSE CAST(n_orders AS DOUBLE) END AS ctrx_quarter, {given} FROM panel
+), made AS (SELECT *, {", ".join(made)} FROM given)"""
+    )
+
+
+@query(
+    "bank_features",
+    with_(_bank_sql(), "SELECT cust, period, ctrx_quarter, " + ", ".join(_MADE) + " FROM made"),
+)
+def bank_features(spark, sf):
+    given = [(F.col(_SOURCE[i % 4]).cast("double") + i).alias(n) for i, n in enumerate(_GIVEN)]
+    rows = panel(spark, sf).select(
+        ID, PERIOD, F.col("n_filled").alias("cliente_antiguedad"), F.col("n_orders").alias("ctrx_quarter"), *given
+    )
+    out = X.bank_features(rows)
+    return out.select(ID, PERIOD, "ctrx_quarter", *_MADE)

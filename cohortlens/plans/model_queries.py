@@ -1,4 +1,4 @@
-"""Model queries on the labelled panel; no SQL can state them, so invariants are tested."""
+"""Model queries on the labelled panel; SQL states what is exact in their results (`*_facts`)."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from cohortlens.operators import profit as G
 from cohortlens.operators.features import class_targets
 from cohortlens.operators.impute import impute_rules
 from cohortlens.operators.panel import lag_features
-from cohortlens.plans.analogs import ID, LABEL, MEASURES, PERIOD, labelled
+from cohortlens.plans.analogs import ID, LABEL, LABELLED, MEASURES, PANEL, PERIOD, key_sql, labelled, with_
 from cohortlens.plans.registry import query
 from cohortlens.session import scratch_path, stored
 from cohortlens.sources.curves import read_cut_points
@@ -151,3 +151,70 @@ def model_submissions(spark, sf):
     return spark.read.csv(
         path, header=True, schema="id bigint, Predicted int, trial int, seed int, n_envios bigint"
     )
+
+
+_ROWS = LABELLED + f""",
+test_rows AS (SELECT cust * 1000000 + period AS id, coalesce(label, 'none') AS label,
+                     CAST(CASE WHEN label = 'BAJA+2' THEN 273000 ELSE -7000 END AS BIGINT) AS gain
+              FROM labelled WHERE period >= {SPLIT})"""
+
+
+@query("gbt_scores_facts", with_(_ROWS, "SELECT id, label, true AS is_probability FROM test_rows"))
+def gbt_scores_facts(spark, sf):
+    return gbt_scores(spark, sf).select("id", LABEL, F.col("pred").between(0, 1).alias("is_probability"))
+
+
+@query(
+    "feature_importance_facts",
+    "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS fname, CAST(1 AS DOUBLE) AS total",
+)
+def feature_importance_facts(spark, sf):
+    found = feature_importance(spark, sf)
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return found.select(F.col("fname_model").alias("fname")).join(total)
+
+
+@query(
+    "backtest_facts",
+    with_(
+        _ROWS,
+        """SELECT trial, seed, count(*) AS n_rows,
+                  CAST(sum(public) AS BIGINT) AS n_public, CAST(sum(gain) AS BIGINT) AS gain
+           FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY seed, label ORDER BY """
+        + key_sql("id", "seed")
+        + """, id) <= round_even(count(*) OVER (PARTITION BY seed, label) * 0.3, 0) THEN 1 ELSE 0 END AS public
+                 FROM test_rows, (SELECT unnest([17, 18]) AS seed)), (SELECT unnest([0, 1]) AS trial)
+           GROUP BY trial, seed""",
+    ),
+)
+def backtest_facts(spark, sf):
+    rows = backtest_cutpoints(spark, sf)
+    return rows.groupBy("trial", "seed").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum((F.col("public") != 0).cast("long")).alias("n_public"),
+        F.sum("ganancia").cast("long").alias("gain"),
+    )
+
+
+@query(
+    "submission_facts",
+    with_(
+        _ROWS,
+        """SELECT 0 AS trial, seed, n_envios, count(*) AS n_rows, least(n_envios, count(*)) AS n_predicted
+           FROM test_rows, (SELECT unnest([17, 18]) AS seed), (SELECT unnest([500, 1000, 2000]) AS n_envios)
+           GROUP BY seed, n_envios""",
+    ),
+)
+def submission_facts(spark, sf):
+    rows = model_submissions(spark, sf)
+    return rows.groupBy("trial", "seed", "n_envios").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("Predicted").alias("n_predicted")
+    )
+
+
+@query("feature_mask", f"SELECT DISTINCT period, {len(M.random_mask(FEATURES, 42))} AS n_features FROM ({with_(PANEL, 'SELECT period FROM panel')})")
+def feature_mask(spark, sf):
+    """The columns that a mask keeps, counted on the panel's own lags."""
+    rows = lag_features(labelled(spark, sf), MEASURES, ID, PERIOD, keep=MEASURES)
+    kept = rows.select(PERIOD, *M.random_mask(FEATURES, 42))
+    return kept.select(PERIOD, F.lit(len(kept.columns) - 1).alias("n_features")).distinct()

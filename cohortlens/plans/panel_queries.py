@@ -99,7 +99,7 @@ def panel_presence(spark, sf):
 
 @query("month_scan", with_(PANEL, f"SELECT * FROM panel WHERE period IN ({_in(TRAIN + SCORE)})"))
 def month_scan(spark, sf):
-    return P.months_in(panel(spark, sf), PERIOD, TRAIN + SCORE)
+    return panel(spark, sf, TRAIN + SCORE)
 
 
 @query(
@@ -213,3 +213,41 @@ def lag_join_match_label(spark, sf):
 def duplicate_keys(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet")
     return P.duplicate_keys(rows, "l_orderkey", "l_linenumber")
+
+
+# every third row of the panel twice: with the same key, other amounts
+_REPEATED = (
+    LABELLED
+    + """,
+repeated AS (
+  SELECT cust, period, spend FROM panel
+  UNION ALL SELECT cust, period, spend + 1 FROM panel WHERE (cust + period) % 3 = 0
+)"""
+)
+
+
+def _repeated(spark, sf):
+    rows = panel(spark, sf).select(ID, PERIOD, "spend")
+    again = rows.where((F.col(ID) + F.col(PERIOD)) % 3 == 0).withColumn("spend", F.col("spend") + 1)
+    return rows.unionByName(again)
+
+
+@query(
+    "churn_label_repeated_keys",
+    with_(
+        _REPEATED,
+        """SELECT r.cust, r.period, round(r.spend, 2) AS spend, l.label
+           FROM repeated r JOIN labelled l ON l.cust = r.cust AND l.period = r.period""",
+    ),
+)
+def churn_label_repeated_keys(spark, sf):
+    rows = P.churn_label(_repeated(spark, sf), ID, PERIOD, LABEL, periods=order_months(spark, sf))
+    return rows.withColumn("spend", F.round("spend", 2))
+
+
+@query(
+    "one_row_per_key",
+    with_(_REPEATED, "SELECT cust, period, round(max(spend), 2) AS spend FROM repeated GROUP BY 1, 2"),
+)
+def one_row_per_key(spark, sf):
+    return P.one_row_per_key(_repeated(spark, sf), ID, PERIOD).withColumn("spend", F.round("spend", 2))

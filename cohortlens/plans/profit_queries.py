@@ -220,3 +220,65 @@ def cutoff_submissions_buckets(spark, sf):
 def best_cutoff_grid_buckets(spark, sf):
     with small_buckets():
         return best_cutoff_grid(spark, sf)
+
+
+# customers with text ids, and rows of no month
+_TEXT_ID = "printf('customer-%015d', id)"
+
+
+def _text_id():
+    return F.format_string("customer-%015d", "id").alias("id")
+
+
+@query(
+    "gain_curve_text_id",
+    with_(
+        SCORED,
+        f"""SELECT id, score, gain, row_number() OVER w - 1 AS nro_envios, row_number() OVER w AS n_sent,
+                   CAST(sum(gain) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gain_cum
+            FROM (SELECT {_TEXT_ID} AS id, score, gain FROM scored)
+            WINDOW w AS (ORDER BY score DESC, id)""",
+    ),
+)
+def gain_curve_text_id(spark, sf):
+    rows = scored(spark, sf).select(_text_id(), "score", "gain")
+    return G.gain_curve(rows, "score", "id", "gain")
+
+
+_NULL_GROUP = "nullif(period // 100, 1996)"
+
+
+def _null_group():
+    year = F.floor(F.col(PERIOD) / 100).cast("int")
+    return F.when(year != 1996, year).alias("year")
+
+
+@query(
+    "gain_curve_null_group",
+    with_(
+        SCORED,
+        f"""SELECT year, id, score, gain, row_number() OVER w - 1 AS nro_envios,
+                   row_number() OVER w AS n_sent,
+                   CAST(sum(gain) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gain_cum
+            FROM (SELECT {_NULL_GROUP} AS year, id, score, gain FROM scored)
+            WINDOW w AS (PARTITION BY year ORDER BY score DESC, id)""",
+    ),
+)
+def gain_curve_null_group(spark, sf):
+    rows = scored(spark, sf).select(_null_group(), "id", "score", "gain")
+    return G.gain_curve(rows, "score", "id", "gain", ["year"])
+
+
+@query(
+    "cutoff_submissions_null_group",
+    with_(
+        SCORED,
+        f"""SELECT year, n_envios, id, CASE WHEN rn <= n_envios THEN 1 ELSE 0 END AS "Predicted"
+            FROM (SELECT year, id, row_number() OVER (PARTITION BY year ORDER BY score DESC, id) AS rn
+                  FROM (SELECT {_NULL_GROUP} AS year, {_TEXT_ID} AS id, score FROM scored)),
+                 (SELECT unnest([0, 250, 1000]) AS n_envios)""",
+    ),
+)
+def cutoff_submissions_null_group(spark, sf):
+    rows = scored(spark, sf).select(_null_group(), _text_id(), "score")
+    return G.cutoff_submissions(rows, "score", "id", [0, 250, 1000], ["year"])

@@ -15,10 +15,10 @@ from cohortlens.sources import tables as T
 
 @query(
     "csv_roundtrip",
-    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""",
+    "SELECT * FROM orders",
 )
 def csv_roundtrip(spark, sf):
-    rows = table(spark, sf, "orders").drop("o_orderdate")
+    rows = table(spark, sf, "orders")
     path = scratch_path(spark, "csv")
     T.write_csv(rows, path, gzip=True)
     return T.read_csv(spark, path, rows.schema, partitions=8)

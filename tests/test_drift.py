@@ -108,3 +108,10 @@ def test_profile(spark):
 def test_psi_without_broadcast(spark, tiny_pins):
     x = np.arange(300.0)
     assert psi(spark, x, x + 20, buckets=5) == pytest.approx(brute_psi(x, x + 20, 5))
+
+
+def test_profile_of_any_type(spark):
+    df = spark.createDataFrame([(2**53, "b", None), (2**53 + 1, "a", 1.5), (2**53, None, 1.5)], "n long, t string, x double")
+    got = {r["feature"]: tuple(r)[1:] for r in D.column_profile(df, ["n", "t", "x"]).collect()}
+    assert got == {"n": (str(2**53), str(2**53 + 1), 2, 0), "t": ("a", "b", 2, 1), "x": ("1.5", "1.5", 1, 1)}
+    assert D.column_profile(df, ["n"]).first()["nunique"] == 2

@@ -140,3 +140,12 @@ def test_training_sets(spark):
     assert got == {"CONTINUA": 10, "BAJA+2": 20}
     also = training_sets(df, "id", "foto_mes", "label", [1, 3], [3], drop_unlabelled=True)
     assert also.train.count() == 20 and also.test.count() == 5
+
+
+def test_sentinels_widen_whole_number_columns(spark):
+    from cohortlens.operators.impute import impute_rules
+
+    df = spark.createDataFrame([(None, None, None), (1, 2, 3)], "a int, b tinyint, c bigint")
+    out = impute_rules(df, {"a": -9999999999, "b": -1.0, "c": 0.5})
+    assert [f.dataType.simpleString() for f in out.schema] == ["bigint", "tinyint", "double"]
+    assert sorted(map(tuple, out.collect())) == [(-9999999999, -1, 0.5), (1, 2, 3.0)]

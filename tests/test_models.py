@@ -67,7 +67,25 @@ def test_importances_cover_all_features(spark, rows):
 def test_tree_params():
     got = T.tree_params({"num_leaves": 500, "min_data_in_leaf": 50, "feature_fraction": 0.5, "bagging_fraction": 0.7})
     assert got == {"maxDepth": 9, "minInstancesPerNode": 50, "featureSubsetStrategy": "0.5", "subsamplingRate": 0.7}
-    assert T.tree_params({"num_leaves": 2**40})["maxDepth"] == 30
+    with pytest.raises(ValueError):
+        T.tree_params({"num_leaves": 2**40})
+
+
+def test_many_rounds_in_steps(rows):
+    train = ready(rows)
+    model = T.fit_boosted(train, "y", "w", 60, 0.3, {"num_leaves": 4})
+    n = model.getNumTrees
+    steps = T.scores_per_round(model, train, ["id"], every=25)
+    assert sorted(r[0] for r in steps.select("iteration").distinct().collect()) == sorted({*range(25, n + 1, 25), n})
+    one = T.scores_per_round(model, train, ["id"]).where("iteration = 25").withColumnRenamed("margin", "m")
+    both = steps.where("iteration = 25").join(one, "id")
+    assert both.where("abs(margin - m) > 1e-12").count() == 0
+
+
+def test_rounds_end_early_on_validation_rows(rows):
+    train = ready(rows).withColumn("check", F.col("id") % 4 == 0)
+    model = T.fit_boosted(train, "y", "w", 30, 0.3, validation="check")
+    assert model.getNumTrees < 30
 
 
 def test_random_params_and_mask_are_reproducible():

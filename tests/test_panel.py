@@ -126,3 +126,28 @@ def test_label_window_has_one_shuffle(spark):
     df = label_panel(spark, [1, 2, 3, 4]).repartition(4)
     plan = P.churn_label(df, "id", "period")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_months_reach_the_scan_as_a_date_range(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    out = P.in_months(orders, "o_orderdate", [199601, 199703])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in pushed and "LessThan(o_orderdate,1997-04-01" in pushed
+    want = orders.where("year(o_orderdate) * 100 + month(o_orderdate) in (199601, 199703)")
+    assert out.count() == want.count() > 0
+    assert P.in_months(orders, "o_orderdate", []).count() == 0
+
+
+def test_label_of_repeated_and_null_keys(spark):
+    rows = [(1, 1), (1, 1), (1, 2), (1, 3), (2, 1), (2, 1), (2, 2), (3, 1), (3, None), (None, 1), (None, 3)]
+    df = spark.createDataFrame(rows, "id long, period int")
+    got = sorted(map(str, P.churn_label(df, "id", "period").collect()))
+    label = {(1, 1): "CONTINUA", (2, 1): "BAJA+2", (3, 1): "BAJA+1", (None, 1): "CONTINUA"}
+    from pyspark.sql import Row
+
+    assert got == sorted(str(Row(id=i, period=p, label=label.get((i, p)))) for i, p in rows)
+    once = P.one_row_per_key(df.withColumn("v", F.lit(1)), "id", "period")
+    assert once.count() == len(set(rows))

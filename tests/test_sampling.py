@@ -72,3 +72,13 @@ def test_sampling_does_not_shuffle_the_rows(spark):
 def test_sampling_without_broadcast(spark, tiny_pins):
     out = S.stratified_split(rows(spark, 300), "id", "label", 0.3, 7)
     assert out.where("side = 'public'").count() == 9 + 9 + 18 + 54
+
+
+def test_splits_are_independent(spark):
+    """Any three splits share 0.3 ** 3 of their public rows, in neighbouring and in distant numbers."""
+    df = spark.range(20_000).withColumn("label", F.lit("a"))
+    sides = S.repeated_splits(df, "id", "label", 12).where("side = 'public'")
+    wide = sides.groupBy("id").pivot("split", list(range(1, 13))).count().fillna(0).toPandas()
+    for three in ((1, 2, 3), (2, 3, 4), (10, 11, 12), (1, 3, 5), (1, 6, 11)):
+        share = (wide[list(map(str, three))].sum(axis=1) == 3).sum() / 20_000
+        assert abs(share - 0.027) < 0.006, (three, share)
