@@ -45,8 +45,11 @@ tu te toi ton ta tes vous votre vos usted ustedes tus ti contigo
 """.split()
 
 STRIP = string.punctuation.encode()
-DISGUISED = re.compile(rb"[A-Za-z][0-9@$!*#+.\-_][A-Za-z0-9@$!*#+.\-_]*[A-Za-z]")
-UNDISGUISE = bytes.maketrans(b"01345@$!7", b"oleasasit")
+# A word that has digits or signs before or between its letters; each word is tried once, from its start.
+DISGUISED = re.compile(
+    rb"(?<![A-Za-z0-9@$])(?:[A-Za-z]++[0-9@$!*#+._-]++(?=[A-Za-z0-9])|[0-9@$]++(?=[A-Za-z]))[A-Za-z0-9@$!*#+._-]*+"
+)
+UNDISGUISE = [bytes.maketrans(b"01345@$!7", x) for x in (b"oieasasit", b"oleasasit")]
 DROPPED = b"*#+.-_"
 LONG_RUN = re.compile(rb"([A-Za-z!?])\1\1")
 CAPITALS = bytes(range(65, 91))
@@ -76,7 +79,9 @@ def features(text: bytes, lexicon: dict[bytes, float]) -> list[float]:
         near = int((np.minimum(before, after) <= NEAR).sum())
     fixed = sum(words[i] in _INSULTS for i in hits)
     disguised = DISGUISED.findall(text)
-    unmasked = sum(d.translate(ASCII_LOWER).translate(UNDISGUISE, DROPPED) in lexicon for d in disguised)
+    unmasked = sum(
+        any(d.translate(ASCII_LOWER).rstrip(b"!").translate(t, DROPPED) in lexicon for t in UNDISGUISE) for d in disguised
+    )
     letters = size - len(text.translate(None, LETTERS))
     capitals = len(text) - len(text.translate(None, CAPITALS))
     signs = len(text) - len(text.translate(None, SIGNS))
