@@ -248,8 +248,9 @@ def _calibrated(queries: DataFrame, placed: DataFrame, tree: Tree, k: int, targe
     for i, q in zip(held.column("id").to_pylist(), _matrix(held.column("v"))):
         first[i] = {leaf: at for at, leaf in enumerate(tree.order(q, tree.leaves))}
     truth = brute_force(sample, placed.select("id", "v"), k)
-    leaves = truth.join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id").select("query_id", "leaf").collect()
-    needed = np.array([first[q][leaf] for q, leaf in leaves])  # at most CALIBRATION_QUERIES * k rows, and copies
+    leaves = truth.join(placed.select(F.col("id").alias("vec_id"), "leaf"), "vec_id")
+    leaves = leaves.select("query_id", "rank", "leaf").distinct().collect()  # a leaf for each of the k, if ids are unique
+    needed = np.array([first[r["query_id"]][r["leaf"]] for r in leaves])
     width = 1
     while width < tree.leaves and len(needed) and (needed < width).mean() < target:
         width += 1
