@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import arrow_map, ship
+from cohortlens.llm.common import U64, arrow_map, mix
 from cohortlens.session import stored
 
 BRANCHES = 8
 # Rows of a leaf, about, as long as the sample allows; bytes and rows of the sample, at most.
 LEAF_ROWS, SAMPLE_ROWS, SAMPLE_BYTES = 256, 20_000, 64 << 20
-# Rows and queries that meet in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 8192
+# Rows (of neighbouring leaves, or a part of one large leaf) and queries that meet in one task.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 8192
 CALIBRATION_QUERIES, TARGET = 256, 0.96
 
 
@@ -120,17 +120,18 @@ def _extended(x: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(largest - (x**2).sum(axis=1), 0))])
 
 
-def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int):
+def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, allowed=None):
     """(query, id, score) of the k best rows of each query in a block, ties to smaller ids.
 
-    A matrix product chooses, with room for rounding; scores are then summed the same way for each pair, so that
-    equal vectors have equal scores.
+    `allowed`, if given, holds a flag for each query and row. A matrix product chooses, with room for
+    rounding; scores are then summed the same way for each pair, so that equal vectors have equal scores.
     """
     out = []
-    for a in range(0, len(q), 512):
-        product = q[a : a + 512] @ c.T
+    for a in range(0, len(q), 256):
+        product = q[a : a + 256] @ c.T
         for i, row in enumerate(product, a):
-            other = np.flatnonzero(c_id != q_id[i])
+            open_rows = c_id != q_id[i]
+            other = np.flatnonzero(open_rows if allowed is None else open_rows & allowed(i))
             if len(other) > k:
                 near = row[other]
                 edge = np.partition(near, len(near) - k)[len(near) - k]
@@ -142,6 +143,23 @@ def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: in
     return tuple(np.concatenate(x) for x in zip(*(out or [empty])))
 
 
+def shards(sizes: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each leaf, and how many blocks each shard has.
+
+    Neighbouring leaves share a shard of up to `most` rows; a larger leaf is a shard of several blocks.
+    """
+    shard, blocks, held = np.zeros(leaves, np.int64), [1], 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > most:
+            blocks.append(1)
+            held = 0
+        shard[leaf] = len(blocks) - 1
+        held += n
+        blocks[-1] = max(1, -(-held // most))
+    return shard, np.array(blocks)
+
+
 TOP = "query_id bigint, vec_id bigint, score double"
 
 
@@ -203,39 +221,61 @@ def search(
     n_queries = queries.count()
     width = _calibrated(queries, placed, tree, k, target)
 
+    # One number for each leaf, of which there are at most as many as sample rows.
+    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    shard, blocks = shards(sizes, tree.leaves, BLOCK_ROWS)
+    # Queries that come to a shard, at most, are cut into parts.
+    parts = max(1, -(-n_queries // BLOCK_QUERIES))
+    layout = spark.sparkContext.broadcast((shard, blocks))
+
     def visits(batches):
         for batch in batches:
-            t = shared.value[0]
-            leaves = [t.order(q, width) for q in _matrix(batch.column(1))]
-            at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+            t, (of, n) = shared.value[0], layout.value
+            row, where, block, open_leaves = [], [], [], []
+            for i, q in enumerate(_matrix(batch.column(1))):
+                own = np.array(sorted(t.order(q, width)), np.int64)
+                for s in np.unique(of[own]):
+                    for j in range(n[s]):
+                        row.append(i)
+                        where.append(s)
+                        block.append(j)
+                        open_leaves.append(own[of[own] == s])
+            at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
-                 pa.array(np.concatenate(leaves or [[]]).astype(np.int64))], names=["id", "v", "leaf"]
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(where, pa.int64()),
+                 pa.array(block, pa.int64()), pa.array(open_leaves, pa.list_(pa.int64()))],
+                names=["id", "v", "shard", "block", "leaves"],
             )
 
-    # Large leaves are cut into blocks of rows, and many queries of a leaf into blocks of queries.
-    q_blocks = max(1, -(-n_queries * width // (tree.leaves * BLOCK_QUERIES)))
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    asked = arrow_map(queries, visits, "id bigint, v array<double>, leaf bigint").join(F.broadcast(blocks), "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("part"), "id", "v",
-    )
-    held = placed.join(F.broadcast(blocks), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"), "id", "v",
-    )
+    def held_in(batches):
+        for batch in batches:
+            of, n = layout.value
+            leaf, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            where = of[leaf]
+            spread = (mix(ids.astype(U64)) % U64(1 << 31)).astype(np.int64) % n[where]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(where), pa.array(spread)], names=["id", "v", "leaf", "shard", "block"]
+            )
+
+    asked = arrow_map(queries, visits, "id bigint, v array<double>, shard bigint, block bigint, leaves array<bigint>")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    held = arrow_map(
+        placed.select("id", "v", "leaf"), held_in, "id bigint, v array<double>, leaf bigint, shard bigint, block bigint"
+    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if left.num_rows and right.num_rows:
+            names, leaf = np.unique(right.column("leaf").to_numpy(), return_inverse=True)
+            open_leaves = left.column("leaves").to_pylist()
             found = best(
                 left.column("id").to_numpy(), _matrix(left.column("v")),
                 right.column("id").to_numpy(), _matrix(right.column("v")), k,
+                lambda i: np.isin(names, open_leaves[i])[leaf],
             )
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
-    ship(spark)
-    by = ["leaf", "block", "part"]
+    by = ["shard", "block", "part"]
     met = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, TOP)
     return _ranked(met, k).select("query_id", "rank", "vec_id", "score")
 
