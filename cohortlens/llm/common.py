@@ -130,11 +130,18 @@ def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int,
 
 
 _SHIPPED: set[str] = set()
+# Rows of an Arrow batch: they hold whole texts, and Spark's 10,000 of them are large on both sides.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the session's Python workers, once, so that they can import it anywhere."""
+    """Send this package to the session's Python workers, once, so that they can import it anywhere.
+
+    Arrow batches become smaller, unless the session has its own size for them.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent.parent

@@ -33,6 +33,8 @@ LARGE_BUCKET, FINE, FINE_AGREE = 48, 512, 0.74
 BLOCK = 1024
 # Size of the filter by which tasks skip texts that are in no pair: 16 MB, however many there are.
 FILTER_BITS = 27
+# Bytes of text whose darts are thrown together.
+STEP = 1 << 20
 TO_UNIT = 2.0**-53
 
 
@@ -122,7 +124,7 @@ def _signed(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys = batch.column(0)
-            for start, some in text_steps(batch.column(1)):
+            for start, some in text_steps(batch.column(1), STEP):
                 sets = [text_shingles(t) for t in some]
                 at = [i for i, s in enumerate(sets) if len(s)]
                 signed = signatures([(sets[i], np.ones(len(sets[i]))) for i in at])
@@ -215,7 +217,7 @@ def _finely_agreeing(members: DataFrame, texts: DataFrame, signed: DataFrame) ->
 
     def sign(batches):
         for batch in batches:
-            for start, some in text_steps(batch.column(1)):
+            for start, some in text_steps(batch.column(1), STEP):
                 sets = [text_shingles(t) for t in some]
                 fine = signatures([(s, np.ones(len(s))) for s in sets], FINE).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
