@@ -156,11 +156,11 @@ def revealing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.concat(F.lit(" "), body, F.lit(" "))), F.lit(TERM), F.lit(0))
     terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term")).groupBy(
         "term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("total"))
-    rated = stored(pairs, "pairs").join(entities, "entity").join(terms, "term").join(F.broadcast(total))
-    pmi = F.log2(F.col("total") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    total = F.lit(float(docs.count()))
+    rated = stored(pairs, "pairs").join(entities, "entity").join(terms, "term")
+    pmi = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     rated = rated.withColumn("disclosure", F.when(
-        F.col("n_entity") < F.col("total"), pmi / F.log2(F.col("total") / F.col("n_entity"))).otherwise(0.0))
+        F.col("n_entity") < total, pmi / F.log2(total / F.col("n_entity"))).otherwise(0.0))
     kept = rated.where(F.col("disclosure") >= GENERALISE).select("entity", "term", (F.col("disclosure") >= REMOVE).alias("removed"))
     spans = near.join(kept, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("removed").alias("removed"))
     return spans.groupBy("key").agg(
