@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from cohortlens.llm.common import ASCII_LOWER, arrow_map, fresh, text_steps
+from cohortlens.session import pin
 
 BITS = 14
 DIM = 1 << BITS
@@ -122,7 +123,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
     edge = hashed.select("lang", "at").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
     edge = edge.groupBy("lang").agg(F.max("at").alias("edge"))
-    sample = hashed.join(edge, "lang").where("at <= edge").dropDuplicates(["lang", "at"])
+    # One row for each language, size-checked and broadcast: texts are not dealt out by language.
+    sample = hashed.join(pin(edge), "lang").where("at <= edge").dropDuplicates(["lang", "at"])
     model = Model(idf, np.zeros((0, DIM)), [], np.zeros(0))
     rows_of: dict[str, list] = {}
     vectors = arrow_map(sample.select("lang", "text"), _sparse, "lang string, terms binary, counts binary")
