@@ -22,7 +22,7 @@ from cohortlens.llm.common import arrow_map, fresh, text_steps
 GRAM_BITS, SHAPE_BITS, REPEAT_BITS = 17, 14, 8
 DIM = (1 << GRAM_BITS) + (1 << SHAPE_BITS) + (1 << REPEAT_BITS)
 # Labelled rows that the model is fitted on, at most per class; chosen by hash.
-FIT_ROWS = 4000
+FIT_ROWS = 2000
 
 # Classes of bytes: 0 white space, 1 lower case, 2 upper case, 3 digit, 4 beyond ASCII, then signs.
 CLASSES = np.full(256, 8, np.uint32)
@@ -138,8 +138,8 @@ def fit_rows(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c
     for idx in found:
         v = ratio[idx]
         length = np.linalg.norm(v)
-        v = v / length if length else v
-        rows.append((np.append(idx, DIM), np.append(v, 1.0)))
+        v = np.append(v / length if length else v, 1.0).astype(np.float32)
+        rows.append((np.append(idx, DIM).astype(np.int32), v))
     # Both classes weigh the same in the hinge loss; the curve below restores their real shares.
     weight = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
     w = dual_descent(rows, y, DIM + 1, cost * weight)
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", most: i
             continue
         sample = own.where(F.col("at") <= edge).dropDuplicates(["at"]).select("text")
         table = arrow_map(sample, features, "found binary").toArrow()
-        got += [(value, np.frombuffer(x.as_py(), np.int32).astype(np.int64)) for x in table.column(0)]
+        got += [(value, np.frombuffer(x.as_py(), np.int32)) for x in table.column(0)]
     got.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     return fit_rows([x for _, x in got], np.array([v for v, _ in got], float))
 
