@@ -1,23 +1,28 @@
 """Personal data, with DataFrame functions only: patterns first, then terms that give them away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each found value is a
-protected entity. Corpus co-occurrence then says how much a term near an entity reveals of it:
-with df counted over all documents and N documents,
+protected entity. Corpus co-occurrence then says how much a term of a document with an entity reveals
+of it: with df counted over all documents and N documents,
 
     PMI(term; entity) = log2(N * df(term, entity) / (df(term) * df(entity)))
     disclosure        = PMI / -log2(df(entity) / N)          at most 1
 
 Terms of a disclosure of GENERALISE or more are replaced by a general word, of REMOVE or more taken
-out, where they stand near that entity. A pair counts as evidence from SUPPORT different texts on.
+out, wherever they stand in a document that holds the entity. A pair is evidence if chance hardly makes
+it: over distinct texts (copies prove nothing), the hypergeometric probability that so many texts of
+the entity hold the term, times the number of terms, is at most CHANCE. Terms are words of a text without
+its pattern matches.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import fresh
-from cohortlens.session import stored
+from cohortlens.session import pin, stored
 
 # The kinds and their patterns. Runs are matched whole (possessive), which finds the
 # same matches as plain repetition in linear time; a local part begins at its run or after a match.
@@ -30,10 +35,9 @@ PATTERNS = {
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"(?<=[^\p{L}])\p{L}{3,}(?=[^\p{L}])"
-# Characters on either side of an entity that are its context.
-CONTEXT = 80
 GENERALISE, REMOVE = 0.7, 0.95
-SUPPORT = 3
+# Terms that chance alone may tie to an entity, as an expected number for each entity.
+CHANCE = 0.05
 MARK, OTHER = "\u0001", "\u0002"
 
 
@@ -103,20 +107,46 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def contexts(text: Column, base: Column) -> Column:
-    """For each base span its kind and value, and the text around it with that text's first position."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
+def blanked(text: Column, base: Column) -> Column:
+    """The text with spaces in place of its base spans; positions stay."""
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        kept = F.substr(text, acc["at"] + 1, start - acc["at"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], kept, F.repeat(F.lit(" "), end - start)).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, state, step, rest))
+
+
+def padded(text: Column, base: Column) -> Column:
+    return F.concat(F.lit(" "), blanked(text, base), F.lit(" "))
+
+
+def term_hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def terms_of(text: Column, base: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    words = F.regexp_extract_all(padded(text, base), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(words, term_hash))
+
+
+def with_terms(base: Column, text: Column, general: Column, removed: Column) -> Column:
+    """Base spans, and every mention of the listed terms (null: none) as a span "generalise" or "remove"."""
 
-    def one(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
+    def span(t: Column) -> Column:
+        gone = F.array_contains(removed, term_hash(t["value"]))
         return F.struct(
-            s["kind"].alias("kind"),
-            s["value"].alias("value"),
-            (first - 1).alias("offset"),
-            F.substr(padded, first + 1, s["end"] + CONTEXT + 2 - first).alias("around"),
-        )
+            (t["start"] - 1).alias("start"), F.when(gone, 5).otherwise(4).alias("rank"), (t["end"] - 1).alias("end"),
+            F.when(gone, "remove").otherwise("generalise").alias("kind"), F.lit("").alias("value"),
+        )
 
-    return F.transform(base, one)
+    listed = lambda v: F.array_contains(general, term_hash(v)) | F.array_contains(removed, term_hash(v))
+    mentions = F.transform(matches(padded(text, base), TERM, listed), span)
+    return F.when(general.isNull(), base).otherwise(F.array_sort(F.concat(base, mentions)))
 
 
 def found_base(docs: DataFrame, text: str, key: str, base: str) -> DataFrame:
@@ -125,50 +155,85 @@ def found_base(docs: DataFrame, text: str, key: str, base: str) -> DataFrame:
     return docs.withColumn(key, F.unhex(F.md5(body.cast("binary")))).withColumn(base, base_spans(body))
 
 
-def revealing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, terms): for the hash of each text with entities, the spans of its terms that disclose one.
+def least_texts(texts: int, terms: int) -> int:
+    """The fewest joint texts that any pair needs: a term and an entity that only occur together, so often."""
+    k = 1
+    while k <= texts // 2 and terms > CHANCE * math.comb(texts, k):
+        k += 1
+    return k if terms <= CHANCE * math.comb(texts, k) else texts + 1
+
+
+def _log_factorial(n: Column) -> Column:
+    """Stirling's series, right to 0.001 from 1 on."""
+    x = F.greatest(n.cast("double"), F.lit(1.0))
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n <= 1, 0.0).otherwise(series)
+
+
+def log_chance(both: Column, term: Column, entity: Column, texts: int) -> Column:
+    """ln of (a bound from above on) the chance that `both` or more of the entity's texts hold the term.
 
-    `terms` is array<struct<start, rank, end, kind, value>> with the kinds "generalise" and "remove".
+    The hypergeometric probability of `both`, and of more by a geometric series: its terms fall
+    faster. Where they do not fall yet, at or below the expected number, the bound is 1.
+    """
+    pick = lambda n, k: _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+    n = F.lit(float(texts))
+    point = pick(term, both) + pick(n - term, entity - both) - pick(n, entity)
+    ratio = (entity - both) * (term - both) / ((both + 1.0) * (n - entity - term + both + 1.0))
+    return F.when(ratio < 1, point - F.ln(1 - ratio)).otherwise(0.0)
+
+
+def revealing_terms(marked: DataFrame, text: str, key: str, base: str) -> DataFrame:
+    """(key, general, removed): for the hash of each text with entities, the hashes of terms that disclose one.
+
+    `marked` has the columns of `found_base`. Each text is counted once for chance, with its copies for disclosure.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    some = found_base(docs.select(body.alias("text")), "text", "key", "base").where(F.size("base") > 0)
+    docs = marked.select(F.col(key).alias("key"), F.col(base).alias("base"), body.alias("text"))
+    copies = stored(docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "copies")
+    size = copies.agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("texts")).first()
+    total, texts = float(size["docs"] or 0), size["texts"]
+    # A text that occurs n times adds 1/n each time to the texts of its terms.
+    repeated = pin(copies.where(F.col("n") > 1).select("key", (1 / F.col("n")).alias("share")))
+    terms = stored(
+        docs.select("key", terms_of(F.col("text"), F.col("base")).alias("terms")).join(repeated, "key", "left")
+        .select(F.explode("terms").alias("term"), F.coalesce("share", F.lit(1.0)).alias("share"))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("n_term"), F.round(F.sum("share")).cast("long").alias("k_term")),
+        "terms",
+    )
+    n_terms = terms.count()
+    least = least_texts(texts, n_terms)
     # One row for each text: its copies are counted in `n`.
+    named = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))
     held = stored(
-        some.select("key", "base", contexts(F.col("text"), F.col("base")).alias("around"))
-        .groupBy("key").agg(F.first("base").alias("base"), F.first("around").alias("around"), F.count(F.lit(1)).alias("n")),
+        docs.where(F.size("base") > 0).select("key", named.alias("entities"), terms_of(F.col("text"), F.col("base")).alias("terms"))
+        .groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")),
         "entities",
     )
-    near = held.select("key", "n", "base", F.explode("around").alias("a")).select(
-        "key", "n", "base", F.xxhash64("a.kind", "a.value").alias("entity"), F.col("a.offset").alias("offset"),
-        F.explode(matches(F.col("a.around"), TERM, lambda v: F.lit(True))).alias("t"),
+    # Rarer entities and pairs cannot pass the test of chance below.
+    entities = pin(
+        held.select("n", F.explode("entities").alias("entity")).groupBy("entity")
+        .agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("k_entity")).where(F.col("k_entity") >= least)
     )
-    start, end = F.col("offset") + F.col("t.start"), F.col("offset") + F.col("t.end")
-    apart = ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    near = near.where(apart).select(
-        "key", "n", "entity", F.xxhash64(F.lower("t.value")).alias("term"), start.alias("start"), end.alias("end")
-    )
-    pairs = near.select("key", "n", "entity", "term").distinct().groupBy("entity", "term").agg(
-        F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")
-    ).where(F.col("texts") >= SUPPORT)
-    entities = held.select("key", "n", F.explode(F.array_distinct(F.transform(
-        "around", lambda a: F.xxhash64(a["kind"], a["value"])))).alias("entity")
-    ).groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    words = F.regexp_extract_all(F.lower(F.concat(F.lit(" "), body, F.lit(" "))), F.lit(TERM), F.lit(0))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("term")).groupBy(
-        "term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = F.lit(float(docs.count()))
+    within = held.select("key", F.explode("entities").alias("entity")).join(entities.select("entity"), "entity")
+    within = within.groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    pairs = held.select("key", "n", "terms").join(within, "key").select("n", "entities", F.explode("terms").alias("term")).select(
+        "n", "term", F.explode("entities").alias("entity")
+    ).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("k_both")).where(F.col("k_both") >= least)
     rated = stored(pairs, "pairs").join(entities, "entity").join(terms, "term")
     pmi = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    rated = rated.withColumn("disclosure", F.when(
+    chance = log_chance(F.col("k_both"), F.col("k_term"), F.col("k_entity"), texts)
+    rated = rated.where(chance + math.log(max(n_terms, 1)) <= math.log(CHANCE)).withColumn("disclosure", F.when(
         F.col("n_entity") < total, pmi / F.log2(total / F.col("n_entity"))).otherwise(0.0))
-    kept = rated.where(F.col("disclosure") >= GENERALISE).select("entity", "term", (F.col("disclosure") >= REMOVE).alias("removed"))
-    spans = near.join(kept, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("removed").alias("removed"))
-    return spans.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "start", F.when(F.col("removed"), 5).otherwise(4).alias("rank"), "end",
-            F.when(F.col("removed"), "remove").otherwise("generalise").alias("kind"), F.lit("").alias("value"),
-        ))).alias("terms")
+    removed = F.col("disclosure") >= REMOVE
+    lists = stored(
+        rated.where(F.col("disclosure") >= GENERALISE).groupBy("entity").agg(
+            F.collect_list(F.when(~removed, F.col("term"))).alias("general"), F.collect_list(F.when(removed, F.col("term"))).alias("removed")),
+        "disclosing",
     )
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return held.select("key", F.explode("entities").alias("entity")).join(lists, "entity").groupBy("key").agg(
+        every("general"), every("removed"))
 
 
 def joined(spans: Column) -> Column:
@@ -180,13 +245,12 @@ def find(docs: DataFrame, text: str = "text", name: str = "personal") -> DataFra
 
     A null or empty text has no spans. Repeated rows get the same spans. Spans may overlap across kinds.
     """
-    key, base, terms = (fresh(docs, n) for n in ("text_key", "base_spans", "term_spans"))
+    key, base, general, removed = (fresh(docs, n) for n in ("text_key", "base_spans", "general_terms", "removed_terms"))
     marked = found_base(docs, text, key, base)
     keep = [F.col(f"`{c}`") for c in docs.columns]
     marked = stored(marked.select(*keep, key, base), "base")
-    extra = revealing_terms(docs, text).withColumnsRenamed({"key": key, "terms": terms})
-    none = F.array().cast(marked.schema[base].dataType)
-    spans = F.array_sort(F.concat(base, F.coalesce(F.col(terms), none)))
+    extra = revealing_terms(marked, text, key, base).withColumnsRenamed({"key": key, "general": general, "removed": removed})
+    spans = with_terms(F.col(base), F.coalesce(F.col(text), F.lit("")), F.col(general), F.col(removed))
     return marked.join(extra, key, "left").select(
         *keep, F.struct(F.col(base).alias("base"), spans.alias("spans")).alias(name)
     )
@@ -218,12 +282,11 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without pattern matches, null ones too, stay as they are and are not shuffled.
     """
-    key, base, terms = (fresh(docs, n) for n in ("text_key", "base_spans", "term_spans"))
+    key, base, general, removed = (fresh(docs, n) for n in ("text_key", "base_spans", "general_terms", "removed_terms"))
     keep = [F.col(f"`{c}`") for c in docs.columns]
     marked = found_base(docs, text, key, base)
     clean = marked.where(F.size(base) == 0).select(*keep)
-    extra = revealing_terms(docs, text).withColumnsRenamed({"key": key, "terms": terms})
-    none = F.array().cast(marked.schema[base].dataType)
-    spans = F.array_sort(F.concat(base, F.coalesce(F.col(terms), none)))
+    extra = revealing_terms(marked, text, key, base).withColumnsRenamed({"key": key, "general": general, "removed": removed})
+    spans = with_terms(F.col(base), F.col(text), F.col(general), F.col(removed))
     changed = marked.where(F.size(base) > 0).join(extra, key, "left").withColumn(text, masked(F.col(text), spans))
     return clean.unionByName(changed.select(*keep))

@@ -208,6 +208,23 @@ def test_terms_that_disclose_are_found_and_masked(spark):
     assert pii.find(docs.where("false")).count() == 0 and pii.sanitise(docs.where("false")).count() == 0
 
 
+def test_terms_far_from_their_entity_are_found_everywhere(spark):
+    rng = random.Random(8)
+    common = [f"{a}{b}" for a in ("lor", "mip", "sun", "dol") for b in ("ane", "ivo", "uda", "eki", "oro")]
+    words = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [f"Quillfeather, {words(60)} Quillfeather {words(60)} anna@mail.org" for _ in range(3)]
+    rows += [f"Once{'abc'[i]} {words(90)} only{'abc'[i]}@mail.org" for i in range(3)]
+    rows += [words(100) for _ in range(300)] + ["solitary@mail.org onceonly"] * 5 + [rows[0]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, rows[r.doc_id][s.start : s.end]) for s in r.personal.spans] for r in pii.find(docs).collect()}
+    for i in (0, 1, 2, len(rows) - 1):
+        assert found[i] == [("remove", "Quillfeather")] * 2 + [("email", "anna@mail.org")]
+    # A single text, however often copied, is no evidence.
+    assert all([k for k, _ in found[i]] == ["email"] for i in [3, 4, 5, *range(306, 311)])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "Quillfeather" not in clean[0] and clean[1].endswith("[EMAIL]") and "onceonly" in clean[306]
+
+
 def plain_best_fit(lengths, size):
     rooms, bins = [], 0
     for n in sorted(lengths, reverse=True):
