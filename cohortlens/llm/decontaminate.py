@@ -6,7 +6,7 @@ index of a shard (some megabytes of text in a task) holds the runs that are as l
 windows are searched backwards at once, occurrences located by sampled positions, and the covered
 words merged into spans. Nothing is shuffled.
 
-The benchmark is sent to the tasks in blocks of bounded size, one pass over the rows in the same stage for each block.
+The benchmark is sent to the tasks in blocks of bounded size, all searched in the same stage.
 """
 
 from __future__ import annotations
@@ -178,30 +178,31 @@ def clean(
 ) -> DataFrame:
     """All rows and columns of `docs`, with every occurrence of a window cut out of `text`.
 
-    A text is searched again after a cut, until nothing is found. Texts without an occurrence, null
-    ones too, stay as they are; a text that is nothing else becomes empty.
+    All blocks are searched in the same text and their spans cut together. A text is searched again after a
+    cut, until no block finds anything. Texts without an occurrence, null ones too, stay as they are; a
+    text that is nothing else becomes empty.
     """
     at = docs.columns.index(text)
-    out = docs
-    for block in blocks(benchmark, item_id, item_text, width):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                changed = {}
-                for start, texts in text_steps(batch.column(at), SHARD_BYTES):
-                    todo = dict(enumerate(texts, start))
-                    while todo:
-                        found = zip(todo, shared.value.search(list(todo.values())))
-                        hits = {i: flags for i, (_, flags, _) in found if len(flags)}
-                        changed |= {i: cut(todo[i].decode(), flags) for i, flags in hits.items()}
-                        todo = {i: changed[i].encode() for i in hits}
-                if changed:
-                    values = batch.column(at).to_pylist()
-                    for i, t in changed.items():
-                        values[i] = t
-                    batch = batch.set_column(at, text, pa.array(values, batch.column(at).type))
-                yield batch
-
-        out = arrow_map(out, run, docs.schema)
-    return out
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text, width)]
+
+    def run(batches):
+        for batch in batches:
+            changed = {}
+            for start, texts in text_steps(batch.column(at), SHARD_BYTES):
+                todo = dict(enumerate(texts, start))
+                while todo:
+                    hits: dict[int, np.ndarray] = {}
+                    for block in shared:
+                        for i, (_, flags, _) in zip(todo, block.value.search(list(todo.values()))):
+                            if len(flags):
+                                hits[i] = hits[i] | flags if i in hits else flags
+                    changed |= {i: cut(todo[i].decode(), flags) for i, flags in hits.items()}
+                    todo = {i: changed[i].encode() for i in hits}
+            if changed:
+                values = batch.column(at).to_pylist()
+                for i, t in changed.items():
+                    values[i] = t
+                batch = batch.set_column(at, text, pa.array(values, batch.column(at).type))
+            yield batch
+
+    return arrow_map(docs, run, docs.schema)
