@@ -336,6 +336,22 @@ def test_main_text_of_pages(spark):
     assert wrappers.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("url", ["https://mixed.example.com/x", "no host"])
+def test_templates_of_one_host_do_not_disturb_each_other(spark, url):
+    rows, want = [], {}
+    for i in range(12):
+        text = f"First words of page {i}, a long one.", f"Last words of page {i}, as long as that."
+        inner = "".join(f"<p>{t}</p>" for t in text)
+        bodies = [f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class=content>{inner}</div>",
+                  f"<article class=card><a href=z>Teaser {i}</a></article><main>{inner}</main>"]
+        # Most of the host's text is in articles.
+        body = bodies[i % 4] if i % 4 else bodies[0].replace("</article>", f"<p>{'and so on ' * 50}{i}</p></article>")
+        rows.append((i, url, PAGE.format(n=i, main=body)))
+        want[i] = "\n".join(text if i % 4 else (*text, f"{'and so on ' * 50}{i}"))
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.main_text for r in out.collect()} == want
+
+
 def test_many_shapes_of_one_host(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "GROUP", 3)
     rng = random.Random(6)
