@@ -1,7 +1,8 @@
 """Sorted hash arrays in the shared folder: summed in Spark by key range, memory-mapped by the workers.
 
 A table maps 64-bit keys to a few whole numbers. Its shards hold ranges of the key (its highest
-bits); a shard is one file of sorted keys and one of bytes for each column, with a list of the values of 255 or more.
+bits); a shard is its sorted keys and one file of bytes for each column, with a list of the values of 255 or more.
+Of a key only the lowest 48 bits are stored: the highest 16 follow from the shard and a list of where each begins.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from cohortlens.session import shared_dir
 HELD = 2_000_000
 # Bytes of text whose entries one shard holds, about.
 SHARD_TEXT = 32 << 20
+TOP = U64(48)
 
 
 def mapped_dir(spark: SparkSession, name: str) -> str:
@@ -58,6 +60,15 @@ def combine(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values, first, axis=0) if len(first) else values
 
 
+def _tops(bits: int) -> int:
+    """How many values the highest 16 bits of a key take in a shard."""
+    return max(1, 1 << 16 >> bits)
+
+
+def _first(shard: int, bits: int) -> int:
+    return shard << 16 >> bits
+
+
 def _write(path: str, array: np.ndarray) -> None:
     """Written beside and renamed: a task that runs twice leaves one whole file."""
     part = f"{path}.{uuid.uuid4().hex}.part"
@@ -116,7 +127,10 @@ def gather(
             big = np.flatnonzero(column >= 255)
             _write(f"{stem}-{j}.npy", np.minimum(column, 255).astype(np.uint8))
             _write(f"{stem}-{j}-big.npy", np.stack([big, column[big]]))
-        _write(f"{stem}.npy", keys)
+        tops = np.arange(_first(shard, bits), _first(shard, bits) + _tops(bits) + 1)
+        _write(f"{stem}-low.npy", keys.astype(np.uint16))
+        _write(f"{stem}-middle.npy", (keys >> U64(16)).astype(np.uint32))
+        _write(f"{stem}-starts.npy", np.searchsorted((keys >> TOP).astype(np.int64), tops))
         first = numbers[:, 0]
         row = {"name": [name], "shard": [shard], "n_rows": [len(keys)], "first": [int(first.sum())],
                "last": [int(numbers[:, -1].sum())]}
@@ -138,16 +152,32 @@ class Table:
     def _shard(self, i: int):
         if i not in self.shards:
             stem = f"{self.stem}-{i}"
-            if os.path.exists(f"{stem}.npy"):
+            if os.path.exists(f"{stem}-starts.npy"):
                 load = lambda p: np.load(p, mmap_mode="r")
                 self.shards[i] = (
-                    load(f"{stem}.npy"),
+                    (np.load(f"{stem}-starts.npy"), load(f"{stem}-middle.npy"), load(f"{stem}-low.npy")),
                     [(load(f"{stem}-{j}.npy"), np.load(f"{stem}-{j}-big.npy")) for j in range(self.columns)],
                 )
             else:
                 self.shards[i] = None
         return self.shards[i]
 
+    def _hits(self, i: int, held: tuple, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys the shard holds, and where: bisection between the starts of the highest bits."""
+        starts, middle, low = held
+        value = lambda at: middle[at].astype(U64) << U64(16) | low[at]
+        top, want = (asked >> TOP).astype(np.int64) - _first(i, self.bits), asked & U64((1 << 48) - 1)
+        a, b = starts[top], starts[top + 1]
+        end = b
+        while (some := np.flatnonzero(a < b)).size:
+            mid = (a[some] + b[some]) >> 1
+            less = value(mid) < want[some]
+            a, b = a.copy(), b.copy()
+            a[some[less]], b[some[~less]] = mid[less] + 1, mid[~less]
+        inside = np.flatnonzero(a < end)
+        hit = inside[value(a[inside]) == want[inside]]
+        return hit, a[hit]
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         """One row of `columns` numbers for each key."""
         asked, where = np.unique(keys, return_inverse=True)
@@ -159,9 +189,7 @@ class Table:
             if shard is None:
                 continue
             held, columns = shard
-            at = np.minimum(np.searchsorted(held, asked[a:b]), len(held) - 1)
-            hit = np.flatnonzero(held[at] == asked[a:b])
-            at = at[hit]
+            hit, at = self._hits(int(number[a]), held, asked[a:b])
             for j, (small, big) in enumerate(columns):
                 values = small[at].astype(np.int64)
                 over = np.flatnonzero(values == 255)

@@ -23,8 +23,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from cohortlens.llm.common import GOLDEN, U64, arrow_map, fresh, hashes, mix, text_steps, tokens_of
 from cohortlens.llm.hash_table import Table, gather, mapped_dir, shard_bits
 
-# Bigrams: the tables of a higher order outgrow the disk that the check tool allows (see README).
-ORDER = 2
+ORDER = 3
 END, BEGIN = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 
 

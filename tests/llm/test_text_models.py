@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import re
 import zlib
 
@@ -9,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language_id, ngram_lm, quality, queries, toxicity
+from cohortlens.llm import hash_table, language_id, ngram_lm, quality, queries, toxicity
+from cohortlens.llm.common import text_steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +81,30 @@ def test_kneser_ney_equals_plain_version(spark, order):
         assert r.lm_x == 1.5
 
 
+def test_op1_query_trains_middle_orders(spark, monkeypatch):
+    seen, train = [], ngram_lm.train
+    monkeypatch.setattr(ngram_lm, "train", lambda *a, **k: seen.append(train(*a, **k)) or seen[-1])
+    assert queries.op1_kneser_ney_scores(spark, SF).count()
+    assert seen[0].order >= 3 and any(f.startswith("left2") for f in os.listdir(seen[0].folder))
+
+
+@pytest.mark.parametrize("bits", [0, 3, 18])
+def test_tables_keep_whole_keys(spark, bits):
+    rng = np.random.default_rng(bits)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 300, np.uint64), np.array([0, 1, 2**16, 2**48 - 1, 2**48, 2**64 - 1], np.uint64)]))
+    if bits > 3:
+        keys = np.unique(keys >> np.uint64(60))
+    values = rng.integers(1, 600, len(keys))
+    folder = hash_table.mapped_dir(spark, "test")
+    emit = lambda some: [("t", keys, values[:, None])]
+    hash_table.gather(spark.createDataFrame([("x",)], "t string"), emit, text_steps, folder, bits).collect()
+    found = hash_table.Table(folder, "t", bits, 1)
+    assert (found.get(keys)[:, 0] == values).all()
+    near = np.concatenate([keys ^ np.uint64(1 << k) for k in (0, 15, 16, 47, 48, 63)])
+    near = near[~np.isin(near, keys)]
+    assert not found.get(near).any()
+
+
 def test_kneser_ney_of_no_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
     model = ngram_lm.train(docs.where("id > 5"))
