@@ -27,8 +27,8 @@ COORDINATES, BAND = 96, 4
 SHINGLE, SIMILAR = 5, 0.8
 # Pairs whose signatures agree in a smaller share are not similar: 0.6 is 4.9 deviations below 0.8.
 AGREE = 0.6
-# Members of larger buckets get finer signatures, of which 0.74 is 3.4 deviations below 0.8.
-LARGE_BUCKET, FINE, FINE_AGREE = 48, 512, 0.74
+# Members of larger buckets get finer signatures, of which 0.71 is 5.1 deviations below 0.8.
+LARGE_BUCKET, FINE, FINE_AGREE = 48, 512, 0.71
 # Members of a large bucket that one task compares with as many others.
 BLOCK = 1024
 # Size of the filter by which tasks skip texts that are in no pair: 16 MB, however many there are.

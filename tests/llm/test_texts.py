@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -60,6 +61,12 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     assert got == plain_classes(dict(rows))
 
 
+def test_finer_signatures_hardly_miss_a_similar_pair():
+    below = [k for k in range(near_dup.FINE) if k / near_dup.FINE < near_dup.FINE_AGREE]
+    missed = sum(math.comb(near_dup.FINE, k) * 0.8**k * 0.2 ** (near_dup.FINE - k) for k in below)
+    assert missed < 3e-6  # as rare as a pair at 0.8 that no band holds
+
+
 def test_keep_one_row_of_each_class(spark):
     base = family(5, 6, 60, 2)
     rows = [(7, base[0], "a"), (3, base[1], "b"), (3, base[1], "b"), (None, base[2], "c"), (9, None, "d"), (9, None, "d"),
