@@ -228,6 +228,52 @@ def running(
     return df.select(*[c for c in columns if c not in added], *added)
 
 
+def peak_buckets(
+    df: DataFrame, value: Column, tie: Column, gain: Column, groups: list[str] = (), bits: int | None = None
+) -> tuple[DataFrame, list[str], DataFrame]:
+    """As `bucketed`, but of the sizes only buckets in which a running sum of `gain` may peak.
+
+    A bucket's running sums reach at most its start plus its positive gains. One that cannot reach the best sum at
+    the end of any bucket holds no peak. Adds `_start` (rows before) and `_before` (gain before).
+    """
+    groups = list(groups)
+    up = F.greatest(gain, F.lit(0).cast("long"))
+    df, buckets, sizes = bucketed(df, value, tie, groups, bits, {"gain": gain, "up": up})
+    before = _before(groups, buckets)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    added = F.coalesce("_sum_gain", F.lit(0))
+    sizes = sizes.withColumns({"_start": total("_n"), "_before": total("_sum_gain")})
+    best = F.max(F.col("_before") + added).over(_window(groups))
+    reach = F.col("_before") + F.coalesce("_sum_up", F.lit(0))
+    sizes = sizes.withColumns({"_best": best, "_reach": reach}).where(F.col("_reach") >= F.col("_best"))
+    return df, buckets, sizes.select(*groups, *buckets, "_n", "_start", "_before")
+
+
+def peak(
+    df: DataFrame, value: Column, tie: Column, gain: Column, groups: list[str] = (), bits: int | None = None
+) -> DataFrame:
+    """Highest running sum of `gain` in key order and its first 0-based position, as `_peak` and `_at`, by group.
+
+    Only rows of buckets that may hold the peak are shuffled and sorted; the others are counted and summed. Null
+    gains add nothing. Without rows there is no peak: no row by group, one row of nulls without groups.
+    """
+    groups = list(groups)
+    df, buckets, sizes = peak_buckets(df.select(*groups, gain.alias("_gain"), value.alias("_by"), tie.alias("_id")),
+                                      F.col("_by"), F.col("_id"), F.col("_gain"), groups, bits)
+    rows = df.select(*groups, *buckets, VALUE, TIE, F.coalesce("_gain", F.lit(0)).alias("_gain"))
+    rows = join_on(rows, pin(sizes.drop("_n")), [*groups, *buckets])
+    inside = Window.partitionBy(*groups, *buckets).orderBy(F.col(VALUE).asc_nulls_last(), TIE)
+    rows = rows.withColumns(
+        {
+            "_sum": F.col("_before") + F.sum("_gain").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_place": F.col("_start") + F.row_number().over(inside) - 1,
+        }
+    )
+    top = F.max(F.struct(F.col("_sum").alias("v"), (-F.col("_place")).alias("p")))
+    found = rows.groupBy(*groups).agg(top.alias("_top"))
+    return found.select(*groups, F.col("_top.v").alias("_peak"), (-F.col("_top.p")).alias("_at"))
+
+
 def keys_at(
     df: DataFrame,
     value: Column,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.operators.ordering import keys_at, running, sort_key
+from cohortlens.operators.ordering import keys_at, peak, running, sort_key
 from cohortlens.session import attach
 
 # Shares of the public and the private leaderboard, best theoretical cut-off.
@@ -107,9 +107,16 @@ def on_grid(curve: DataFrame, start: int, step: int, count: int,
 
 
 def gain_max(df: DataFrame, score: str, id_col: str, gain: str, groups: list[str] = ()) -> DataFrame:
-    """Highest cumulative gain over descending score."""
-    curve = gain_curve(df, score, id_col, gain, groups)
-    return curve.groupBy(*groups).agg(F.max("gain_cum").alias("gain_max"))
+    """Highest cumulative gain over descending score, without sorting the rows that cannot lie at it."""
+    return peak(df, -F.col(score), F.col(id_col), F.col(gain), groups).select(*groups, F.col("_peak").alias("gain_max"))
+
+
+def best_contact(
+    df: DataFrame, score: str, id_col: str, gain: str, groups: list[str] = (), bits: int | None = None, out: str = "best"
+) -> DataFrame:
+    """Highest cumulative gain and its first position, as `best_cutoff` of the gain curve, without the curve."""
+    found = peak(df, -F.col(score), F.col(id_col), F.col(gain), groups, bits)
+    return found.select(*groups, F.col("_peak").alias(f"{out}_value"), F.col("_at").alias(f"{out}_pos"))
 
 
 def gain_at_threshold(

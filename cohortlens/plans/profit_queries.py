@@ -72,7 +72,22 @@ def gain_max(spark, sf):
     ),
 )
 def best_cutoff(spark, sf):
-    return G.best_cutoff(curve(spark, sf), "gain_cum")
+    return G.best_contact(scored(spark, sf), "score", "id", "gain")
+
+
+@query(
+    "best_contact_by_label_buckets",
+    with_(
+        SCORED,
+        """SELECT label, max(g) AS best_value, arg_min(p, -g * 1000000000 + p) AS best_pos
+           FROM (SELECT label, CAST(sum(gain) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g, row_number() OVER w - 1 AS p
+                 FROM scored WINDOW w AS (PARTITION BY label ORDER BY score DESC, id)) GROUP BY label""",
+    ),
+)
+def best_contact_by_label_buckets(spark, sf):
+    """By group, null labels too, on tables cut again and again."""
+    with small_buckets():
+        return G.best_contact(scored(spark, sf), "score", "id", "gain", [LABEL])
 
 
 @query(

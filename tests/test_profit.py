@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,39 @@ def test_curve_sorts_in_buckets_not_in_one_task(spark):
     df = spark.range(5000).selectExpr("id", "cast(id % 97 as double) as score", "cast(1 as bigint) as gain")
     plan = G.gain_curve(df, "score", "id", "gain")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "hashpartitioning(_b0" in plan
+
+
+def test_peak_equals_the_curve(spark):
+    rng = random.Random(3)
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice([0.1, 0.2, 0.3, None, rng.random()]), i, rng.choice([-7, 273, 0, None, -7, -7]))
+        for i in range(400)
+    ]
+    rows += [("down", 1.0 / (i + 1), 1000 + i, -5) for i in range(30)] + [("flat", 0.5, 2000 + i, 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, score double, id long, gain long")
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        sums, at = [], 0
+        for r in own:
+            at += r[3] or 0
+            sums.append(at)
+        want[g] = (max(sums), sums.index(max(sums)))
+    got = {r[0]: (r[1], r[2]) for r in G.best_contact(df, "score", "id", "gain", ["g"]).collect()}
+    assert got == want
+    assert {r[0]: r[1] for r in G.gain_max(df, "score", "id", "gain", ["g"]).collect()} == {g: v for g, (v, _) in want.items()}
+    assert G.best_contact(df.limit(0), "score", "id", "gain", ["g"]).collect() == []
+
+
+def test_peak_moves_few_rows(spark):
+    """Hits fade with the score: only buckets near the peak are sorted."""
+    from cohortlens.operators import ordering
+
+    df = spark.range(20_000).select(
+        "id", (-F.col("id") / 20_000).alias("score"), F.when(F.pmod(F.hash("id"), F.lit(100)) < 40 - F.col("id") / 200, 40).otherwise(-7).cast("long").alias("gain")
+    )
+    with ordering.small_buckets(8, 500):
+        _, _, kept = ordering.peak_buckets(df, -F.col("score"), F.col("id"), F.col("gain"))
+        assert kept.agg(F.sum("_n")).first()[0] < 6_000
+        curve = G.gain_curve(df, "score", "id", "gain")
+        assert tuple(G.best_contact(df, "score", "id", "gain").first()) == tuple(G.best_cutoff(curve, "gain_cum").first())
