@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.models.stopping import cv_until_stopped, mean_curve, round_gains
 from cohortlens.models.trees import assemble, fit_boosted, predict, scores_per_round
 from cohortlens.operators.evaluate import pending_runs
-from cohortlens.operators.profit import cutoff_submissions, gain_max, public_private_curve
+from cohortlens.operators.profit import cutoff_submissions, public_private_curve
 from cohortlens.operators.sampling import kfold, stratified_split
 from cohortlens.session import stored
 from cohortlens.sources.curves import RUN, write_cut_points, write_submissions
@@ -76,10 +77,7 @@ def cv_curve(
     with ThreadPoolExecutor(parallelism) as pool:
         held_out = list(pool.map(one, range(folds)))
     scores = stored(reduce(DataFrame.unionByName, held_out), "cv-scores")
-    gains = gain_max(scores, "margin", id_col, gain, ["fold", "iteration"])
-    return gains.groupBy("iteration").agg(
-        F.avg("gain_max").alias("gain_mean"), F.stddev_samp("gain_max").alias("gain_std")
-    )
+    return mean_curve(round_gains(scores, "margin", id_col, gain, ["fold", "iteration"]))
 
 
 def with_folds(
@@ -96,6 +94,19 @@ def best_round(curve: DataFrame) -> tuple[int, float]:
     return row["iteration"], row["gain_mean"]
 
 
+def trial_values(curve: DataFrame, folds: int, months: int, keys: list[str] = ()) -> DataFrame:
+    """Objective of each trial's mean curve: the highest mean fold gain times the folds, per train month, and its round."""
+    top = F.max(F.struct(F.col("gain_mean").alias("v"), (-F.col("iteration")).alias("i"))).alias("_top")
+    found = curve.groupBy(*keys).agg(top)
+    return found.select(*keys, (F.col("_top.v") * folds / months).alias("value"), (-F.col("_top.i")).alias("best_iter"))
+
+
+def beside(curves: dict[str, DataFrame], folds: int) -> DataFrame:
+    """Mean gain times the folds after every round, one column per curve."""
+    parts = [c.select("iteration", (F.col("gain_mean") * folds).alias(name)) for name, c in curves.items()]
+    return reduce(lambda a, b: a.join(b, "iteration"), parts)
+
+
 def search(
     df: DataFrame,
     features: list[str],
@@ -114,12 +125,14 @@ def search(
     mask: bool = False,
     every: int = 1,
     parallelism: int = 1,
+    patience: int | None = None,
 ) -> DataFrame:
     """Random search; returns the trials table.
 
     The objective is the mean fold gain times the folds, per train month. A trial carries its
     parameters, the best round, the months, the seed and the sampling share. With `mask` every
-    trial also draws a random half of the features.
+    trial also draws a random half of the features. With `patience` a trial's rounds end when its best mean gain lies
+    so many rounds back; `rounds` is then the most it may fit.
     """
     spark = df.sparkSession
     keep = [id_col, target, gain] + ([weight] if weight else [])
@@ -130,15 +143,21 @@ def search(
         rows = shared if shared is not None else with_folds(
             df, used, keep, id_col, target, folds, seed
         )
-        curve = cv_curve(
-            rows, id_col, target, weight, gain, rounds, folds, learning_rate, params, seed + number,
-            every, parallelism,
-        )
-        iteration, mean = best_round(curve)
+        if patience is None:
+            curve = cv_curve(
+                rows, id_col, target, weight, gain, rounds, folds, learning_rate, params, seed + number,
+                every, parallelism,
+            )
+        else:
+            curve = cv_until_stopped(
+                rows, id_col, target, weight, gain, rounds, folds, learning_rate, params, seed + number,
+                patience, min(patience, 10), parallelism,
+            )
+        value, iteration = trial_values(curve, folds, len(train_months)).first()
         out.append(
             (
                 number,
-                mean * folds / len(train_months),
+                value,
                 "COMPLETE",
                 {k: float(v) for k, v in params.items()},
                 iteration,
@@ -170,14 +189,13 @@ def compare_targets(
 ) -> DataFrame:
     """Mean gain (times the folds) after every round, one column per target definition."""
     keep = [id_col, gain, *targets] + ([weight] if weight else [])
-    parts = []
+    curves = {}
     for target in targets:
         rows = with_folds(df, features, keep, id_col, target, folds, seed)
-        curve = cv_curve(
+        curves[target] = cv_curve(
             rows, id_col, target, weight, gain, rounds, folds, learning_rate, params, seed
         )
-        parts.append(curve.select("iteration", (F.col("gain_mean") * folds).alias(target)))
-    return reduce(lambda a, b: a.join(b, "iteration"), parts)
+    return beside(curves, folds)
 
 
 def backtest(

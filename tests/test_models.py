@@ -162,3 +162,24 @@ def test_submissions_of_all_models_and_cutoffs(spark, rows, tmp_path):
     out = spark.read.csv(path, header=True, schema="id bigint, Predicted int, trial int, seed int, n_envios int")
     got = {tuple(r) for r in out.groupBy("trial", "seed", "n_envios").agg(F.count("*"), F.sum("Predicted")).collect()}
     assert got == {(3, s, n, 600, n) for s in (17, 19) for n in (50, 100)}
+
+
+def test_split_counts_equal_a_walk_of_the_model(spark, rows):
+    model = T.fit_boosted(ready(rows), "y", "w", 4, 0.3, {"num_leaves": 8})
+    plain = {}
+
+    def walk(node, depth):
+        if node.numDescendants() == 0:
+            return
+        key = (node.split().featureIndex(), depth)
+        plain[key] = plain.get(key, 0) + 1
+        walk(node.leftChild(), depth + 1)
+        walk(node.rightChild(), depth + 1)
+
+    for tree in model.trees:
+        walk(tree._call_java("rootNode"), 0)
+    by_depth = T.split_counts(model, FEATURES, spark, 7, by_depth=True).collect()
+    assert {(FEATURES.index(r["fname_model"]), r["depth"]): r["splits"] for r in by_depth if r["splits"]} == plain
+    assert len(by_depth) == len(FEATURES) * (1 + max(d for _, d in plain)) and {r["model"] for r in by_depth} == {7}
+    whole = {r["fname_model"]: r["splits"] for r in T.split_counts(model, FEATURES + ["unused"], spark).collect()}
+    assert whole == {**{f: sum(n for (i, _), n in plain.items() if FEATURES[i] == f) for f in FEATURES}, "unused": 0}
