@@ -143,13 +143,33 @@ def split_counts(
         F.col("treeID").alias("tree"), node["id"].alias("id"), node["split"]["featureIndex"].alias("feature"),
         node["leftChild"].alias("left"), node["rightChild"].alias("right"),
     )
+
+    def depths(nodes: pa.Table) -> pa.Table:
+        """Splits of one tree by feature and depth; `nodes` are its inner nodes."""
+        rows = {r["id"]: r for r in nodes.select(["id", "feature", "left", "right"]).to_pylist()}
+        children = {c for r in rows.values() for c in (r["left"], r["right"])}
+        level, depth, counts = [i for i in rows if i not in children], 0, {}
+        while level:
+            for i in level:
+                key = (rows[i]["feature"], depth)
+                counts[key] = counts.get(key, 0) + 1
+            level = [c for i in level for c in (rows[i]["left"], rows[i]["right"]) if c in rows]
+            depth += 1
+        return pa.table(
+            {
+                "feature": pa.array([k[0] for k in counts], pa.int32()),
+                "depth": pa.array([k[1] for k in counts], pa.int32()),
+                "splits": pa.array(list(counts.values()), pa.int64()),
+            }
+        )
+
     inner = nodes.where(F.col("left") >= 0)
     names = spark.createDataFrame(list(enumerate(features)), "feature int, fname_model string")
     if not by_depth:
         counts = inner.groupBy("feature").agg(F.count(F.lit(1)).alias("splits"))
         keys = names
     else:
-        counts = inner.groupBy("tree").applyInArrow(_depths, "feature int, depth int, splits long")
+        counts = inner.groupBy("tree").applyInArrow(depths, "feature int, depth int, splits long")
         counts = counts.groupBy("feature", "depth").agg(F.sum("splits").alias("splits"))
         counts = stored(counts, "splits")  # features x depths rows
         keys = names.crossJoin(counts.select("depth").distinct())
@@ -160,26 +180,6 @@ def split_counts(
     )
 
 
-def _depths(nodes: pa.Table) -> pa.Table:
-    """Splits of one tree by feature and depth; `nodes` are its inner nodes."""
-    rows = {r["id"]: r for r in nodes.select(["id", "feature", "left", "right"]).to_pylist()}
-    children = {c for r in rows.values() for c in (r["left"], r["right"])}
-    level, depth, counts = [i for i in rows if i not in children], 0, {}
-    while level:
-        for i in level:
-            key = (rows[i]["feature"], depth)
-            counts[key] = counts.get(key, 0) + 1
-        level = [c for i in level for c in (rows[i]["left"], rows[i]["right"]) if c in rows]
-        depth += 1
-    return pa.table(
-        {
-            "feature": pa.array([k[0] for k in counts], pa.int32()),
-            "depth": pa.array([k[1] for k in counts], pa.int32()),
-            "splits": pa.array(list(counts.values()), pa.int64()),
-        }
-    )
-
-
 def tree_tables(model: GBTClassificationModel, spark: SparkSession) -> list[tuple[np.ndarray, ...]]:
     """(feature, threshold, left, right, prediction) of the nodes of every tree, weighted.
 

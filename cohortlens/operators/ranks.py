@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from cohortlens.operators import ordering
 from cohortlens.operators.ordering import GROUP_BITS, keys_at, place_in, running, sort_key
-from cohortlens.session import join_on, pin, stored
+from cohortlens.session import PIN_BYTES, join_on, pin, stored
 
 # The four members of the rank family and their tile counts.
 RANKS = ("ordinal", "percentil", "decil", "cuartil")
 TILES = {"decil": 10, "cuartil": 4}
 # Columns whose tile ends are sent to the tasks together.
 TILE_COLUMNS = 25
+# Bucket limits of one column and period: so many for a tile, at least so many rows apart. Limits of all periods and
+# columns are sent to the tasks together, so their bytes are bounded, too.
+LIMITS_A_TILE, LIMIT_ROWS, LIMIT_BYTES = 8, 2048, 32 << 20
+# Tile ends that are sent to the tasks, if they have PIN_BYTES at most.
+END_ROWS = 3_000_000
+# Rows that a task looks at together.
+CHUNK_ROWS = 1 << 16
 
 
 def tile_of(position: Column, total: Column, tiles: int) -> Column:
@@ -39,6 +52,284 @@ def long_form(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     return doubles.unpivot(keep, cols, "feature", "value")
 
 
+def _column_limits(df: DataFrame, cols: list[str], period: str, counts: dict, tiles: int) -> dict:
+    """{period: arrays of bucket limits, one for each column}, from one aggregate over the wide rows.
+
+    Limits are approximate quantiles: they decide balance, never the result.
+    """
+    forced = ordering._SIZES.get()
+    most = LIMIT_BYTES // (8 * len(cols) * max(1, len(counts)))
+    n = min(LIMITS_A_TILE * tiles, most, max(counts.values(), default=0) // LIMIT_ROWS)
+    n = 1 << forced[0] if forced else n
+    if n < 2:
+        return {}
+    probs = F.expr("array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")")
+    found = df.groupBy(period).agg(*[F.percentile_approx(c, probs, 2 * n).alias(c) for c in cols])
+    out = {}
+    for r in found.toLocalIterator():  # LIMIT_BYTES at most
+        thin = 1 if forced else max(1, n * LIMIT_ROWS // max(1, counts[r[0]]))
+        out[r[0]] = [np.unique(np.array(x or [], float)[thin - 1 :: thin]) for x in r[1:]]
+    return out
+
+
+def _tile_positions(total: int, tiles: int) -> np.ndarray:
+    """Positions of the last row of every tile but the last, as `tile_ends`."""
+    i = np.arange(1, tiles)
+    ends = i * (total // tiles) + np.minimum(i, total % tiles) - 1
+    return np.unique(ends[ends >= 0])
+
+
+def wide_tile_keys(df: DataFrame, cols: list[str], id_col: str, period: str, tiles: int) -> DataFrame | None:
+    """The sort keys that end the tiles of every period and column, as `keys_at` of the long form gives them.
+
+    Wide rows are cut into buckets column by column inside the tasks: one pass counts them, a second one hands on the
+    values and ids of buckets that hold a tile's end, as arrays and not as rows. Only these are shuffled and sorted. None if a
+    bucket that is wanted has more rows than a task should sort: it has to be cut again, by `keys_at`.
+    """
+    context = df.sparkSession.sparkContext
+    rows = df.select(period, id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    counts = {r[0]: r[1] for r in rows.groupBy(period).agg(F.count(F.lit(1))).toLocalIterator()}  # one for a period
+    limits = context.broadcast(_column_limits(rows, cols, period, counts, tiles))
+
+    def parts(batches, limits=limits):
+        """(period, its rows as a batch, for each column its number, the values, the buckets)."""
+        held, size = [], 0
+
+        def split(table):
+            table = table.combine_chunks()
+            if not table.num_rows:
+                return
+            codes = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            keys, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(keys)))])
+            table = table.take(pa.array(order))
+            for k, key in enumerate(keys):
+                own = table.slice(edges[k], edges[k + 1] - edges[k])
+                cuts = limits.value.get(key)
+                for c in range(len(cols)):
+                    column = own.column(c + 2).combine_chunks()
+                    cut = cuts[c] if cuts else np.empty(0)
+                    # The last bucket is for nulls; -0.0 is 0.0, and NaN stands behind all numbers.
+                    x = column.to_numpy(zero_copy_only=False) + 0.0
+                    at = np.searchsorted(cut, x)
+                    if len(cut):
+                        on = cut[np.minimum(at, len(cut) - 1)] == x
+                        at = 2 * at + on
+                    null = column.is_null().to_numpy(zero_copy_only=False)
+                    at[null] = 2 * len(cut) + 1 if len(cut) else 0
+                    yield key, own, c, x, at, null
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                yield from split(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from split(pa.Table.from_batches(held))
+
+    def count(batches):
+        sums = {}
+        for key, _, c, _, at, _ in parts(batches):
+            n = np.bincount(at)
+            old = sums.get((key, c))
+            if old is not None and len(old) > len(n):
+                old[: len(n)] += n
+            else:
+                n[: len(old) if old is not None else 0] += old if old is not None else 0
+                sums[key, c] = n
+        for (key, c), n in sums.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict(
+                {"key": pa.array([key], kind), "column": pa.array([c], pa.int32()),
+                 "at": pa.array([some], pa.list_(pa.int32())), "n": pa.array([n[some]], pa.list_(pa.int64()))}
+            )
+
+    key_type, id_type = rows.schema[period].dataType, rows.schema[id_col].dataType
+    kind, id_kind = to_arrow_type(key_type), to_arrow_type(id_type)
+    fields = [T.StructField("key", key_type), T.StructField("column", T.IntegerType())]
+    forced = ordering._SIZES.get()
+    split_rows = forced[1] if forced else ordering.SPLIT_ROWS
+    wanted: dict = {}
+    if limits.value:
+        schema = [*fields, T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))]
+        counted = rows.mapInArrow(count, T.StructType(schema))
+        counted = counted.select("key", "column", F.explode(F.arrays_zip("at", "n")).alias("b"))
+        counted = counted.groupBy("key", "column", "b.at").agg(F.sum("b.n").alias("n"))
+        counted = counted.groupBy("key", "column").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("b"))
+        for r in counted.toLocalIterator():  # as many numbers as limits
+            n = np.array([b["n"] for b in r["b"]], np.int64)
+            ends = np.cumsum(n)
+            holder = np.unique(np.searchsorted(ends, _tile_positions(int(ends[-1]), tiles), "right"))
+            if len(holder) and n[holder].max() > split_rows:
+                return None
+            wanted[r["key"], r["column"]] = {r["b"][b]["at"]: int(ends[b] - n[b]) for b in holder}
+    else:
+        # Without limits every period and column is one bucket.
+        if max(counts.values(), default=0) > split_rows:
+            return None
+        wanted = {(key, c): {0: 0} for key in counts for c in range(len(cols))}
+    shared = context.broadcast(wanted)
+    totals = context.broadcast(counts)
+
+    def hand_on(batches, shared=shared):
+        out = {"key": [], "column": [], "bucket": [], "values": [], "ids": []}
+
+        def made():
+            return pa.RecordBatch.from_pydict(
+                {"key": pa.array(out["key"], kind), "column": pa.array(out["column"], pa.int32()),
+                 "bucket": pa.array(out["bucket"], pa.int32()), "values": pa.array(out["values"], pa.list_(pa.float64())),
+                 "ids": pa.array(out["ids"], pa.list_(id_kind))}
+            )
+
+        for key, own, c, x, at, null in parts(batches):
+            some = shared.value.get((key, c))
+            if not some:
+                continue
+            order = np.argsort(at, kind="stable")
+            edges = np.flatnonzero(np.diff(at[order])) + 1
+            ids = own.column(1).combine_chunks()
+            for part in np.split(order, edges):
+                if int(at[part[0]]) in some:
+                    out["key"].append(key)
+                    out["column"].append(c)
+                    out["bucket"].append(int(at[part[0]]))
+                    out["values"].append(pa.array(x[part], mask=null[part]))
+                    out["ids"].append(ids.take(pa.array(part)))
+            if len(out["key"]) >= 2000:
+                yield made()
+                out = {k: [] for k in out}
+        if out["key"]:
+            yield made()
+
+    def pick(batches, shared=shared, totals=totals):
+        def found(key, column, bucket, values, ids):
+            start = shared.value[key, column][bucket]
+            v, i = pa.concat_arrays(values), pa.concat_arrays(ids)
+            order = pc.sort_indices(pa.table({"v": v, "i": i}), [("v", "ascending"), ("i", "ascending")])
+            total = totals.value[key]
+            places = _positions(total)
+            places = places[(places >= start) & (places < start + len(v))]
+            at = order.take(pa.array(places - start))
+            n = len(places)
+            return pa.RecordBatch.from_pydict(
+                {"key": pa.array([key] * n, kind), "column": pa.array([column] * n, pa.int32()),
+                 "total": pa.array([total] * n, pa.int64()), "position": pa.array(places, pa.int64()),
+                 "value": v.take(at), "tie": i.take(at)}
+            )
+
+        now, values, ids = None, [], []
+        for batch in batches:
+            key, column, bucket = (batch.column(i).to_pylist() for i in range(3))
+            for r in range(batch.num_rows):
+                here = (key[r], column[r], bucket[r])
+                if here != now:
+                    if now is not None:
+                        yield found(*now, values, ids)
+                    now, values, ids = here, [], []
+                values.append(batch.column(3)[r].values)
+                ids.append(batch.column(4)[r].values)
+        if now is not None:
+            yield found(*now, values, ids)
+
+    def _positions(total):
+        i = np.arange(1, tiles)
+        ends = i * (total // tiles) + np.minimum(i, total % tiles) - 1
+        return np.unique(ends[ends >= 0])
+
+    arrays = [T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("ids", T.ArrayType(id_type))]
+    handed = rows.mapInArrow(hand_on, T.StructType([*fields, T.StructField("bucket", T.IntegerType()), *arrays]))
+    grouped = ["key", "column", "bucket"]
+    handed = handed.repartition(*grouped).sortWithinPartitions(*grouped)
+    ends = T.StructType(
+        [*fields, T.StructField("total", T.LongType()), T.StructField("position", T.LongType()),
+         T.StructField("value", T.DoubleType()), T.StructField("tie", id_type)]
+    )
+    names = F.array(*[F.lit(c) for c in cols])
+    return handed.mapInArrow(pick, ends).select(
+        F.col("key").alias(period), F.get(names, F.col("column")).alias("feature"),
+        F.col("total").alias("_total"), F.col("position").alias("_position"),
+        F.col("value").alias("_value"), F.col("tie").alias("_tie"),
+    )
+
+
+def _tiles_by_search(
+    df: DataFrame, kept: list[str], cols: list[str], id_col: str, period: str, ends: pa.Table, prefix: str
+) -> DataFrame:
+    """Kept columns and the tile of every column: one more than the tile ends before the row's own (value, id).
+
+    `ends` has a checked size and is sent to every task; the wide rows are not shuffled.
+    """
+    ends = ends.sort_by([(period, "ascending"), ("feature", "ascending"), ("_position", "ascending")])
+    number = {c: i for i, c in enumerate(cols)}
+    keys, names = ends.column(period).to_pylist(), ends.column("feature").to_pylist()
+    values, ties = (ends.column(c).combine_chunks() for c in ("_value", "_tie"))
+    of: dict = {}
+    start = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or names[i] != names[start] or keys[i] != keys[start]:
+            of[keys[start], number[names[start]]] = (start, i - start)
+            start = i
+    # Both arrays once and whole: a pickled slice would carry all of its parent.
+    shared = df.sparkSession.sparkContext.broadcast((of, values, ties))
+    doubles = [F.col(c).cast("double").alias(f"_tile{i}") for i, c in enumerate(cols)]
+    rows = df.select(*kept, F.col(period).alias("_tile_period"), F.col(id_col).alias("_tile_id"), *doubles)
+    tiles = [T.StructField(f"{prefix}{c}", T.IntegerType()) for c in cols]
+    schema = T.StructType([*df.select(*kept).schema.fields, *tiles])
+    plain_id = isinstance(df.schema[id_col].dataType, T.NumericType) and not isinstance(df.schema[id_col].dataType, T.DecimalType)
+
+    def before(x, ids, ends_x, ends_ids):
+        """How many of the ends come before each row; nulls come last."""
+        v, i = pa.concat_arrays([x, ends_x]), pa.concat_arrays([ids, ends_ids])
+        flag = np.repeat([0, 1], [len(x), len(ends_x)])
+        if plain_id and not i.null_count:
+            numbers = v.to_numpy(zero_copy_only=False) + 0.0
+            order = np.lexsort((flag, i.to_numpy(zero_copy_only=False), numbers, v.is_null().to_numpy(zero_copy_only=False)))
+        else:
+            sorted_ = pa.table({"v": v, "i": i, "f": pa.array(flag)})
+            order = pc.sort_indices(sorted_, [(c, "ascending") for c in "vif"]).to_numpy()
+        count = np.cumsum(flag[order])
+        out = np.empty(len(order), np.int32)
+        out[order] = count
+        return out[: len(x)]
+
+    def assign(batches):
+        held, size = [], 0
+
+        def tiled(batches):
+            table = pa.Table.from_batches(batches).combine_chunks()
+            codes = table.column("_tile_period").combine_chunks().dictionary_encode(null_encoding="encode")
+            keys, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(keys)))])
+            table = table.take(pa.array(order))
+            ids = table.column("_tile_id").combine_chunks()
+            places, values, ties = shared.value
+            made = np.ones((len(cols), table.num_rows), np.int32)
+            for c in range(len(cols)):
+                x = table.column(f"_tile{c}").combine_chunks()
+                for k, key in enumerate(keys):
+                    own = places.get((key, c))
+                    if own is not None:
+                        a, n = edges[k], edges[k + 1] - edges[k]
+                        made[c, a : a + n] += before(x.slice(a, n), ids.slice(a, n), values.slice(*own), ties.slice(*own))
+            columns = [table.column(c).combine_chunks() for c in range(len(kept))]
+            columns += [pa.array(m) for m in made]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                yield tiled(held)
+                held, size = [], 0
+        if size:
+            yield tiled(held)
+
+    return rows.mapInArrow(assign, schema)
+
+
 def ntile_features(
     df: DataFrame,
     cols: list[str],
@@ -51,18 +342,24 @@ def ntile_features(
 ) -> DataFrame:
     """Add the tile of every column inside its period; ties by id, nulls last.
 
-    The sort keys that end the tiles are found for all (period, column) pairs together, then
+    The sort keys that end the tiles are found for all columns together (`wide_tile_keys`), then
     every wide row finds its tiles by binary search. The wide rows are neither shuffled nor
     sorted. With `replace` the ranked columns themselves are dropped.
     """
-    keys = long_form(df, cols, [id_col, period])
-    # several buckets per tile: rows of buckets without a tile end need no sorting
-    bits = bits or max(GROUP_BITS, (2 * tiles).bit_length())
-    cuts = keys_at(
-        keys, F.col("value"), F.col(id_col), lambda n: tile_ends(n, tiles), [period, "feature"], bits
-    )
     key = sort_key(F.col("_value"), F.col("_tie"))
+    cuts = wide_tile_keys(df, cols, id_col, period, tiles)
+    if cuts is None:
+        # several buckets per tile: rows of buckets without a tile end need no sorting
+        finer = bits or max(GROUP_BITS, (2 * tiles).bit_length())
+        cuts = keys_at(
+            long_form(df, cols, [id_col, period]),
+            F.col("value"), F.col(id_col), lambda n: tile_ends(n, tiles), [period, "feature"], finer,
+        )
     cuts = stored(cuts, "tile_ends")
+    kept = [c for c in df.columns if not (replace and c in cols)]
+    table = cuts.limit(END_ROWS + 1).drop("_total").toArrow()
+    if table.num_rows <= END_ROWS and table.nbytes <= PIN_BYTES:
+        return _tiles_by_search(df, kept, cols, id_col, period, table, prefix)
     out = df
     for start in range(0, len(cols), TILE_COLUMNS):
         some = cols[start : start + TILE_COLUMNS]
@@ -73,7 +370,6 @@ def ntile_features(
             ]
         )
         out = join_on(out, pin(per_period, row_bytes=32 * tiles * len(some)), [period], "left")
-    kept = [c for c in df.columns if not (replace and c in cols)]
     own = {c: sort_key(F.col(c).cast("double"), F.col(id_col)) for c in cols}
     return out.select(
         *kept,
