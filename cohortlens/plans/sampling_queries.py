@@ -19,6 +19,7 @@ from cohortlens.plans.analogs import (
     with_,
 )
 from cohortlens.plans.registry import ORACLES, query
+from cohortlens.session import stored
 from cohortlens.operators.ordering import small_buckets
 
 _ORDER_42 = f"ORDER BY {key_sql('id', 42)}, id"
@@ -135,15 +136,10 @@ sided AS (
 
 def board(spark, sf):
     """Gain of two score models on both sides of every split."""
-    rows = scored(spark, sf).select("id", LABEL, "gain", "score", "score_b")
-    sided = S.repeated_splits(rows, "id", LABEL, N_SPLITS)
-    sums = {}
-    for model, score in (("base", "score"), ("alt", "score_b")):
-        for side, share in (("public", 0.3), ("private", 0.7)):
-            hit = (F.col(score) >= 0.25) & (F.col("side") == side)
-            total = F.sum(F.when(hit, F.col("gain")).otherwise(F.lit(0)))
-            sums[f"{model}_{side}"] = F.round(total / share, 4)
-    return sided.groupBy("split").agg(*[c.alias(n) for n, c in sums.items()])
+    rows = stored(scored(spark, sf).select("id", LABEL, "gain", "score", "score_b"), "scored")
+    masked = S.split_masks(rows, "id", LABEL, N_SPLITS)
+    out = S.split_gains(masked, {"base": F.col("score") >= 0.25, "alt": F.col("score_b") >= 0.25}, "gain", N_SPLITS)
+    return out.withColumns({c: F.round(c, 4) for c in out.columns if c != "split"})
 
 
 BOARD = (
@@ -188,5 +184,14 @@ def kfold_assign_buckets(spark, sf):
 
 @query("repeated_splits_buckets", ORACLES["repeated_splits"])
 def repeated_splits_buckets(spark, sf):
+    """The same from rows repeated by split."""
     with small_buckets():
-        return repeated_splits(spark, sf)
+        rows = scored(spark, sf).select("id", LABEL, "gain", "score", "score_b")
+        sided = S.repeated_splits(rows, "id", LABEL, N_SPLITS)
+        sums = {}
+        for model, score in (("base", "score"), ("alt", "score_b")):
+            for side, share in (("public", 0.3), ("private", 0.7)):
+                hit = (F.col(score) >= 0.25) & (F.col("side") == side)
+                total = F.sum(F.when(hit, F.col("gain")).otherwise(F.lit(0)))
+                sums[f"{model}_{side}"] = F.round(total / share, 4)
+        return sided.groupBy("split").agg(*[c.alias(n) for n, c in sums.items()])

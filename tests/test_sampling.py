@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import sampling as S
@@ -82,3 +83,35 @@ def test_splits_are_independent(spark):
     for three in ((1, 2, 3), (2, 3, 4), (10, 11, 12), (1, 3, 5), (1, 6, 11)):
         share = (wide[list(map(str, three))].sum(axis=1) == 3).sum() / 20_000
         assert abs(share - 0.027) < 0.006, (three, share)
+
+
+def test_masks_equal_repeated_splits(spark, monkeypatch):
+    """Many rows of few keys: ties at the last key are decided by id; more splits than one word holds."""
+    from cohortlens.functions import scalars
+
+    prime = 101  # small enough for ties
+    for module in (scalars, S):
+        monkeypatch.setattr(module, "SPLIT_PRIME", prime)
+    monkeypatch.setattr(scalars, "SPLIT_BITS", 12)
+    monkeypatch.setattr(S, "SPLIT_BITS", 12)
+    monkeypatch.setattr(S, "MASK_DIGIT_BITS", 6)
+    df = spark.range(400).select(
+        F.format_string("c%03d", "id").alias("id"), F.when(F.col("id") % 7 != 0, (F.col("id") % 3).cast("int")).alias("label"),
+        (F.col("id") % 11 - 3).alias("gain"),
+    ).repartition(4)
+    n = 65
+    masked = S.split_masks(df, "id", "label", n, 0.3).collect()
+    assert len(masked) == 400 and {len(r["public_splits"]) for r in masked} == {2}
+    sided = S.repeated_splits(df, "id", "label", n, 0.3).collect()
+    want = {(r["id"], r["split"]): r["side"] == "public" for r in sided}
+    for r in masked:
+        for s in range(n):
+            assert bool(r["public_splits"][s // 62] >> (s % 62) & 1) == want[r["id"], s + 1]
+    gains = S.split_gains(S.split_masks(df, "id", "label", n, 0.3), {"m": F.col("gain") > 0}, "gain", n).collect()
+    won = {r["id"]: max(r["gain"], 0) for r in masked}
+    for r in gains:
+        public = sum(g for i, g in won.items() if want[i, r["split"]])
+        assert r["m_public"] == pytest.approx(public / 0.3)
+        assert r["m_private"] == pytest.approx((sum(won.values()) - public) / 0.7)
+    none = S.split_masks(df.limit(0), "id", "label", 3)
+    assert none.collect() == [] and [r["m_public"] for r in S.split_gains(none, {"m": F.lit(True)}, "gain", 3).collect()] == [0, 0, 0]
