@@ -151,13 +151,15 @@ def wilcoxon(
     groups: list[str] = (),
     decimals: int = 6,
     bits: int | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """Wilcoxon signed-rank test of two paired columns, per group.
 
     Zero differences are dropped and equal absolute differences share their mean rank. Rows are
     first reduced to one row per absolute difference, and the ranks are running counts over
     those. Returns n, w_plus, w_minus, statistic, z (normal approximation, tie corrected), p_value
-    (two-sided).
+    (two-sided): by the exact law where at most EXACT_PAIRS differences are left and no two are equal in size, else
+    by the normal approximation, which small samples differ from; with `method="approx"` always by the latter.
     """
     groups = list(groups)
     d = F.round(F.col(first) - F.col(second), decimals)
@@ -182,12 +184,39 @@ def wilcoxon(
     )
     total = F.col("n").cast("double")
     spread = F.sqrt((total * (total + 1) * (2 * total + 1) - F.col("_ties") / 2) / 24)
-    return (
+    out = (
         out.withColumn("statistic", F.least("w_plus", "w_minus"))
         .withColumn("z", (F.col("statistic") - total * (total + 1) / 4) / spread)
         .withColumn("p_value", two_sided_p("z"))
-        .drop("_ties")
     )
+    if method == "auto":
+        law = pairs.sparkSession.createDataFrame(signed_rank_law(EXACT_PAIRS), "_law_n long, _law_w long, _exact double")
+        here = (F.col("_ties") == 0) & (F.col("n") == F.col("_law_n")) & (F.col("statistic").cast("long") == F.col("_law_w"))
+        out = out.join(F.broadcast(law), here, "left").withColumn("p_value", F.coalesce("_exact", "p_value"))
+        out = out.drop("_law_n", "_law_w", "_exact")
+    return out.drop("_ties")
+
+
+# The most differences whose exact law is used.
+EXACT_PAIRS = 50
+
+
+def signed_rank_law(most: int) -> list[tuple[int, int, float]]:
+    """(n, w, two-sided chance) of the smaller rank sum w of n untied differences, for all n up to `most`.
+
+    Counts the sign patterns of each rank sum, adding one rank at a time: the sums of n ranks are those of n - 1
+    ranks with and without rank n.
+    """
+    patterns, out = [1], []
+    for n in range(1, most + 1):
+        wider = patterns + [0] * n
+        for w, count in enumerate(patterns):
+            wider[w + n] += count
+        patterns, below = wider, 0
+        for w in range(n * (n + 1) // 4 + 1):
+            below += patterns[w]
+            out.append((n, w, min(1.0, 2 * below / 2**n)))
+    return out
 
 
 # Coefficients of a Chebyshev fit of the complementary error function, relative error below 1.2e-7.

@@ -309,7 +309,7 @@ tests AS (
 )
 def wilcoxon_stat(spark, sf):
     rows = scored(spark, sf).withColumn(LABEL, F.coalesce(LABEL, F.lit("none")))
-    out = E.wilcoxon(rows, "score", "score_b", [LABEL])
+    out = E.wilcoxon(rows, "score", "score_b", [LABEL], method="approx")
     return out.withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
 
 
@@ -357,5 +357,42 @@ def wilcoxon_experiments(spark, sf):
     first = stored(cut_points(spark, sf, between=(200, 1200)), "curves")
     second = first.withColumn("trial", 3 - F.col("trial"))
     pairs = E.paired_runs(first, second, ["trial", "seed", "nro_envios"], "private_cum")
-    out = E.wilcoxon(pairs, "first", "second", ["trial", "seed"])
+    out = E.wilcoxon(pairs, "first", "second", ["trial", "seed"], method="approx")
+    return out.withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
+
+
+@query(
+    "wilcoxon_exact",
+    "WITH RECURSIVE " + (SCORED.split("WITH ", 1)[1] if SCORED.strip().upper().startswith("WITH") else SCORED).strip()
+    + """,
+diffs AS (SELECT id // 1000000 AS cust, round(score - score_b, 6) AS d FROM scored),
+ranked AS (
+  SELECT cust, d, rank() OVER (PARTITION BY cust ORDER BY abs(d))
+           + (count(*) OVER (PARTITION BY cust, abs(d)) - 1) / 2 AS r,
+         CAST(count(*) OVER (PARTITION BY cust, abs(d)) AS DOUBLE) AS t
+  FROM diffs WHERE d <> 0
+),
+tests AS (
+  SELECT cust, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus,
+         coalesce(sum(r) FILTER (d < 0), 0) AS w_minus, sum(t * t - 1) AS ties
+  FROM ranked GROUP BY cust
+),
+law(n, w, c) AS (
+  SELECT 0, 0, CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT n, w, sum(c) FROM (
+    SELECT n + 1 AS n, w + k * (n + 1) AS w, c FROM law, (SELECT unnest([0, 1]) AS k) WHERE n < 50
+  ) GROUP BY n, w
+),
+chance AS (SELECT n, w, least(1, 2 * sum(c) OVER (PARTITION BY n ORDER BY w) / pow(2, n)) AS p FROM law)
+SELECT s.cust, s.n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(z, 6) AS z,
+       round(CASE WHEN ties = 0 AND s.n <= 50 THEN p ELSE """ + _p_sql("z") + """ END, 6) AS p_value
+FROM (SELECT *, (least(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / 4)
+        / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM tests) s
+LEFT JOIN chance ON chance.n = s.n AND chance.w = least(w_plus, w_minus)""",
+)
+def wilcoxon_exact(spark, sf):
+    """One test for every customer's months: few pairs, so the exact law counts."""
+    rows = scored(spark, sf).withColumn("cust", F.floor(F.col("id") / 1000000))
+    out = E.wilcoxon(rows, "score", "score_b", ["cust"])
     return out.withColumns({c: F.round(c, 6) for c in ("z", "p_value")})

@@ -104,3 +104,21 @@ def test_seed_mean(spark):
     df = spark.createDataFrame([(1, 0, 2.0), (1, 0, 4.0), (1, 1, 1.0)], "trial int, nro_envios int, v double")
     got = {tuple(r) for r in E.seed_mean_curve(df, ["v"], ["trial"]).collect()}
     assert got == {(1, 0, 3.0), (1, 1, 1.0)}
+
+
+def test_exact_law_equals_all_sign_patterns(spark):
+    import itertools
+
+    law = {(n, w): p for n, w, p in E.signed_rank_law(12)}
+    for n in range(1, 13):
+        sums = [sum(i for i, s in zip(range(1, n + 1), signs) if s) for signs in itertools.product([0, 1], repeat=n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert law[n, w] == pytest.approx(min(1, 2 * sum(s <= w for s in sums) / 2**n))
+    a = [(g, float(i + 1) * (-1) ** (i * g % 3), 0.0) for g in (1, 2) for i in range(9)] + [(3, 2.0, 0.0), (3, -2.0, 0.0), (3, 1.0, 1.0)]
+    df = spark.createDataFrame(a, "g int, a double, b double")
+    got = {r["g"]: r for r in E.wilcoxon(df, "a", "b", ["g"]).collect()}
+    for g in (1, 2):
+        assert got[g]["p_value"] == pytest.approx(law[9, int(got[g]["statistic"])])
+    # Ties: the normal approximation.
+    assert got[3]["p_value"] == pytest.approx(math.erfc(abs(got[3]["z"]) / math.sqrt(2)), rel=1e-6)
+    assert [r["p_value"] for r in E.wilcoxon(df, "a", "b", ["g"], method="approx").where("g = 1").collect()] != [got[1]["p_value"]]
