@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.operators.profit import cutoff_submissions
-from cohortlens.plans.analogs import ID, PANEL, PERIOD, SCORED, SCORE, TRAIN, panel, scored, table, with_
+from cohortlens.plans.analogs import (
+    ID,
+    LABEL,
+    LABELLED,
+    PANEL,
+    PERIOD,
+    SCORE,
+    SCORED,
+    TRAIN,
+    order_months,
+    panel,
+    scored,
+    stored_panel,
+    table,
+    with_,
+)
 from cohortlens.plans.profit_queries import CUT_POINTS, cut_points
 from cohortlens.plans.registry import query
 from cohortlens.session import scratch_path
 from cohortlens.sources import curves as C
+from cohortlens.sources import labels as L
 from cohortlens.sources import tables as T
 
 
@@ -38,6 +54,17 @@ def versioned_months(spark, sf):
     return T.read_months(spark, path, PERIOD, TRAIN + SCORE)
 
 
+@query("label_upkeep", with_(LABELLED, "SELECT cust, period, label FROM labelled"))
+def label_upkeep(spark, sf):
+    """The label of a panel whose last three months arrived one by one."""
+    rows, months = stored_panel(spark, sf), order_months(spark, sf)
+    root = scratch_path(spark, "labelled")
+    L.start(rows.where(~F.col(PERIOD).isin(months[-3:])), root, ID, PERIOD, LABEL)
+    for month in months[-3:]:
+        L.add_month(rows.where(F.col(PERIOD) == month), root, ID, PERIOD, LABEL)
+    return L.current(spark, root, PERIOD).select(ID, PERIOD, LABEL)
+
+
 @query(
     "cutpoint_reload",
     with_(
