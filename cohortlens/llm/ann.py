@@ -124,18 +124,21 @@ def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: in
     """(query, id, score) of the k best rows of each query in a block, ties to smaller ids.
 
     `allowed`, if given, holds a flag for each query and row. A matrix product chooses, with room for
-    rounding; scores are then summed the same way for each pair, so that equal vectors have equal scores.
+    rounding; scores are then summed the same way for each pair, so that equal vectors have equal scores. Two sums
+    of a product of d terms differ by less than 2 (d + 2) eps |q||c|, however much the terms cancel.
     """
     out = []
+    room = 2 * (c.shape[1] + 2) * np.finfo(float).eps * np.linalg.norm(c, axis=1) if len(c) else np.empty(0)
+    length = np.linalg.norm(q, axis=1) if len(q) else np.empty(0)
     for a in range(0, len(q), 256):
         product = q[a : a + 256] @ c.T
         for i, row in enumerate(product, a):
             open_rows = c_id != q_id[i]
             other = np.flatnonzero(open_rows if allowed is None else open_rows & allowed(i))
             if len(other) > k:
-                near = row[other]
-                edge = np.partition(near, len(near) - k)[len(near) - k]
-                other = other[near >= edge - 1e-9 * (1 + abs(edge))]
+                near, unsure = row[other], room[other] * length[i]
+                edge = np.partition(near - unsure, len(near) - k)[len(near) - k]
+                other = other[near + unsure >= edge]
             score = (c[other] * q[i]).sum(axis=1)
             top = np.lexsort((c_id[other], -score))[:k]
             out.append((np.full(len(top), q_id[i]), c_id[other][top], score[top]))

@@ -119,3 +119,17 @@ def test_registered():
     names = registered()
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_large_components_that_cancel():
+    """The matrix product rounds otherwise than the scores: no neighbour falls out before it is scored."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        c = rng.normal(size=(400, 32)) * 1e12
+        c[:, 16:] = -c[:, :16] + rng.normal(size=(400, 16))
+        q = np.concatenate([np.ones((3, 16)), np.ones((3, 16))], axis=1) * 1e3
+        ids = np.arange(400)
+        got = ann.best(np.array([1000, 1001, 1002]), q, ids, c, 20)
+        score = (c * q[0]).sum(axis=1)
+        want = np.lexsort((ids, -score))[:20]
+        assert got[1][:20].tolist() == want.tolist() and got[2][:20].tolist() == score[want].tolist()
