@@ -454,12 +454,93 @@ _GIVEN = sorted(set(_USED) - set(_MADE) - {"ctrx_quarter", "cliente_antiguedad"}
 _SOURCE = ["spend", "top_price", "n_filled", "n_urgent"]
 
 
+# The derived columns by their formulas, stated apart from the name tables of the code.
+_BANK_COLUMNS = """
+         coalesce(Master_mlimitecompra, 0) + coalesce(Visa_mlimitecompra, 0) AS mtotal_limitecompra,
+         coalesce(Visa_mfinanciacion_limite, 0) + coalesce(Master_mfinanciacion_limite, 0) AS mtotal_financiacion_limite,
+         coalesce(Master_msaldototal, 0) + coalesce(Visa_msaldototal, 0) AS mtotal_saldototal,
+         coalesce(mcuentas_saldo, 0) + coalesce(minversion1_pesos, 0) + coalesce(minversion2, 0)
+           + coalesce(mplazo_fijo_dolares, 0) + coalesce(mplazo_fijo_pesos, 0) AS mtotal_patrimonio,
+         coalesce(mprestamos_personales, 0) + coalesce(mprestamos_prendarios, 0)
+           + coalesce(mprestamos_hipotecarios, 0) AS mtotal_prestamos,
+         coalesce(mtarjeta_visa_consumo, 0) + coalesce(mtarjeta_master_consumo, 0) AS mtc_consumo_total,
+         coalesce(mttarjeta_visa_debitos_automaticos, 0) + coalesce(mttarjeta_master_debitos_automaticos, 0) AS mtc_debitosautomaticos_total,
+         coalesce(Master_mfinanciacion_limite, 0) + coalesce(Visa_mfinanciacion_limite, 0) AS mtc_financiacionlimite_total,
+         coalesce(Master_msaldopesos, 0) + coalesce(Visa_msaldopesos, 0) AS mtc_saldopesos_total,
+         coalesce(Master_msaldodolares, 0) + coalesce(Visa_msaldodolares, 0) AS mtc_saldodolares_total,
+         coalesce(Master_mconsumospesos, 0) + coalesce(Visa_mconsumospesos, 0) AS mtc_consumopesos_total,
+         coalesce(Master_mconsumosdolares, 0) + coalesce(Visa_mconsumosdolares, 0) AS mtc_consumodolares_total,
+         coalesce(Master_mlimitecompra, 0) + coalesce(Visa_mlimitecompra, 0) AS mtc_limitecompra_total,
+         coalesce(Master_madelantopesos, 0) + coalesce(Visa_madelantopesos, 0) AS mtc_adelantopesos_total,
+         coalesce(Master_madelantodolares, 0) + coalesce(Visa_madelantodolares, 0) AS mtc_adelantodolares_total,
+         coalesce(mtc_adelantopesos_total, 0) + coalesce(mtc_adelantodolares_total, 0) AS mtc_adelanto_total,
+         coalesce(Master_mpagado, 0) + coalesce(Visa_mpagado, 0) AS mtc_pagado_total,
+         coalesce(Master_mpagospesos, 0) + coalesce(Visa_mpagospesos, 0) AS mtc_pagadopesos_total,
+         coalesce(Master_mpagosdolares, 0) + coalesce(Visa_mpagosdolares, 0) AS mtc_pagadodolares_total,
+         coalesce(Master_msaldototal, 0) + coalesce(Visa_msaldototal, 0) AS mtc_saldototal_total,
+         coalesce(Master_mconsumototal, 0) + coalesce(Visa_mconsumototal, 0) AS mtc_consumototal_total,
+         coalesce(Master_cconsumos, 0) + coalesce(Visa_cconsumos, 0) AS tc_cconsumos_total,
+         coalesce(Master_delinquency, 0) + coalesce(Visa_delinquency, 0) AS tc_morosidad_total,
+         coalesce(mplazo_fijo_dolares, 0) + coalesce(mplazo_fijo_pesos, 0) AS m_plazofijo_total,
+         coalesce(minversion1_dolares, 0) + coalesce(minversion1_pesos, 0) AS m_inversion1_total,
+         coalesce(mpayroll, 0) + coalesce(mpayroll2, 0) AS m_payroll_total,
+         coalesce(cpayroll_trx, 0) + coalesce(cpayroll2_trx, 0) AS c_payroll_total,
+         coalesce(cseguro_vida, 0) + coalesce(cseguro_auto, 0) + coalesce(cseguro_vivienda, 0) + coalesce(cseguro_accidentes_personales, 0) AS c_seguros_total,
+         greatest(Master_Fvencimiento, Visa_Fvencimiento) AS tc_fvencimiento_mayor,
+         least(Master_Fvencimiento, Visa_Fvencimiento) AS tc_fvencimiento_menor,
+         greatest(Master_fechaalta, Visa_fechaalta) AS tc_fechaalta_mayor,
+         least(Master_fechaalta, Visa_fechaalta) AS tc_fechalta_menor,
+         greatest(Master_Finiciomora, Visa_Finiciomora) AS tc_fechamora_mayor,
+         least(Master_Finiciomora, Visa_Finiciomora) AS tc_fechamora_menor,
+         greatest(Master_fultimo_cierre, Visa_fultimo_cierre) AS tc_fechacierre_mayor,
+         least(Master_fultimo_cierre, Visa_fultimo_cierre) AS tc_fechacierre_menor,
+         coalesce(m_plazofijo_total, 0) / nullif(cplazo_fijo, 0) AS m_promedio_plazofijo_total,
+         coalesce(m_inversion1_total, 0) / nullif(cinversion1, 0) AS m_promedio_inversion_total,
+         coalesce(mcaja_ahorro, 0) / nullif(ccaja_ahorro, 0) AS m_promedio_caja_ahorro,
+         coalesce(mtarjeta_visa_consumo, 0) / nullif(ctarjeta_visa_transacciones, 0) AS m_promedio_tarjeta_visa_consumo_por_transaccion,
+         coalesce(mtarjeta_master_consumo, 0) / nullif(ctarjeta_master_transacciones, 0) AS m_promedio_tarjeta_master_consumo_por_transaccion,
+         coalesce(mprestamos_personales, 0) / nullif(cprestamos_personales, 0) AS m_promedio_prestamos_personales,
+         coalesce(mprestamos_prendarios, 0) / nullif(cprestamos_prendarios, 0) AS m_promedio_prestamos_prendarios,
+         coalesce(mprestamos_hipotecarios, 0) / nullif(cprestamos_hipotecarios, 0) AS m_promedio_prestamos_hipotecarios,
+         coalesce(minversion2, 0) / nullif(cinversion2, 0) AS m_promedio_inversion2,
+         coalesce(mpagodeservicios, 0) / nullif(cpagodeservicios, 0) AS m_promedio_pagodeservicios,
+         coalesce(mpagomiscuentas, 0) / nullif(cpagomiscuentas, 0) AS m_promedio_pagomiscuentas,
+         coalesce(mcajeros_propios_descuentos, 0) / nullif(ccajeros_propios_descuentos, 0) AS m_promedio_cajeros_propios_descuentos,
+         coalesce(mtarjeta_visa_descuentos, 0) / nullif(ctarjeta_visa_descuentos, 0) AS m_promedio_tarjeta_visa_descuentos,
+         coalesce(mtarjeta_master_descuentos, 0) / nullif(ctarjeta_master_descuentos, 0) AS m_promedio_tarjeta_master_descuentos,
+         coalesce(mcomisiones_mantenimiento, 0) / nullif(ccomisiones_mantenimiento, 0) AS m_promedio_comisiones_mantenimiento,
+         coalesce(mcomisiones_otras, 0) / nullif(ccomisiones_otras, 0) AS m_promedio_comisiones_otras,
+         coalesce(mforex_buy, 0) / nullif(cforex_buy, 0) AS m_promedio_forex_buy,
+         coalesce(mforex_sell, 0) / nullif(cforex_sell, 0) AS m_promedio_forex_sell,
+         coalesce(mtransferencias_recibidas, 0) / nullif(ctransferencias_recibidas, 0) AS m_promedio_transferencias_recibidas,
+         coalesce(mtransferencias_emitidas, 0) / nullif(ctransferencias_emitidas, 0) AS m_promedio_transferencias_emitidas,
+         coalesce(mextraccion_autoservicio, 0) / nullif(cextraccion_autoservicio, 0) AS m_promedio_extraccion_autoservicio,
+         coalesce(mcheques_depositados, 0) / nullif(ccheques_depositados, 0) AS m_promedio_cheques_depositados,
+         coalesce(mcheques_emitidos, 0) / nullif(ccheques_emitidos, 0) AS m_promedio_cheques_emitidos,
+         coalesce(mcheques_depositados_rechazados, 0) / nullif(ccheques_depositados_rechazados, 0) AS m_promedio_cheques_depositados_rechazados,
+         coalesce(mcheques_emitidos_rechazados, 0) / nullif(ccheques_emitidos_rechazados, 0) AS m_promedio_cheques_emitidos_rechazados,
+         coalesce(matm, 0) / nullif(catm_trx, 0) AS m_promedio_atm,
+         coalesce(matm_other, 0) / nullif(catm_trx_other, 0) AS m_promedio_atm_other,
+         coalesce(Master_msaldototal, 0) / nullif(Master_mfinanciacion_limite, 0) AS proporcion_financiacion_master_cubierto,
+         coalesce(Master_msaldototal, 0) / nullif(Master_mlimitecompra, 0) AS proporcion_limite_master_cubierto,
+         coalesce(Visa_msaldototal, 0) / nullif(Visa_mfinanciacion_limite, 0) AS proporcion_financiacion_visa_cubierto,
+         coalesce(Visa_msaldototal, 0) / nullif(Visa_mlimitecompra, 0) AS proporcion_limite_visa_cubierto,
+         coalesce(mtc_saldototal_total, 0) / nullif(mtc_financiacionlimite_total, 0) AS proporcion_financiacion_total_cubierto,
+         coalesce(mtc_saldototal_total, 0) / nullif(mtc_limitecompra_total, 0) AS proporcion_limite_total_cubierto,
+         coalesce(mtc_saldopesos_total, 0) / nullif(mtc_saldototal_total, 0) AS tc_proporcion_saldo_pesos,
+         coalesce(mtc_saldodolares_total, 0) / nullif(mtc_saldototal_total, 0) AS tc_proporcion_saldo_dolares,
+         coalesce(mtc_consumopesos_total, 0) / nullif(mtc_consumototal_total, 0) AS tc_proporcion_consumo_pesos,
+         coalesce(mtc_consumodolares_total, 0) / nullif(mtc_consumototal_total, 0) AS tc_proporcion_consumo_dolares,
+         coalesce(mtc_consumototal_total, 0) / nullif(mtc_limitecompra_total, 0) AS tc_proporcion_consumo_total_limite_total_cubierto,
+         coalesce(mtc_pagadopesos_total, 0) / nullif(mtc_pagado_total, 0) AS tc_proporcion_pago_pesos,
+         coalesce(mtc_pagadodolares_total, 0) / nullif(mtc_pagado_total, 0) AS tc_proporcion_pago_dolares,
+         coalesce(mtc_adelantopesos_total, 0) / nullif(mtc_adelanto_total, 0) AS tc_proporcion_adelanto_pesos,
+         coalesce(mtc_adelantodolares_total, 0) / nullif(mtc_adelanto_total, 0) AS tc_proporcion_adelanto_dolares
+"""
+
+
 def _bank_sql() -> str:
-    """The name tables as SQL; later columns use earlier ones by their names."""
-    made = [f"{' + '.join(f'coalesce({p}, 0)' for p in parts)} AS {n}" for n, parts in X.TOTALS.items()]
-    for (high, low), parts in X.EXTREMES.items():
-        made += [f"greatest({', '.join(parts)}) AS {high}", f"least({', '.join(parts)}) AS {low}"]
-    made += [f"coalesce({n}, 0) / nullif({d}, 0) AS {name}" for name, (n, d) in X.RATIOS.items()]
+    """Given columns and the formulas; later columns use earlier ones by their names."""
     given = ", ".join(f"CAST({_SOURCE[i % 4]} AS DOUBLE) + {i} AS {n}" for i, n in enumerate(_GIVEN))
     return (
         PANEL
@@ -468,13 +549,13 @@ def _bank_sql() -> str:
          CASE WHEN n_filled = 1 THEN CAST(n_orders AS DOUBLE) * 3
               WHEN n_filled = 2 THEN CAST(n_orders AS DOUBLE) * 3 / 2
               ELSE CAST(n_orders AS DOUBLE) END AS ctrx_quarter, {given} FROM panel
-), made AS (SELECT *, {", ".join(made)} FROM given)"""
+), made AS (SELECT cust, period, ctrx_quarter, {_BANK_COLUMNS} FROM given)"""
     )
 
 
 @query(
     "bank_features",
-    with_(_bank_sql(), "SELECT cust, period, ctrx_quarter, " + ", ".join(_MADE) + " FROM made"),
+    with_(_bank_sql(), "SELECT * FROM made"),
 )
 def bank_features(spark, sf):
     given = [(F.col(_SOURCE[i % 4]).cast("double") + i).alias(n) for i, n in enumerate(_GIVEN)]
