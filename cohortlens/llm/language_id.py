@@ -2,8 +2,9 @@
 
 Terms are hashed byte n-grams (2 and 3 bytes) of the lower-case text whose other ASCII than letters is
 a space. Document frequencies come from all training rows; the centroids of a language are the clusters
-of spherical k-means over a bounded sample of its rows. A text farther from its nearest centroid
-than nearly all of that centroid's own sample is marked as rejected.
+of spherical k-means over a bounded sample of its rows. Every fourth row of the sample is kept from the centroids and
+says how far texts of the language may lie from them: a text farther from its nearest centroid than nearly all
+of those is marked as rejected.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ DIM = 1 << BITS
 # Rows of each language, those of the smallest text hashes, that its centroids are made from.
 SAMPLE_ROWS = 500
 CENTROIDS = 4
-# Share of a centroid's sample that may lie beyond its rejection distance.
+# Share of a language's kept rows that may lie beyond its rejection distance; every KEPT_FROM-th row is kept.
 BEYOND = 0.005
+KEPT_FROM = 4
 UNKNOWN = "und"
 LETTERS = bytes(ASCII_LOWER[c] if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
 
@@ -106,7 +108,10 @@ def _sparse(batches):
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from rows with a language and a text with a letter; other rows are left out."""
+    """Learn from rows with a language and a text with a letter; other rows are left out.
+
+    A language with fewer than KEPT_FROM texts is measured against the rows that it was learned from.
+    """
     some = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
     )
@@ -138,11 +143,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             at = np.frombuffer(terms, np.uint16).astype(np.int64)
             x[i, at] = (1 + np.log(np.frombuffer(values, np.uint32))) * idf[at]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        centre, label = clusters(x, CENTROIDS)
-        for c in range(len(centre)):
-            near = (x[label == c] @ centre[c]) if (label == c).any() else np.zeros(1)
-            centroids.append(centre[c])
-            limits.append(float(np.quantile(near, BEYOND)) * 0.5)
+        kept = np.arange(len(x)) % KEPT_FROM == KEPT_FROM - 1
+        centre, _ = clusters(x[~kept], CENTROIDS)
+        # A language of very few rows has only those that its centroids are made from.
+        near = (x[kept] if kept.any() else x) @ centre.T
+        limit = float(np.quantile(near.max(axis=1), BEYOND, method="lower"))
+        for c in centre:
+            centroids.append(c)
+            limits.append(limit)
             model.names.append(name)
     model.centroids = np.array(centroids, np.float64).reshape(-1, DIM)
     model.limits = np.array(limits)

@@ -231,3 +231,14 @@ def test_language_edges(spark):
     assert got[7][1] == "de" and all(0 <= s <= 1 for _, _, s in got)
     none = language_id.fit(spark.createDataFrame([], "text string, lang string"))
     assert {r.language.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
+
+
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.where(F.length("text") >= 200)
+    for unknown in ("fr", "de"):
+        learned = docs.where((F.col("lang") != unknown) & ~queries.held_out("doc_id", 3, 1))
+        model = language_id.fit(learned)
+        tried = language_id.predict(docs.where(queries.held_out("doc_id", 3, 1) | (F.col("lang") == unknown)), model).collect()
+        rejected = {own: [r.language.rejected for r in tried if (r.lang == unknown) == own] for own in (True, False)}
+        assert np.mean(rejected[True]) > 0.9 and np.mean(rejected[False]) < 0.06, (unknown, {k: np.mean(v) for k, v in rejected.items()})
