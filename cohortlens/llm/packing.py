@@ -26,8 +26,9 @@ from cohortlens.session import stored
 
 SIZE = 2048
 END_ID = 0
-# Rows that one ranking task holds, about.
+# Rows that one ranking task holds, about, and bytes of ids: all pieces may have one length.
 RANK_ROWS = 500_000
+RANK_BYTES = 32 << 20
 # How a byte-level BPE vocabulary splits text before its merges (a fixed value of its format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -239,8 +240,9 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """
     order = ["doc_id", "piece", "start", "ids_crc32"]
     bucket, rank = fresh(pieces, "bucket"), fresh(pieces, "rank")
-    rows = pieces.count()
-    n_buckets = max(1, -(-rows // RANK_ROWS))
+    held = pieces.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+    id_bytes = 4 * held["tokens"] if "ids" in pieces.columns else 0
+    n_buckets = max(1, -(-held["rows"] // RANK_ROWS), -(-id_bytes // RANK_BYTES))
     dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
     counted = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n"))
     # At most `size` lengths: the number of pieces of each.
