@@ -39,6 +39,23 @@ GENERALISE, REMOVE = 0.7, 0.95
 # Terms that chance alone may tie to an entity, as an expected number for each entity.
 CHANCE = 0.05
 MARK, OTHER = "\u0001", "\u0002"
+# Items of a list that are worked on together, at least.
+BLOCK = 64
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once. The result is copied, so it should not be a state that grows."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_blocks(items: Column, power: float, state: Column, step, finish) -> Column:
+    """`aggregate` over blocks of `n ** power` of n items (one at least), `step(state, block)`.
+
+    Adding to an array copies it; arrays that grow by blocks of a block's results keep long lists cheap.
+    """
+    width = F.greatest(F.lit(BLOCK), F.ceil(F.pow(F.size(items), F.lit(power))).cast("int"))
+    firsts = F.sequence(F.lit(1), F.size(items), width)
+    return F.aggregate(firsts, state, lambda acc, i: step(acc, F.slice(items, i, width)), finish)
 
 
 def matches(text: Column, pattern: str, valid) -> Column:
@@ -48,17 +65,58 @@ def matches(text: Column, pattern: str, valid) -> Column:
     another character that no pattern holds.
     """
     plain = F.translate(text, MARK, OTHER)
-    parts = F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
+    split = F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def state(at: Column, inside: Column, found: Column) -> Column:
+        return F.struct(at.alias("at"), inside.alias("inside"), found.alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.char_length(part)
         one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"))
         found = F.when(acc["inside"] & valid(part), F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), found.alias("found"))
+        return state(end, ~acc["inside"], found)
+
+    def block(acc: Column, parts: Column) -> Column:
+        add = lambda r: state(r["at"], r["inside"], F.concat(acc["found"], F.array(r["found"])))
+        return F.aggregate(parts, state(acc["at"], acc["inside"], none), step, add)
+
+    lists = F.array().cast("array<array<struct<start:int,end:int,value:string>>>")
+    first = state(F.lit(0), F.lit(False), lists)
+    return let(split, lambda parts: in_blocks(parts, 0.4, first, block, lambda acc: F.flatten(acc["found"])))
 
-    return F.aggregate(parts, state, step)["found"]
+
+def rebuilt(text: Column, spans: Column, fill) -> Column:
+    """The text with `fill(span, at)` in place of each span of a list ordered by start; the text before `at` is done.
+
+    A block of spans is cut out of the text first, so a span is looked for in its block only.
+    """
+    none = F.array().cast("array<string>")
+
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), out.alias("out"))
+
+    def block(acc: Column, own: Column) -> Column:
+        stop = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+
+        def step(r: Column, s: Column, chunk: Column) -> Column:
+            kept = F.substr(chunk, r["at"] - acc["at"] + 1, F.greatest(s["start"] - r["at"], F.lit(0)))
+            return state(F.greatest(r["at"], s["end"]), F.concat(r["out"], F.array(F.concat(kept, fill(s, r["at"])))))
+
+        def piece(chunk: Column) -> Column:
+            return F.aggregate(
+                own, state(acc["at"], none), lambda r, s: step(r, s, chunk), lambda r: F.array_join(r["out"], "")
+            )
+
+        done = let(F.substr(text, acc["at"] + 1, stop - acc["at"]), piece)
+        return state(stop, F.concat(acc["out"], F.array(done)))
+
+    def finish(acc: Column) -> Column:
+        return F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.char_length(text)))), "")
+
+    return F.when(F.size(spans) == 0, text).otherwise(
+        let(spans, lambda own: in_blocks(own, 0.5, state(F.lit(0), none), block, finish))
+    )
 
 
 def digits(value: Column) -> Column:
@@ -104,20 +162,16 @@ def base_spans(text: Column) -> Column:
         needed = text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
         spans = F.when(needed, matches(text, PATTERNS[kind], _valid(kind))).otherwise(none)
         found.append(F.transform(spans, named(rank, kind)))
-    return F.array_sort(F.concat(*found))
+    return F.sort_array(F.concat(*found))
 
 
 def blanked(text: Column, base: Column) -> Column:
     """The text with spaces in place of its base spans; positions stay."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        kept = F.substr(text, acc["at"] + 1, start - acc["at"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], kept, F.repeat(F.lit(" "), end - start)).alias("out"))
+    def spaces(s: Column, at: Column) -> Column:
+        return F.repeat(F.lit(" "), F.greatest(at, s["end"]) - F.greatest(at, s["start"]))
 
-    rest = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text)))
-    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, state, step, rest))
+    return rebuilt(text, base, spaces)
 
 
 def padded(text: Column, base: Column) -> Column:
@@ -146,7 +200,7 @@ def with_terms(base: Column, text: Column, general: Column, removed: Column) ->
 
     listed = lambda v: F.array_contains(general, term_hash(v)) | F.array_contains(removed, term_hash(v))
     mentions = F.transform(matches(padded(text, base), TERM, listed), span)
-    return F.when(general.isNull(), base).otherwise(F.array_sort(F.concat(base, mentions)))
+    return F.when(general.isNull(), base).otherwise(F.sort_array(F.concat(base, mentions)))
 
 
 def found_base(docs: DataFrame, text: str, key: str, base: str) -> DataFrame:
@@ -262,19 +316,7 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind's label; spans that overlap become one."""
     label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        between = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(new, F.concat(acc["out"], between, label[s["kind"]])).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(
-        spans, state, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text)))
-    )
+    return rebuilt(text, spans, lambda s, at: F.when(s["start"] >= at, label[s["kind"]]).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
