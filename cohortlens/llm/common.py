@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -129,6 +130,21 @@ def text_steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int,
         yield a, [t or b"" for t in column.slice(a, b - a).to_pylist()]
 
 
+# Delete the shuffle files of an execution when it ends, not when the driver collects its garbage.
+CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of frames made within this go when their action ends; for frames that are computed once."""
+    before = spark.conf.get(CLEAN_CONF, "false")
+    spark.conf.set(CLEAN_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_CONF, before)
+
+
 _SHIPPED: set[str] = set()
 # Rows of an Arrow batch: they hold whole texts, and Spark's 10,000 of them are large on both sides.
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"

@@ -42,22 +42,44 @@ def shard_bits(text_bytes: int) -> int:
     return max(0, int(text_bytes // SHARD_TEXT).bit_length())
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed by byte planes: equal bytes of neighbouring numbers vanish."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys by byte planes: the high ones hardly change and vanish."""
-    return zstandard.compress(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Sorted keys as the steps from one to the next, whose high bytes are zero."""
+    return _planes(np.diff(keys, prepend=U64(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(U64).ravel()
+    return np.cumsum(_numbers(data, U64), dtype=U64)
 
 
-def combine(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their rows of values."""
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the order of the rows, and where in it each key begins."""
     order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[first], np.add.reduceat(values, first, axis=0) if len(first) else values
+    return keys[first], order, first
+
+
+def _sums(column: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(column[order], first).astype(column.dtype, copy=False) if len(first) else column
+
+
+def combine(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their rows of values; a column at a time, as values may be wide."""
+    keys, order, first = _groups(keys)
+    out = np.empty((len(keys), values.shape[1]), values.dtype)
+    for j in range(values.shape[1]):
+        out[:, j] = _sums(values[:, j], order, first)
+    return keys, out
 
 
 def _tops(bits: int) -> int:
@@ -84,19 +106,23 @@ def gather(
     """Sum what `emit` yields for lists of texts, (table, keys, values), and write it as tables in `folder`.
 
     Tasks combine equal keys before the shuffle; a key, however frequent, comes once from each
-    combination. Returns per table and shard the rows, the sums of the first and the last column, and
-    how often the first is one, two, three and four; taking that result runs the work. Sums are rounded.
+    combination. Returns per table and shard how often the first column is not zero, the sums of the first and the
+    second column (zero without one), and how often the first is one, two, three and four; taking that result runs the
+    work. Sums are rounded.
     """
 
     def send(name: str, parts: list) -> Iterator[pa.RecordBatch]:
-        keys, values = combine(*(np.concatenate(x) for x in zip(*parts)))
+        keys, order, first = _groups(np.concatenate([k for k, _ in parts]))
+        kind = parts[0][1].dtype
+        columns = [_sums(np.concatenate([v[:, j] for _, v in parts]), order, first) for j in range(parts[0][1].shape[1])]
         shard = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            body = zstandard.compress(np.ascontiguousarray(values[a:b].T).tobytes(), 1)
+            body = [_planes(c[a:b]) for c in columns]
             yield pa.RecordBatch.from_pydict(
-                {"name": [name], "shard": pa.array([int(shard[a])]), "keys": [_pack(keys[a:b])], "body": [body],
-                 "kind": [values.dtype.str]}
+                {"name": [name], "shard": pa.array([int(shard[a])]), "keys": [_pack(keys[a:b])],
+                 "body": pa.array([body], pa.list_(pa.binary())),
+                 "kind": [kind.str]}
             )
 
     def run(batches):
@@ -115,30 +141,29 @@ def gather(
 
     def merge(table: pa.Table) -> pa.Table:
         name, shard = table.column("name")[0].as_py(), table.column("shard")[0].as_py()
-        keys, values = [], []
-        for k, b, kind in zip(*(table.column(c).to_pylist() for c in ("keys", "body", "kind"))):
-            keys.append(_unpack(k))
-            values.append(np.frombuffer(zstandard.decompress(b), kind).reshape(-1, len(keys[-1])).T.astype(float))
-        keys, values = combine(np.concatenate(keys), np.concatenate(values))
-        numbers = np.rint(values).astype(np.int64)
+        keys, order, first = _groups(np.concatenate([_unpack(k) for k in table.column("keys").to_pylist()]))
+        bodies, kinds = table.column("body").to_pylist(), table.column("kind").to_pylist()
         stem = f"{folder}/{name}-{shard}"
-        for j in range(numbers.shape[1]):
-            column = numbers[:, j]
+        sums, ones = [], {}
+        for j in range(len(bodies[0])):  # one column at a time in memory
+            column = np.concatenate([_numbers(body[j], kind).astype(float) for body, kind in zip(bodies, kinds)])
+            column = np.rint(_sums(column, order, first)).astype(np.int64)
             big = np.flatnonzero(column >= 255)
             _write(f"{stem}-{j}.npy", np.minimum(column, 255).astype(np.uint8))
             _write(f"{stem}-{j}-big.npy", np.stack([big, column[big]]))
+            sums.append(int(column.sum()))
+            if j == 0:
+                ones = {"known": [int((column > 0).sum())], **{f"n{k}": [int((column == k).sum())] for k in (1, 2, 3, 4)}}
         tops = np.arange(_first(shard, bits), _first(shard, bits) + _tops(bits) + 1)
         _write(f"{stem}-low.npy", keys.astype(np.uint16))
         _write(f"{stem}-middle.npy", (keys >> U64(16)).astype(np.uint32))
         _write(f"{stem}-starts.npy", np.searchsorted((keys >> TOP).astype(np.int64), tops))
-        first = numbers[:, 0]
-        row = {"name": [name], "shard": [shard], "n_rows": [len(keys)], "first": [int(first.sum())],
-               "last": [int(numbers[:, -1].sum())]}
-        return pa.table(row | {f"n{k}": [int((first == k).sum())] for k in (1, 2, 3, 4)})
+        row = {"name": [name], "shard": [shard], "known": ones["known"], "first": [sums[0]], "second": [sum(sums[1:2])]}
+        return pa.table(row | {k: v for k, v in ones.items() if k != "known"})
 
-    sent = arrow_map(texts, run, "name string, shard bigint, keys binary, body binary, kind string")
+    sent = arrow_map(texts, run, "name string, shard bigint, keys binary, body array<binary>, kind string")
     return sent.groupBy("name", "shard").applyInArrow(
-        merge, "name string, shard bigint, n_rows bigint, first bigint, last bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
+        merge, "name string, shard bigint, known bigint, first bigint, second bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
     )
 
 
@@ -178,10 +203,11 @@ class Table:
         hit = inside[value(a[inside]) == want[inside]]
         return hit, a[hit]
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """One row of `columns` numbers for each key."""
+    def get(self, keys: np.ndarray, *wanted: int) -> np.ndarray:
+        """One row for each key: the numbers of the wanted columns (none named: of all)."""
+        wanted = wanted or tuple(range(self.columns))
         asked, where = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(asked), self.columns), np.int64)
+        out = np.zeros((len(asked), len(wanted)), np.int64)
         number = (asked >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(asked), np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(asked) else []
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -190,7 +216,7 @@ class Table:
                 continue
             held, columns = shard
             hit, at = self._hits(int(number[a]), held, asked[a:b])
-            for j, (small, big) in enumerate(columns):
+            for j, (small, big) in enumerate(columns[c] for c in wanted):
                 values = small[at].astype(np.int64)
                 over = np.flatnonzero(values == 255)
                 values[over] = big[1][np.searchsorted(big[0], at[over])]

@@ -1,13 +1,15 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, mapped by the workers that score.
 
-Orders are counted in passes over the training texts, each of which looks up what the one before stored:
+There is one pass over the training texts for each order, the longest grams first. A pass looks up what the one
+before stored, and its shuffle is deleted when it ends. Three tables of order 3 result, one for each length of gram:
 
-1. counts of the n-grams of orders 2 and up;
-2. (from order 3 on) of every middle order, in how many different contexts to its left a gram occurs;
-3. for every context the discounted mass it leaves over; for every word its count and left contexts.
+- `count3`: how often the gram occurs;
+- `left2` and `word`, six numbers of a gram: in how many different contexts to its left it occurs, how often, and as
+  the context of longer grams the sum of their counts and how many of these are one, two, and three or more.
 
 A gram that occurs c times adds 1/c at each occurrence, so sums over occurrences count different
-grams without listing them. Keys are 64-bit hashes of words and of runs of words.
+grams without listing them. Keys are 64-bit hashes of words and of runs of words; a gram and the context of longer
+grams have the same key, so all that is known of a run of words is dealt, sent and stored under one key.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from cohortlens.llm.common import GOLDEN, U64, arrow_map, fresh, hashes, mix, text_steps, tokens_of
+from cohortlens.llm.common import GOLDEN, U64, arrow_map, fresh, hashes, mix, shuffles_dropped, text_steps, tokens_of
 from cohortlens.llm.hash_table import Table, gather, mapped_dir, shard_bits
 
 ORDER = 3
@@ -73,14 +75,13 @@ class Model:
     discounts: dict[int, tuple[float, float, float]]
     left_over: float
 
-    def tables(self) -> dict[str, Table]:
-        out = {"word": Table(self.folder, "word", self.bits, 2)}
-        for m in range(2, self.order + 1):
-            out[f"count{m}"] = Table(self.folder, f"count{m}", self.bits, 1)
-            out[f"context{m}"] = Table(self.folder, f"context{m}", self.bits, 4)
-            if m < self.order:
-                out[f"left{m}"] = Table(self.folder, f"left{m}", self.bits, 1)
-        return out
+    def tables(self) -> dict[int, Table]:
+        """The table of the grams of each length."""
+        return {m: Table(self.folder, _name(m, self.order), self.bits, 1 if m == self.order else 6) for m in range(1, self.order + 1)}
+
+
+def _name(m: int, order: int) -> str:
+    return f"count{m}" if m == order else f"left{m}" if m > 1 else "word"
 
 
 def _discount(n: tuple[int, int, int, int]) -> tuple[float, float, float]:
@@ -107,70 +108,62 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     folder, bits = mapped_dir(spark, "ngrams"), shard_bits(size)
 
     def collected(emit) -> dict:
-        rows = gather(only, emit, text_steps, folder, bits).groupBy("name").agg(
-            F.sum("n_rows").alias("rows"), F.sum("first").alias("first"), F.sum("last").alias("last"), *[F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4)]
-        )
-        return {r["name"]: r for r in rows.collect()}  # one row for each table
-
-    def count(some):
-        grams = Grams(some, order)
-        for m in range(2, order + 1):
-            keys, n = np.unique(grams.keys(m), return_counts=True)
-            yield f"count{m}", keys, n.astype(np.uint32)[:, None]
-
-    opened: dict[str, Table] = {}  # by each task for itself
-
-    def mapped() -> dict[str, Table]:
-        opened.update({} if opened else Model(folder, bits, order, 0, 0, 0, {}, 0).tables())
-        return opened
-
-    def left(some):
-        grams, tables = Grams(some, order), mapped()
-        for m in range(2, order):
-            share = 1 / np.maximum(tables[f"count{m + 1}"].get(grams.keys(m + 1))[:, 0], 1)
-            # A gram that holds a begin has nothing to its left; it keeps its count.
-            yield f"left{m}", grams.keys(m), np.where(grams.reach < m, 1.0, share)[:, None]
-
-    def mass(some):
-        grams, tables = Grams(some, order), mapped()
-        for m in range(2, order + 1):
-            keys = grams.keys(m)
-            share = 1 / np.maximum(tables[f"count{m}"].get(keys)[:, 0], 1)
-            own = np.rint(1 / share) if m == order else tables[f"left{m}"].get(keys)[:, 0]
-            kinds = np.minimum(own, 3)
-            yield f"context{m}", grams.contexts(m), np.stack(
-                [own * share, *[(kinds == k) * share for k in (1, 2, 3)]], axis=1
+        with shuffles_dropped(spark):
+            rows = gather(only, emit, text_steps, folder, bits).groupBy("name").agg(
+                *[F.sum(c).alias(c) for c in ("known", "first", "second", "n1", "n2", "n3", "n4")]
             )
-            if m == 2:
-                yield "word", grams.keys(1), np.stack([share, np.ones(len(share))], axis=1)
+            return {r["name"]: r for r in rows.collect()}  # one row
 
-    stats = collected(count)
-    if order > 2:
-        stats |= collected(left)
-    stats |= collected(mass)
+    def longest(some):
+        keys, n = np.unique(Grams(some, order).keys(order), return_counts=True)
+        yield _name(order, order), keys, n.astype(np.uint32)[:, None]
+
+    def shorter(m: int):
+        opened: dict[int, Table] = {}  # by each task for itself
+
+        def emit(some):
+            opened.update({} if opened else Model(folder, bits, order, 0, 0, 0, {}, 0).tables())
+            grams = Grams(some, order)
+            longer = opened[m + 1].get(grams.keys(m + 1), 0, 0 if m + 1 == order else 1)
+            own, share = longer[:, 0], 1 / np.maximum(longer[:, 1], 1)
+            values = np.zeros((2, len(own), 6))
+            # A gram that holds a begin has nothing to its left; it keeps its count.
+            values[0, :, 0] = np.where(grams.reach < m, 1.0, share)
+            values[0, :, 1] = 1
+            values[1, :, 2] = own * share
+            for k in (1, 2, 3):
+                values[1, :, 2 + k] = (np.minimum(own, 3) == k) * share
+            keys = np.concatenate([grams.keys(m), grams.contexts(m + 1)])
+            yield _name(m, order), keys, values.reshape(-1, 6)
+
+        return emit
+
+    stats = collected(longest)
+    for m in range(order - 1, 0, -1):
+        stats |= collected(shorter(m))
     discounts = {}
     for m in range(1, order + 1):
-        r = stats.get("word" if m == 1 else f"count{m}" if m == order else f"left{m}")
+        r = stats.get(_name(m, order))
         discounts[m] = _discount(tuple(r[f"n{k}"] for k in (1, 2, 3, 4)) if r else (0, 0, 0, 0))
     word = stats.get("word")
     if word is None:
         return Model(folder, bits, order, 0, 0, 0, discounts, 1.0)
     n1, n2 = word["n1"], word["n2"]
     d1, d2, d3 = discounts[1]
-    over = (d1 * n1 + d2 * n2 + d3 * (word["rows"] - n1 - n2)) / word["first"]
-    return Model(folder, bits, order, int(word["last"]), int(word["rows"]), int(word["first"]), discounts, float(over))
+    over = (d1 * n1 + d2 * n2 + d3 * (word["known"] - n1 - n2)) / word["first"]
+    return Model(folder, bits, order, int(word["second"]), int(word["known"]), int(word["first"]), discounts, float(over))
 
 
-def _log10(grams: Grams, model: Model, tables: dict[str, Table]) -> tuple[np.ndarray, np.ndarray]:
+def _log10(grams: Grams, model: Model, tables: dict[int, Table]) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each token, and each token's count in training."""
-    seen = tables["word"].get(grams.keys(1))
+    seen = tables[1].get(grams.keys(1), 0, 1)
     p = np.full(len(seen), model.left_over / (model.words + 1))
     if model.mass:
         p += np.maximum(seen[:, 0] - _taken(seen[:, 0], model.discounts[1]), 0) / model.mass
     for m in range(2, model.order + 1):
         d = model.discounts[m]
-        own = tables[f"count{m}" if m == model.order else f"left{m}"].get(grams.keys(m))[:, 0]
-        total, *kinds = tables[f"context{m}"].get(grams.contexts(m)).T
+        own = tables[m].get(grams.keys(m), 0)[:, 0]
+        total, *kinds = tables[m - 1].get(grams.contexts(m), 2, 3, 4, 5).T
         known = total > 0
         safe = np.where(known, total, 1)
         rest = sum(k * x for k, x in zip(d, kinds)) / safe

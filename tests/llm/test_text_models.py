@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import hash_table, language_id, ngram_lm, quality, queries, toxicity
-from cohortlens.llm.common import text_steps
+from cohortlens.llm.common import CLEAN_CONF, shuffles_dropped, text_steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,6 +106,24 @@ def test_tables_keep_whole_keys(spark, bits):
     assert not found.get(near).any()
 
 
+def test_shuffles_of_a_pass_are_deleted(spark):
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before, kept = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(kept.collect()) == 7 and files() - before
+    before = files()
+    with shuffles_dropped(spark):
+        assert len(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()) == 7
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(CLEAN_CONF) == "false"
+
+
 def test_kneser_ney_of_no_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
     model = ngram_lm.train(docs.where("id > 5"))
