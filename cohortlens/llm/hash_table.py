@@ -2,7 +2,7 @@
 
 A table maps 64-bit keys to a few whole numbers. Its shards hold ranges of the key (its highest
 bits); a shard is its sorted keys and one file of bytes for each column, with a list of the values of 255 or more.
-Of a key only the lowest 48 bits are stored: the highest 16 follow from the shard and a list of where each begins.
+Of a key only the lowest 48 bits are stored: the highest 16 or more follow from the shard and its list of buckets.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from cohortlens.session import shared_dir
 HELD = 2_000_000
 # Bytes of text whose entries one shard holds, about.
 SHARD_TEXT = 32 << 20
-TOP = U64(48)
 
 
 def mapped_dir(spark: SparkSession, name: str) -> str:
@@ -82,13 +81,13 @@ def combine(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, out
 
 
-def _tops(bits: int) -> int:
-    """How many values the highest 16 bits of a key take in a shard."""
-    return max(1, 1 << 16 >> bits)
+def _top_bits(rows: int, bits: int) -> int:
+    """Bits after the shard's that number the buckets of a shard: about eight rows each, and 16 bits known at least."""
+    return max(0, 16 - bits, (rows // 8).bit_length())
 
 
-def _first(shard: int, bits: int) -> int:
-    return shard << 16 >> bits
+def _buckets(keys: np.ndarray, bits: int, top: int) -> np.ndarray:
+    return ((keys << U64(bits)) >> U64(64 - top)).astype(np.int64) if top else np.zeros(len(keys), np.int64)
 
 
 def _write(path: str, array: np.ndarray) -> None:
@@ -154,10 +153,10 @@ def gather(
             sums.append(int(column.sum()))
             if j == 0:
                 ones = {"known": [int((column > 0).sum())], **{f"n{k}": [int((column == k).sum())] for k in (1, 2, 3, 4)}}
-        tops = np.arange(_first(shard, bits), _first(shard, bits) + _tops(bits) + 1)
+        top = _top_bits(len(keys), bits)
         _write(f"{stem}-low.npy", keys.astype(np.uint16))
         _write(f"{stem}-middle.npy", (keys >> U64(16)).astype(np.uint32))
-        _write(f"{stem}-starts.npy", np.searchsorted((keys >> TOP).astype(np.int64), tops))
+        _write(f"{stem}-starts.npy", np.searchsorted(_buckets(keys, bits, top), np.arange((1 << top) + 1)).astype(np.uint32))
         row = {"name": [name], "shard": [shard], "known": ones["known"], "first": [sums[0]], "second": [sum(sums[1:2])]}
         return pa.table(row | {k: v for k, v in ones.items() if k != "known"})
 
@@ -180,19 +179,19 @@ class Table:
             if os.path.exists(f"{stem}-starts.npy"):
                 load = lambda p: np.load(p, mmap_mode="r")
                 self.shards[i] = (
-                    (np.load(f"{stem}-starts.npy"), load(f"{stem}-middle.npy"), load(f"{stem}-low.npy")),
+                    (load(f"{stem}-starts.npy"), load(f"{stem}-middle.npy"), load(f"{stem}-low.npy")),
                     [(load(f"{stem}-{j}.npy"), np.load(f"{stem}-{j}-big.npy")) for j in range(self.columns)],
                 )
             else:
                 self.shards[i] = None
         return self.shards[i]
 
-    def _hits(self, i: int, held: tuple, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys the shard holds, and where: bisection between the starts of the highest bits."""
+    def _hits(self, held: tuple, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys the shard holds, and where: bisection in their buckets."""
         starts, middle, low = held
         value = lambda at: middle[at].astype(U64) << U64(16) | low[at]
-        top, want = (asked >> TOP).astype(np.int64) - _first(i, self.bits), asked & U64((1 << 48) - 1)
-        a, b = starts[top], starts[top + 1]
+        bucket, want = _buckets(asked, self.bits, (len(starts) - 1).bit_length() - 1), asked & U64((1 << 48) - 1)
+        a, b = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
         end = b
         while (some := np.flatnonzero(a < b)).size:
             mid = (a[some] + b[some]) >> 1
@@ -215,7 +214,7 @@ class Table:
             if shard is None:
                 continue
             held, columns = shard
-            hit, at = self._hits(int(number[a]), held, asked[a:b])
+            hit, at = self._hits(held, asked[a:b])
             for j, (small, big) in enumerate(columns[c] for c in wanted):
                 values = small[at].astype(np.int64)
                 over = np.flatnonzero(values == 255)

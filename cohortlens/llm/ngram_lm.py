@@ -57,9 +57,10 @@ class Grams:
         """The gram of m tokens that ends at each token."""
         return self._keys[m - 1][self.at]
 
-    def contexts(self, m: int) -> np.ndarray:
-        """The m - 1 tokens before each token."""
-        return self._keys[m - 2][self.at - 1]
+    def all_keys(self, m: int) -> np.ndarray:
+        """The gram of m tokens that ends at each place, begins included: at `at` those of the tokens, at `at` - 1 the
+        contexts of the grams of m + 1."""
+        return self._keys[m - 1]
 
 
 @dataclass
@@ -126,15 +127,17 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             grams = Grams(some, order)
             longer = opened[m + 1].get(grams.keys(m + 1), 0, 0 if m + 1 == order else 1)
             own, share = longer[:, 0], 1 / np.maximum(longer[:, 1], 1)
-            values = np.zeros((2, len(own), 6))
+            # One row for each place: as a gram that ends there, and as the context of the token that follows.
+            keys = grams.all_keys(m)
+            values = np.zeros((len(keys), 6))
             # A gram that holds a begin has nothing to its left; it keeps its count.
-            values[0, :, 0] = np.where(grams.reach < m, 1.0, share)
-            values[0, :, 1] = 1
-            values[1, :, 2] = own * share
+            values[grams.at, 0] = np.where(grams.reach < m, 1.0, share)
+            values[grams.at, 1] = 1
+            values[grams.at - 1, 2] = own * share
             for k in (1, 2, 3):
-                values[1, :, 2 + k] = (np.minimum(own, 3) == k) * share
-            keys = np.concatenate([grams.keys(m), grams.contexts(m + 1)])
-            yield _name(m, order), keys, values.reshape(-1, 6)
+                values[grams.at - 1, 2 + k] = (np.minimum(own, 3) == k) * share
+            used = values.any(axis=1)
+            yield _name(m, order), keys[used], values[used]
 
         return emit
 
@@ -156,14 +159,15 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
 def _log10(grams: Grams, model: Model, tables: dict[int, Table]) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each token, and each token's count in training."""
-    seen = tables[1].get(grams.keys(1), 0, 1)
+    shorter = {m: tables[m].get(grams.all_keys(m)) for m in range(1, model.order)}
+    seen = shorter[1][grams.at, :2]
     p = np.full(len(seen), model.left_over / (model.words + 1))
     if model.mass:
         p += np.maximum(seen[:, 0] - _taken(seen[:, 0], model.discounts[1]), 0) / model.mass
     for m in range(2, model.order + 1):
         d = model.discounts[m]
-        own = tables[m].get(grams.keys(m), 0)[:, 0]
-        total, *kinds = tables[m - 1].get(grams.contexts(m), 2, 3, 4, 5).T
+        own = shorter[m][grams.at, 0] if m < model.order else tables[m].get(grams.keys(m))[:, 0]
+        total, *kinds = shorter[m - 1][grams.at - 1, 2:].T
         known = total > 0
         safe = np.where(known, total, 1)
         rest = sum(k * x for k, x in zip(d, kinds)) / safe
