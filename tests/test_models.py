@@ -183,3 +183,14 @@ def test_split_counts_equal_a_walk_of_the_model(spark, rows):
     assert len(by_depth) == len(FEATURES) * (1 + max(d for _, d in plain)) and {r["model"] for r in by_depth} == {7}
     whole = {r["fname_model"]: r["splits"] for r in T.split_counts(model, FEATURES + ["unused"], spark).collect()}
     assert whole == {**{f: sum(n for (i, _), n in plain.items() if FEATURES[i] == f) for f in FEATURES}, "unused": 0}
+
+
+def test_margins_of_large_ids(spark):
+    from cohortlens.plans.model_queries import with_margins
+
+    ids = [1_000_001, 14_060_199_807, 900_000_000_000 + 200_001, 9_000_000_000_000_000_000, -900_000_200_001]
+    data = [(i, -7000 if i % 2 else 273000, n, t) for i in ids for n in (1, 10) for t in (0, 1)]
+    rows = with_margins(spark.createDataFrame(data, "id long, gain long, iteration int, trial int")).collect()
+    for (i, gain, n, t), r in zip(data, rows):
+        noise = abs(i) * (7919 + 104729 * n + 15485863 * t) % 1000003 * (1 if i > 0 else -1)
+        assert r["margin"] == noise + (60000 * (6 - abs(n - 4 - 2 * t)) if gain > 0 else 0), (i, n, t)
