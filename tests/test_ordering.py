@@ -177,3 +177,37 @@ def test_running_on_any_rows(spark, rows):
     data = [(i, g, None if v is None else float(v), i) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, g string, v double, amount long")
     check_running(df, ["g"])
+
+
+def test_few_cuts_reach_the_asked_size(spark):
+    """All rows wanted: the limits of later cuts follow the largest bucket, so their number does not grow with the rows."""
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.hash("id")).alias("v"))
+    with O.small_buckets(2, 30):
+        _, buckets, sizes = O.bucketed(df, F.col("v"), F.col("id"))
+    assert sizes.agg(F.max("_n")).first()[0] <= 30 and len(buckets) <= 4
+
+
+def test_only_wanted_buckets_are_cut_again(spark):
+    df = spark.range(40_000).select("id", F.pmod(F.hash("id"), F.lit(10_000)).cast("double").alias("v"))
+    first = lambda n: F.array(F.lit(0).cast("long"))
+    made = []
+    with O.small_buckets(3, 50):
+        plain = O.bucketed
+        try:
+            O.bucketed = lambda *a, **k: made.append(plain(*a, **k)) or made[-1]
+            row = O.keys_at(df, F.col("v"), F.col("id"), first).first()
+        finally:
+            O.bucketed = plain
+    assert (row["_value"], row["_tie"]) == tuple(df.orderBy("v", "id").select("v", "id").first())
+    _, _, sizes = made[0]
+    assert sizes.agg(F.sum("_n")).first()[0] == 40_000
+    assert sizes.count() < 300 and sizes.where("_n <= 50").count() > 1
+
+
+def test_one_value_needs_no_cut_for_its_quantiles(spark):
+    df = spark.range(5000).select("id", F.lit(1.0).alias("v"))
+    at = lambda n: F.array(F.lit(0).cast("long"), n - 1)
+    with O.small_buckets(3, 50):
+        _, buckets, _ = O.bucketed(df, F.col("v"), F.col("id"), values_only=True)
+        got = O.keys_at(df, F.col("v"), F.col("id"), at, values_only=True).collect()
+    assert len(buckets) == 1 and sorted((r["_position"], r["_value"]) for r in got) == [(0, 1.0), (4999, 1.0)]
