@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,9 +178,10 @@ def describe_numeric(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
 def column_profile(df: DataFrame, cols: list[str], approx: float | None = None) -> DataFrame:
     """Minimum, maximum, distinct count and null count of every column, of any type that has an order.
 
-    Extremes are doubles if all columns are numbers, else texts. Values are counted as they are,
-    not as doubles. Exact distinct counts first reduce every (column, value) to one row, so a
-    frequent value never gathers in one task; `approx` counts with that relative error.
+    Extremes are doubles if all columns are numbers, else texts. Values are counted as they are, not as doubles
+    or texts. Exact distinct counts first reduce the values of every column, by itself and in its own type, to one row
+    each, so a frequent value never gathers in one task and a column of few values is reduced before it is shuffled;
+    `approx` counts with that relative error.
     """
     numbers = all(isinstance(df.schema[c].dataType, T.NumericType) for c in cols)
     kind = "double" if numbers else "string"
@@ -192,17 +195,23 @@ def column_profile(df: DataFrame, cols: list[str], approx: float | None = None)
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["min"].alias("min"),
                                      F.col(c)["max"].alias("max")) for c in cols])).alias("e")
     ).select("e.*")
-    rows = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    nulls = F.sum(F.col("value").isNull().cast("long"))
     if approx is not None:
+        rows = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
+        nulls = F.sum(F.col("value").isNull().cast("long"))
         counts = rows.groupBy("feature").agg(
             F.approx_count_distinct("value", approx).alias("nunique"), nulls.alias("nulls")
         )
     else:
-        values = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-        counts = values.groupBy("feature").agg(
-            F.count("value").alias("nunique"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        )
+
+        def counted(c: str) -> DataFrame:
+            values = df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+            found = values.agg(
+                F.count("value").alias("nunique"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+                F.sum("n").alias("_rows"),
+            )
+            return found.where(F.col("_rows") > 0).select(F.lit(c).alias("feature"), "nunique", "nulls")
+
+        counts = reduce(DataFrame.unionByName, [counted(c) for c in cols])
     # One row for each column on either side; a table without rows has no columns to report.
     return counts.join(extremes, "feature").select("feature", "min", "max", "nunique", "nulls")

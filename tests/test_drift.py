@@ -115,3 +115,15 @@ def test_profile_of_any_type(spark):
     got = {r["feature"]: tuple(r)[1:] for r in D.column_profile(df, ["n", "t", "x"]).collect()}
     assert got == {"n": (str(2**53), str(2**53 + 1), 2, 0), "t": ("a", "b", 2, 1), "x": ("1.5", "1.5", 1, 1)}
     assert D.column_profile(df, ["n"]).first()["nunique"] == 2
+
+
+def test_profile_counts_values_before_they_are_shuffled(spark):
+    """A column is counted in its own type; nulls, texts, dates and no rows."""
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 4 > 0, F.col("id") % 3).alias("few"),
+        F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("zero"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 7).cast("int")).alias("day"),
+    )
+    out = D.column_profile(df, ["few", "zero", "day"])
+    assert {r["feature"]: (r["nunique"], r["nulls"]) for r in out.collect()} == {"few": (3, 250), "zero": (1, 0), "day": (7, 0)}
+    assert D.column_profile(df.limit(0), ["few", "zero", "day"]).collect() == []
