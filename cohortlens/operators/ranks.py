@@ -22,6 +22,8 @@ TILE_COLUMNS = 25
 # Bucket limits of one column and period: so many for a tile, at least so many rows apart. Limits of all periods and
 # columns are sent to the tasks together, so their bytes are bounded, too.
 LIMITS_A_TILE, LIMIT_ROWS, LIMIT_BYTES = 8, 2048, 32 << 20
+# Values that a task looks at for one limit, if all rows were in one chunk.
+LIMIT_VALUES = 16
 # Tile ends that are sent to the tasks, if they have PIN_BYTES at most.
 END_ROWS = 3_000_000
 # Rows that a task looks at together.
@@ -52,10 +54,43 @@ def long_form(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     return doubles.unpivot(keep, cols, "feature", "value")
 
 
-def _column_limits(df: DataFrame, cols: list[str], period: str, counts: dict, tiles: int) -> dict:
-    """{period: arrays of bucket limits, one for each column}, from one aggregate over the wide rows.
+def _splitter():
+    """The function that splits batches by period. Made here, so that it is sent to the tasks whole, without this module."""
 
-    Limits are approximate quantiles: they decide balance, never the result.
+    def by_period(batches):
+        """(period, its rows as a table) of batches whose first column is the period, CHUNK_ROWS or a little more at a time."""
+        held, size = [], 0
+
+        def split(table):
+            table = table.combine_chunks()
+            if not table.num_rows:
+                return
+            codes = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            keys, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(keys)))])
+            table = table.take(pa.array(order))
+            for k, key in enumerate(keys):
+                yield key, table.slice(edges[k], edges[k + 1] - edges[k])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                yield from split(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from split(pa.Table.from_batches(held))
+
+    return by_period
+
+
+def _column_limits(df: DataFrame, cols: list[str], counts: dict, tiles: int) -> dict:
+    """{period: arrays of bucket limits, one for each column}, from one pass over the wide rows.
+
+    `df` is the period, the id and the columns. Limits are approximate quantiles: they decide balance, never the result.
+    Of every chunk of rows a task hands on evenly spaced values of each period and column with the number of rows they
+    stand for, so it holds one chunk at a time, however many periods and columns there are.
     """
     forced = ordering._SIZES.get()
     most = LIMIT_BYTES // (8 * len(cols) * max(1, len(counts)))
@@ -63,12 +98,50 @@ def _column_limits(df: DataFrame, cols: list[str], period: str, counts: dict, ti
     n = 1 << forced[0] if forced else n
     if n < 2:
         return {}
-    probs = F.expr("array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")")
-    found = df.groupBy(period).agg(*[F.percentile_approx(c, probs, 2 * n).alias(c) for c in cols])
-    out = {}
+    apart = {key: max(1, rows // (n * LIMIT_VALUES)) for key, rows in counts.items()}
+    key_type = df.schema[0].dataType
+    kind = to_arrow_type(key_type)
+    schema = T.StructType(
+        [T.StructField("key", key_type), T.StructField("column", T.IntegerType()),
+         T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("rows", T.DoubleType())]
+    )
+
+    by_period = _splitter()
+
+    def spaced(batches):
+        for key, own in by_period(batches):
+            out = {"column": [], "values": [], "rows": []}
+            for c in range(len(cols)):
+                x = np.sort(own.column(c + 2).combine_chunks().drop_null().to_numpy(zero_copy_only=False))
+                if len(x):
+                    k = -(-len(x) // apart[key])
+                    out["column"].append(c)
+                    out["values"].append(x[((np.arange(k) + 0.5) * len(x) / k).astype(np.int64)])
+                    out["rows"].append(len(x) / k)
+            yield pa.RecordBatch.from_pydict(
+                {"key": pa.array([key] * len(out["column"]), kind), "column": pa.array(out["column"], pa.int32()),
+                 "values": pa.array(out["values"], pa.list_(pa.float64())), "rows": pa.array(out["rows"], pa.float64())}
+            )
+
+    def merged(chunks: pa.Table) -> pa.Table:
+        key, values = chunks.column("key")[0].as_py(), chunks.column("values").to_pylist()
+        x = np.concatenate(values)
+        rows = np.repeat(chunks.column("rows").to_numpy(), [len(v) for v in values])
+        order = np.argsort(x, kind="stable")
+        upto = np.cumsum(rows[order])
+        at = np.searchsorted(upto, upto[-1] * np.arange(1, n) / n)
+        thin = 1 if forced else max(1, n * LIMIT_ROWS // max(1, counts[key]))
+        limits = np.unique(x[order][np.minimum(at, len(x) - 1)][thin - 1 :: thin])
+        return pa.table(
+            {"key": chunks.column("key")[:1], "column": chunks.column("column")[:1],
+             "limits": pa.array([limits], pa.list_(pa.float64()))}
+        )
+
+    found = T.StructType([schema[0], schema[1], T.StructField("limits", schema[2].dataType)])
+    found = df.mapInArrow(spaced, schema).groupBy("key", "column").applyInArrow(merged, found)
+    out = {key: [np.empty(0)] * len(cols) for key in counts}
     for r in found.toLocalIterator():  # LIMIT_BYTES at most
-        thin = 1 if forced else max(1, n * LIMIT_ROWS // max(1, counts[r[0]]))
-        out[r[0]] = [np.unique(np.array(x or [], float)[thin - 1 :: thin]) for x in r[1:]]
+        out[r["key"]][r["column"]] = np.array(r["limits"], float)
     return out
 
 
@@ -89,45 +162,26 @@ def wide_tile_keys(df: DataFrame, cols: list[str], id_col: str, period: str, til
     context = df.sparkSession.sparkContext
     rows = df.select(period, id_col, *[F.col(c).cast("double").alias(c) for c in cols])
     counts = {r[0]: r[1] for r in rows.groupBy(period).agg(F.count(F.lit(1))).toLocalIterator()}  # one for a period
-    limits = context.broadcast(_column_limits(rows, cols, period, counts, tiles))
+    limits = context.broadcast(_column_limits(rows, cols, counts, tiles))
+
+    by_period = _splitter()
 
     def parts(batches, limits=limits):
         """(period, its rows as a batch, for each column its number, the values, the buckets)."""
-        held, size = [], 0
-
-        def split(table):
-            table = table.combine_chunks()
-            if not table.num_rows:
-                return
-            codes = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
-            keys, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(keys)))])
-            table = table.take(pa.array(order))
-            for k, key in enumerate(keys):
-                own = table.slice(edges[k], edges[k + 1] - edges[k])
-                cuts = limits.value.get(key)
-                for c in range(len(cols)):
-                    column = own.column(c + 2).combine_chunks()
-                    cut = cuts[c] if cuts else np.empty(0)
-                    # The last bucket is for nulls; -0.0 is 0.0, and NaN stands behind all numbers.
-                    x = column.to_numpy(zero_copy_only=False) + 0.0
-                    at = np.searchsorted(cut, x)
-                    if len(cut):
-                        on = cut[np.minimum(at, len(cut) - 1)] == x
-                        at = 2 * at + on
-                    null = column.is_null().to_numpy(zero_copy_only=False)
-                    at[null] = 2 * len(cut) + 1 if len(cut) else 0
-                    yield key, own, c, x, at, null
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= CHUNK_ROWS:
-                yield from split(pa.Table.from_batches(held))
-                held, size = [], 0
-        if held:
-            yield from split(pa.Table.from_batches(held))
+        for key, own in by_period(batches):
+            cuts = limits.value.get(key)
+            for c in range(len(cols)):
+                column = own.column(c + 2).combine_chunks()
+                cut = cuts[c] if cuts else np.empty(0)
+                # The last bucket is for nulls; -0.0 is 0.0, and NaN stands behind all numbers.
+                x = column.to_numpy(zero_copy_only=False) + 0.0
+                at = np.searchsorted(cut, x)
+                if len(cut):
+                    on = cut[np.minimum(at, len(cut) - 1)] == x
+                    at = 2 * at + on
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                at[null] = 2 * len(cut) + 1 if len(cut) else 0
+                yield key, own, c, x, at, null
 
     def count(batches):
         sums = {}
