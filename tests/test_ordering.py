@@ -211,3 +211,21 @@ def test_one_value_needs_no_cut_for_its_quantiles(spark):
         _, buckets, _ = O.bucketed(df, F.col("v"), F.col("id"), values_only=True)
         got = O.keys_at(df, F.col("v"), F.col("id"), at, values_only=True).collect()
     assert len(buckets) == 1 and sorted((r["_position"], r["_value"]) for r in got) == [(0, 1.0), (4999, 1.0)]
+
+
+def test_one_further_cut_reaches_any_size(spark, monkeypatch):
+    """Also of rows that are equal in value and tie, which limits cannot cut; values lie across tasks and batches."""
+    monkeypatch.setattr(O, "RANGE_ROWS", 700)
+    df = skewed(spark, 6000)
+    with O.small_buckets(1, 5):
+        _, buckets, sizes = O.bucketed(df.withColumn("id", F.lit(1)), F.col("v"), F.col("id"))
+        assert sizes.agg(F.max("_n"), F.sum("_n")).first()[:] == (5, 6000) and len(buckets) == 2
+        check_running(df, ["g"])
+
+
+def test_tasks_that_find_places_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(O, "TASK_ROWS", 500)
+    df = skewed(spark, 6000)
+    check_running(df, ["g"])
+    out = O.running(df, F.col("v"), F.col("id"), ["g"])
+    assert out.rdd.getNumPartitions() == 12
