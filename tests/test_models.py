@@ -194,3 +194,13 @@ def test_margins_of_large_ids(spark):
     for (i, gain, n, t), r in zip(data, rows):
         noise = abs(i) * (7919 + 104729 * n + 15485863 * t) % 1000003 * (1 if i > 0 else -1)
         assert r["margin"] == noise + (60000 * (6 - abs(n - 4 - 2 * t)) if gain > 0 else 0), (i, n, t)
+
+
+def test_tasks_of_a_fit_follow_the_rows(spark, rows, monkeypatch):
+    few = spark.range(1000).coalesce(1)
+    assert T._spread(few).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(T, "FIT_ROWS", 100)
+    spread = T._spread(few)
+    assert max(spread.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 110
+    assert spread.agg(F.sum("id")).first()[0] == 499500
+    assert T.fit_boosted(ready(rows), "y", "w", 2).getNumTrees == 2
