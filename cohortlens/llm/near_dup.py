@@ -33,8 +33,9 @@ LARGE_BUCKET, FINE, FINE_AGREE = 48, 512, 0.71
 BLOCK = 1024
 # Size of the filter by which tasks skip texts that are in no pair: 16 MB, however many there are.
 FILTER_BITS = 27
-# Bytes of text whose darts are thrown together.
-STEP = 1 << 20
+# Bytes of text whose shingles are held together, and darts that are thrown at once, about: a throw holds some ten numbers for
+# each, and a worker keeps what its largest throw took.
+STEP, DARTS = 1 << 20, 1 << 18
 TO_UNIT = 2.0**-53
 
 
@@ -79,22 +80,28 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES)
     """One row of k 32-bit samples for each (elements, weights); an empty set gets a row of zeros."""
     out = np.zeros((len(sets), k), np.uint32)
     todo = np.array([i for i, (e, w) in enumerate(sets) if len(e) and float(w.sum()) > 0], int)
+    # Sets of like size together: the throws of a part go on as long as its smallest set needs.
+    todo = todo[np.argsort([len(sets[i][0]) for i in todo], kind="stable")]
     reach = math.log(k) + 4
     while len(todo):
-        elements = np.concatenate([sets[i][0] for i in todo])
-        weights = np.concatenate([sets[i][1] for i in todo])
-        counts = np.array([len(sets[i][0]) for i in todo])
-        row = np.repeat(np.arange(len(todo)), counts)
-        total = np.array([sets[i][1].sum() for i in todo])
-        owner, spot, rank, name = darts(elements, weights, (k * reach / total)[row], k)
-        place = row[owner] * k + spot
-        order = np.argsort(-rank, kind="stable")  # the least rank is written last and stays
-        found, hit = np.zeros(len(todo) * k, np.uint32), np.zeros(len(todo) * k, bool)
-        found[place[order]] = (name[order] >> U64(32)).astype(np.uint32)
-        hit[place] = True
-        full = hit.reshape(-1, k).all(axis=1)
-        out[todo[full]] = found.reshape(-1, k)[full]
-        todo, reach = todo[~full], reach * 2
+        some, left = max(1, int(DARTS / (k * reach))), []
+        for start in range(0, len(todo), some):
+            part = todo[start : start + some]
+            elements = np.concatenate([sets[i][0] for i in part])
+            weights = np.concatenate([sets[i][1] for i in part])
+            counts = np.array([len(sets[i][0]) for i in part])
+            row = np.repeat(np.arange(len(part)), counts)
+            total = np.array([sets[i][1].sum() for i in part])
+            owner, spot, rank, name = darts(elements, weights, (k * reach / total)[row], k)
+            place = row[owner] * k + spot
+            order = np.argsort(-rank, kind="stable")  # the least rank is written last and stays
+            found, hit = np.zeros(len(part) * k, np.uint32), np.zeros(len(part) * k, bool)
+            found[place[order]] = (name[order] >> U64(32)).astype(np.uint32)
+            hit[place] = True
+            full = hit.reshape(-1, k).all(axis=1)
+            out[part[full]] = found.reshape(-1, k)[full]
+            left.append(part[~full])
+        todo, reach = np.concatenate(left), reach * 2
     return out
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -80,6 +81,18 @@ def test_keep_one_row_of_each_class(spark):
     assert near_dup.keep_one(empty).count() == 0 and near_dup.near_duplicates(empty).count() == 0
 
 
+def test_darts_of_many_texts_are_thrown_in_bounded_parts():
+    rng = np.random.default_rng(5)
+    sets = [(rng.integers(1, 1 << 62, n).astype(np.uint64), np.ones(n)) for n in [3, 60, 200, 40] * 100 + [0, 1]]
+    tracemalloc.start()
+    found = near_dup.signatures(sets, near_dup.FINE)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    some = [0, 1, 2, 250, 400, 401]
+    assert (found[some] == np.concatenate([near_dup.signatures([sets[i]], near_dup.FINE) for i in some])).all()
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     errors = []
