@@ -229,3 +229,16 @@ def test_tasks_that_find_places_follow_the_rows(spark, monkeypatch):
     check_running(df, ["g"])
     out = O.running(df, F.col("v"), F.col("id"), ["g"])
     assert out.rdd.getNumPartitions() == 12
+
+
+def test_few_large_buckets_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
+    """By hash some tasks would hold several buckets and others none."""
+    monkeypatch.setattr(O, "TASK_ROWS", 500)
+    df = skewed(spark, 6000)
+    with O.small_buckets(3, 300):
+        _, buckets, sizes = O.bucketed(df, F.col("v"), F.col("id"), ["g"])
+        largest = sizes.agg(F.max("_n")).first()[0]
+        out = O.running(df, F.col("v"), F.col("id"), ["g"])
+        check_running(df, ["g"])
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(held) == 6000 and largest <= 300 and max(held) <= 500 + largest
