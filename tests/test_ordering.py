@@ -1,5 +1,7 @@
 """The bucketed order must equal plain windows, whatever the distribution."""
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -242,3 +244,30 @@ def test_few_large_buckets_are_dealt_to_tasks_by_their_rows(spark, monkeypatch):
         check_running(df, ["g"])
     held = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(held) == 6000 and largest <= 300 and max(held) <= 500 + largest
+
+
+def test_many_wanted_positions_are_found_by_search(spark):
+    """Time follows the buckets, not buckets times positions; positions may come in any order and repeat."""
+    array, lo, hi = F.col("a"), F.col("lo"), F.col("hi")
+    few = spark.createDataFrame([(x, x + n) for x in range(9) for n in range(5)], "lo long, hi long")
+    few = few.withColumn("a", F.array_sort(F.array(*[F.lit(x).cast("long") for x in (7, 1, 3, 3, 4, 1)])))
+    for r in few.withColumn("got", O.between_limits(array, lo, hi)).collect():
+        assert (r["got"] or []) == [x for x in (1, 1, 3, 3, 4, 7) if r["lo"] <= x < r["hi"]]
+
+    def taken(found):
+        start = time.perf_counter()
+        df = spark.range(20_000).select(F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"))
+        df = df.join(F.broadcast(spark.sql("SELECT sequence(0L, 40000L, 4L) AS a")))
+        assert df.select(F.sum(F.size(found))).first()[0] == 5000
+        return time.perf_counter() - start
+
+    found = F.coalesce(O.between_limits(array, lo, hi), F.array().cast("array<bigint>"))
+    taken(found)
+    assert taken(found) * 2 < taken(F.filter(array, lambda p: (p >= lo) & (p < hi)))
+
+    at = lambda n: F.reverse(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(10)))
+    df = spark.range(2000).select("id", F.hash("id").alias("v"))
+    with O.small_buckets(3, 20):
+        got = O.keys_at(df, F.col("v"), F.col("id"), at).collect()
+    ordered = [r["id"] for r in df.orderBy("v", "id").select("id").collect()]
+    assert sorted((r["_position"], r["_tie"]) for r in got) == [(p, ordered[p]) for p in range(0, 2000, 10)]
