@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import evaluate as E
 from cohortlens.plans.analogs import LABEL, SCORED, SEEDS, scored, table, with_
-from cohortlens.plans.profit_queries import CUT_POINTS, cut_points
+from cohortlens.plans.profit_queries import CUT_POINTS, cut_points, sided_runs
 from cohortlens.plans.registry import ORACLES, query
 from cohortlens.operators.ordering import small_buckets
 from cohortlens.plans.sampling_queries import BOARD, board
@@ -39,7 +39,8 @@ def seed_mean_curve(spark, sf):
     ),
 )
 def seed_band(spark, sf):
-    out = E.seed_band(cut_points(spark, sf), "private_cum", ["trial"])
+    rows = sided_runs(spark, sf)
+    out = E.seed_band(cut_points(spark, sf, rows=rows), "private_cum", ["trial"], rows=rows.count())
     return out.withColumns({c: F.round(c, 2) for c in ("mean", "std", "low", "high")})
 
 
@@ -56,7 +57,9 @@ width AS (SELECT trial, stddev_samp(m) AS s FROM means GROUP BY 1)""",
     ),
 )
 def seed_band_whole_curve(spark, sf):
-    out = E.seed_band(cut_points(spark, sf), "private_cum", ["trial"], whole_curve=True)
+    rows = sided_runs(spark, sf)
+    curves = cut_points(spark, sf, rows=rows)
+    out = E.seed_band(curves, "private_cum", ["trial"], whole_curve=True, rows=rows.count())
     digits = {"mean": 2, "std": 1, "low": 1, "high": 1}
     return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 

@@ -132,14 +132,18 @@ cut_points AS (
 )
 
 
-def cut_points(spark, sf, between=None):
-    """Public and private curves of every trial and seed."""
+def sided_runs(spark, sf):
+    """The rows of every trial and seed, each on its side, as a table."""
     rows = seeded(spark, sf)
     rows = in_exact_sample(rows, "id", ["trial", "seed", LABEL], 0.3, F.col("seed"), "_public")
     rows = rows.withColumn("side", F.when(F.col("_public"), F.lit("public")).otherwise("private"))
-    out = G.public_private_curve(
-        stored(rows.drop("_public", LABEL), "sided"), "pred", "id", "gain", "side", ["trial", "seed"], between
-    )
+    return stored(rows.drop("_public", LABEL), "sided")
+
+
+def cut_points(spark, sf, between=None, rows=None):
+    """Public and private curves of every trial and seed; `rows` are those of `sided_runs`, if made before."""
+    rows = sided_runs(spark, sf) if rows is None else rows
+    out = G.public_private_curve(rows, "pred", "id", "gain", "side", ["trial", "seed"], between)
     return out.withColumns({c: F.round(c, 4) for c in ("public_cum", "private_cum")})
 
 

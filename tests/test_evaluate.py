@@ -46,6 +46,16 @@ def test_band_over_seeds(spark):
     assert [r["std"] for r in whole] == [pytest.approx(np.std([2, 5], ddof=1))] * 2
 
 
+def test_band_of_many_rows_has_tasks_for_them(spark, monkeypatch):
+    """Whatever the number of shuffle partitions is."""
+    monkeypatch.setattr(E, "TASK_ROWS", 100)
+    df = spark.range(2400).selectExpr("id % 3 AS trial", "id div 6 AS nro_envios", "double(hash(id)) AS v")
+    out = E.seed_band(df, "v", ["trial"], rows=2400)
+    assert out.rdd.getNumPartitions() == 24
+    want = {tuple(r) for r in E.seed_band(df, "v", ["trial"]).select("trial", "nro_envios", "mean").collect()}
+    assert {tuple(r) for r in out.select("trial", "nro_envios", "mean").collect()} == want and len(want) == 1200
+
+
 def test_importances_are_averaged_over_all_models(spark):
     df = spark.createDataFrame([("a", 10, 0), ("a", 20, 1), ("lag1_a", 0, 0), ("b", 3, 0)], "f string, v int, model int")
     mean = E.importance_mean(df, "f", "v")
