@@ -114,3 +114,29 @@ def test_long_lists_are_aligned_as_short_ones(monkeypatch):
     a = [W.Node(f"x{i}") for i in range(1500)]
     b = [W.Node("x40"), *a]
     assert sum(i is not None and j is not None for i, j in W._pairs(a, b)) == 1500
+
+
+def test_items_of_long_pages_find_their_places_as_those_of_short_ones(monkeypatch):
+    """Both ways give the same positions, ties included, whatever is kept and made again."""
+    import random
+
+    from cohortlens.llm import wrappers as W
+
+    rng = random.Random(11)
+    for k in range(600):
+        letters, names, repeated, back = "abcdefgh"[: 1 + k % 8], [], [], {}
+        for _ in range(rng.randrange(0, 20)):
+            size = rng.choice([1, 1, 2, 3, 5])
+            group = size > 1 or rng.random() < 0.2
+            back |= {len(names) + i: len(names) for i in range(size) if group}
+            names += [rng.choice(letters) for _ in range(size)]
+            repeated += [group or rng.random() < 0.3] * size
+        kinds = [rng.choice(letters + "z") for _ in range(rng.randrange(0, 50))]
+        places = W._follow(kinds, names, repeated, back)
+        with monkeypatch.context() as m:
+            m.setattr(W, "CELLS", -1)
+            m.setattr(W, "HELD", rng.choice([1, 30, 1 << 22]), raising=False)
+            assert W._follow(kinds, names, repeated, back) == places
+    # The item behind a repeated group has a place of its own, which the nearest place, in the group, would not give it.
+    names = ["a", "b", "a", *[f"x{i}" for i in range(1500)]]
+    assert W._follow(names, names, [True, True] + [False] * 1501, {0: 0, 1: 0}) == list(range(1503))
